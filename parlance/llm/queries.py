@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality_kn, quality_rules
+from . import jaccard, langid, quality_kn, quality_rules
 from .ann import nearest
 from .common import fold, table
 from .packing import pack
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = langid.train(docs.where(~F.col("held_out")))
@@ -41,6 +45,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
     "op6_quality": op6_quality,
     "op9_quality_rules": op9_quality_rules,
@@ -48,6 +53,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT rid, doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS g FROM w),
+        n AS (SELECT rid, doc_id, count(*) AS n FROM s GROUP BY ALL),
+        p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON p.x = a.rid JOIN n b ON p.y = b.rid WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT rid AS x, rid AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(v.doc_id) AS component_id
+        FROM w LEFT JOIN n ON w.rid = n.rid JOIN r ON w.rid = r.x JOIN w v ON v.rid = r.y GROUP BY w.rid, w.doc_id""",
     "op10_nearest": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'max') = 0
