@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, quality_kn, quality_rules
+from . import jaccard, langid, privacy, quality_kn, quality_rules
 from .ann import nearest
 from .common import fold, table
 from .packing import pack
 
 
+#: A run's own secret in production; fixed here so that results can be compared.
+PSEUDONYM_KEY = "parlance-test-key"
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_kn.classify(docs.select("doc_id", "lang", "text"), model).select("doc_id", "perplexity", "kept")
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -48,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
     "op6_quality": op6_quality,
+    "op7_pseudonyms": op7_pseudonyms,
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
 }
