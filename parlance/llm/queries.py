@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from . import jaccard, langid, privacy, quality_kn, quality_rules
 from .ann import nearest
+from .bpe import Codec
 from .common import fold, table
 from .packing import pack
+from .token_counts import count_tokens
 
 
 #: A run's own secret in production; fixed here so that results can be compared.
@@ -21,6 +25,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return Codec(docs, public_tokenizers.path("byte_bpe_50k.json")).digests(docs)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -41,6 +50,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
@@ -53,10 +66,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
     "op6_quality": op6_quality,
     "op7_pseudonyms": op7_pseudonyms,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
 }
