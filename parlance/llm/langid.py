@@ -89,8 +89,8 @@ def train(docs: DataFrame, per_language: int = 1500, lang_col: str = "lang") ->
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and accepted.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs (without the text, unless keep_text) with lang_pred, score (0 to 1) and accepted.
 
     accepted is false for undetermined texts and for those whose cross-entropy lies beyond the limit of their language.
 
@@ -99,9 +99,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     scored each; an empty table gives an empty result; earlier columns named lang_pred, score or accepted are replaced.
     """
     added = ("lang_pred", "score", "accepted")
-    kept = [c for c in docs.columns if c not in added and c != text_col]
+    kept = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(text_col, *kept)
+    source = docs.select(F.col(text_col).alias("_text"), *kept)
     schema = source.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean") if kept else "lang_pred string, score double, accepted boolean"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
