@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import jaccard, langid, privacy, quality_kn, quality_rules
+from . import jaccard, katz, langid, privacy, quality_kn, quality_rules
 from .ann import nearest
 from .bpe import Codec
 from .common import fold, table
@@ -40,6 +40,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_kn.train(docs, table(spark, sf_dir, "labels"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
     "op4_language": op4_language,
+    "op5_katz": op5_katz,
     "op6_quality": op6_quality,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_token_counts": op8_token_counts,
