@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -30,12 +29,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that have been cut off; else they stay until the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def share_file(spark: SparkSession, name: str, content: bytes) -> str:
     """Writes content to the shared folder and hands it to every executor, also to later ones; gives the name to look up with SparkFiles."""
     unique = f"{name}-{uuid.uuid4().hex}"

@@ -26,8 +26,10 @@ from .components import components
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _ORDER = _U(0xC2B2AE3D27D4EB4F)
-#: Keys held at once by a worker before they are handed on, members of a block in the second look, words of the filter on ids.
-FLUSH, BLOCK, FILTER_WORDS = 3_000_000, 1024, 1 << 20
+#: Keys held at once by a worker before they are handed on, members of a block in a further look, words of the filter on ids.
+FLUSH, BLOCK, FILTER_WORDS = 1_500_000, 1024, 1 << 20
+#: Further looks; the last takes all pairs that are still open.
+LOOKS = 2
 
 
 def wrapped_sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ class Bands:
         u = np.array(upper, np.int64)
         limit = self.most_apart(u + u * self.den // self.num)
         seeds = vec._seeded(2 * len(u), 29)
-        for name, value in (("upper", u), ("limit", limit), ("parts", limit + 2 + limit // 20), ("bits", 64 * np.maximum(1, (4 * limit + 63) // 64)), ("seed", seeds[: len(u)]), ("seed2", seeds[len(u) :])):
+        for name, value in (("upper", u), ("limit", limit), ("parts", limit + 2 + limit // 20), ("bits", 64 * np.maximum(1, (8 * limit + 63) // 64)), ("seed", seeds[: len(u)]), ("seed2", seeds[len(u) :])):
             object.__setattr__(self, name, value)
 
     def most_apart(self, both: np.ndarray) -> np.ndarray:
@@ -291,35 +293,64 @@ def fetch(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(need, "id").select("node", "text").dropDuplicates(["node"])
 
 
-def second_look(members: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of members of one key (key, node, root, n, band, own, below) in different components that can still be similar."""
+def second_look(members: DataFrame, nodes: DataFrame, failed: DataFrame, bands: Bands, forest: bool) -> DataFrame:
+    """Untested pairs of members of one key (key, node, root) in different components that can still be similar: key, x, y, open.
+
+    With `forest`, a block gives only pairs that would join what its earlier, closer pairs have not joined: fewer than its
+    members. open says that it has others, which matter if one of the given pairs fails."""
     size = members.groupBy("key").agg(F.count("*").alias("c"), F.countDistinct("root").alias("r"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
     size = size.where("c > 2 and r > 1").groupBy("s", "c").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = (
-        members.join(size.select("key", "c"), "key").withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        members.join(size.select("key", "c"), "key").join(nodes.select("node", "n", "band", "own", "below"), "node").join(failed, "node", "left")
+        .withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         .withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("lo", F.least("b", "j")).withColumn("hi", F.greatest("b", "j"))
     )
 
     def compare(t: pa.Table) -> pa.Table:
         node, root, n, band, b = (t[c].to_numpy() for c in ("node", "root", "n", "band", "b"))
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        g = int(band.min())
+        g, size = int(band.min()), len(node)
         own, below = t["own"].to_pylist(), t["below"].to_pylist()
-        sk = np.frombuffer(b"".join(own[i] if band[i] == g else below[i] for i in range(len(node))), np.uint64).reshape(len(node), -1)
-        left, right = (np.arange(len(node)),) * 2 if lo == hi else (np.flatnonzero(b == lo), np.flatnonzero(b == hi))
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sk = np.frombuffer(b"".join(own[i] if band[i] == g else below[i] for i in range(size)), np.uint64).reshape(size, -1)
+        place = {x: i for i, x in enumerate(node.tolist())}
+        tried = {min(i, j) * size + max(i, j) for i, f in enumerate(t["failed"].to_pylist()) for y in f or () if (j := place.get(y)) is not None}
+        tried = np.array(sorted(tried), np.int64)
+        left, right = (np.arange(size),) * 2 if lo == hi else (np.flatnonzero(b == lo), np.flatnonzero(b == hi))
+        near, xs, ys = [], [], []
         for at in range(0, len(left), 32):
             rows = left[at : at + 32]
             far = np.bitwise_count(sk[rows][:, None, :] ^ sk[right][None, :, :]).sum(axis=2, dtype=np.int64)
             a, c = n[rows][:, None], n[right][None, :]
             fits = (far <= bands.most_apart(a + c)) & (bands.den * np.minimum(a, c) >= bands.num * np.maximum(a, c))
-            i, j = np.nonzero(fits & (root[rows][:, None] != root[right][None, :]) & (node[rows][:, None] != node[right][None, :]))
-            xs.append(np.maximum(node[rows[i]], node[right[j]]))
-            ys.append(np.minimum(node[rows[i]], node[right[j]]))
-        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "x long, y long").distinct()
+            i, j = np.nonzero(fits & (root[rows][:, None] != root[right][None, :]))
+            near.append(far[i, j])
+            xs.append(rows[i])
+            ys.append(right[j])
+        d, x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (near, xs, ys))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        code, first = np.unique(x * size + y, return_index=True)
+        fresh = first[~np.isin(code, tried)]
+        x, y = x[fresh], y[fresh]
+        found = len(x)
+        if forest and len(x):
+            up = {r: r for r in root.tolist()}
+
+            def top(r: int) -> int:
+                while up[r] != r:
+                    up[r] = r = up[up[r]]
+                return r
+
+            keep = []
+            for e in np.argsort(d[fresh], kind="stable").tolist():
+                p, q = top(int(root[x[e]])), top(int(root[y[e]]))
+                if p != q:
+                    up[p] = q
+                    keep.append(e)
+            x, y = x[keep], y[keep]
+        return pa.table({"key": np.full(len(x), t["key"][0].as_py(), np.int64), "x": np.maximum(node[x], node[y]), "y": np.minimum(node[x], node[y]), "open": np.full(len(x), found > len(x))})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "key long, x long, y long, open boolean")
 
 
 def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,19 +380,29 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     pairs = cut(met.select("x", "y").distinct())
     ends = lambda p: p.select(F.col("x").alias("node")).union(p.select(F.col("y").alias("node"))).distinct()
     told = cut(verify(pairs, fetch(docs, nodes, ends(pairs)), k, bands))
-    edges = told.where("linked").select("x", "y")
-    found = components(edges)
+    found = components(told.where("linked").select("x", "y"))
     root_of = lambda df, name, out: df.join(found.select(F.col("node").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
     apart = cut(root_of(root_of(told.where("not linked").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry").select("x", "y"))
     if apart.limit(1).count():
         keys = met.join(apart, ["x", "y"], "left_semi").select("key").distinct()
         again = met.join(keys, "key", "left_semi")
         members = again.select("key", F.col("x").alias("node")).union(again.select("key", F.col("y").alias("node"))).distinct()
-        members = cut(root_of(members, "node", "root").join(nodes.select("node", "n", "band", "own", "below"), "node"))
-        more = cut(second_look(members, bands).join(pairs, ["x", "y"], "left_anti"))
-        if more.limit(1).count():
-            late = cut(verify(more, fetch(docs, nodes, ends(more)), k, bands).where("linked").select("x", "y"))
-            found = components(found.select(F.col("node").alias("x"), F.col("root").alias("y")).union(late))
+        members = cut(members)
+        for look in range(LOOKS):
+            failed = told.where("not linked").groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("failed"))
+            more = cut(second_look(root_of(members, "node", "root"), nodes, failed, bands, look + 1 < LOOKS))
+            new = more.select("x", "y").distinct()
+            if not new.limit(1).count():
+                break
+            late = cut(verify(new, fetch(docs, nodes, ends(new)), k, bands))
+            told = told.union(late)
+            links = late.where("linked").select("x", "y")
+            if links.limit(1).count():
+                found = components(found.select(F.col("node").alias("x"), F.col("root").alias("y")).union(links))
+            keys = cut(more.where("open").join(late.where("not linked"), ["x", "y"], "left_semi").select("key").distinct())
+            if not keys.limit(1).count():
+                break
+            members = cut(members.join(keys, "key", "left_semi"))
     rooted = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     label = rooted.join(smallest, "root").select("node", "component")
