@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut
+from .common import cut, release
 from .components import components
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _ORDER = _U(0xC2B2AE3D27D4EB4F)
 #: Keys held at once by a worker before they are handed on, members of a block in a further look, words of the filter on ids.
-FLUSH, BLOCK, FILTER_WORDS = 1_500_000, 1024, 1 << 20
+FLUSH, BLOCK, FILTER_WORDS = 1_000_000, 1024, 1 << 20
 #: Further looks; the last takes all pairs that are still open.
 LOOKS = 2
 
@@ -377,6 +377,7 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
         .select("key", F.explode(F.expr("filter(concat(array(struct(node as x, leader as y)), transform(coalesce(others, array()), o -> struct(o as x, node as y))), p -> p.x <> p.y)")).alias("p"))
     )
     met = cut(met.select("key", "p.x", "p.y"))
+    release(docs.sparkSession)  # the keys' shuffle is the largest by far
     pairs = cut(met.select("x", "y").distinct())
     ends = lambda p: p.select(F.col("x").alias("node")).union(p.select(F.col("y").alias("node"))).distinct()
     told = cut(verify(pairs, fetch(docs, nodes, ends(pairs)), k, bands))

@@ -6,13 +6,19 @@ memory does not depend on how many rows an Arrow batch holds. A single text is n
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text makes a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not every C library has it
+    _trim = None
 
 _U = np.uint64
 WHITE = np.zeros(256, bool)
@@ -51,6 +57,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: workers live on between tasks, and beside the JVM every one's peak would stay."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for consecutive blocks; a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -71,6 +84,7 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Itera
         hi = min(n, max(hi, lo + 1))
         yield lo, hi, buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    give_back()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
