@@ -31,6 +31,8 @@ class Counter:
         self.limit, self.total = limit, 0
 
     def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if not len(starts):
+            return
         self.total += len(starts)
         h = vec.span_hashes(data, starts, ends)
         keys, first, counts = np.unique(h, return_index=True, return_counts=True)
