@@ -89,7 +89,7 @@ def ass_cues(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> D
 def rebuild_ass(docs: DataFrame, translations: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """docs with translations (id, cue, translation) in place of texts; their line breaks become the format's own."""
     lines = ass_lines(docs, id_col, raw_col).withColumn("cue", F.concat(F.lit("line-"), F.col("line_no"))).join(translations.select(id_col, "cue", "translation"), [id_col, "cue"], "left")
-    put = F.regexp_replace("translation", r"\r\n|\n", r"\\\\N")
+    put = F.regexp_replace("translation", r"\r\n|\n", r"\\N")
     shown = F.when(F.col("head").isNotNull() & F.col("translation").isNotNull(), F.concat("head", put)).otherwise(F.col("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", shown.alias("s")))), lambda r: r["s"]), "\n")
     built = lines.groupBy(id_col).agg(joined.alias("_built"))
