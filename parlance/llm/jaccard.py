@@ -85,9 +85,20 @@ class Bands:
         u = np.array(upper, np.int64)
         limit = self.most_apart(u + u * self.den // self.num)
         seeds = vec._seeded(2 * len(u), 29)
-        for name, value in (("upper", u), ("limit", limit), ("parts", limit + 2 + limit // 20), ("bits", 64 * np.maximum(1, (8 * limit + 63) // 64)), ("seed", seeds[: len(u)]), ("seed2", seeds[len(u) :])):
+        for name, value in (("upper", u), ("limit", limit), ("parts", self.enough_parts(limit, np.append(1, u[:-1] + 1))), ("bits", 64 * np.maximum(1, (8 * limit + 63) // 64)), ("seed", seeds[: len(u)]), ("seed2", seeds[len(u) :])):
             object.__setattr__(self, name, value)
 
+    @staticmethod
+    def enough_parts(limit: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+        """The fewest parts of which even a group's smallest sets fill more than can differ, three deviations aside; at most twice the limit."""
+        parts = limit + 2
+        while True:
+            empty = parts * np.exp(-smallest / parts)
+            short = (parts - empty - 3 * np.sqrt(empty) < limit + 1) & (parts < 2 * (limit + 2))
+            if not short.any():
+                return parts
+            parts = np.where(short, parts + 1 + parts // 100, parts)
+
     def most_apart(self, both: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of two linked sets whose sizes add up to `both`."""
         return both * (self.den - self.num) // (self.den + self.num)
