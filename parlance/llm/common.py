@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of tables that have been cut off; else they stay until the driver happens to collect its garbage."""
-    for _ in range(2):
+    for _ in range(2):  # the bridge to the JVM lets go of Python's objects a moment after they are collected
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def share_file(spark: SparkSession, name: str, content: bytes) -> str:
