@@ -100,3 +100,18 @@ def page_offset(candidates: DataFrame, pages: DataFrame, id_col: str = "doc_id",
     p = pages.select(id_col, F.col("page_no").alias("at"), "text")
     hits = few.join(p, id_col).where((F.col("at") >= low) & (F.col("at") < low + reach) & title_appears(F.col("title"), F.col("text")))
     return hits.groupBy(id_col).agg(F.min_by(F.col("at") - F.col("printed_page"), F.struct("nth", "at")).alias("page_offset"))
+
+
+def select_pages(pages: DataFrame, wanted: list[int] | None = None, first: int | None = None, last: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Rows of pages (id, page_no) that are chosen: by number; or from first to last; first alone is so many from the start, last alone so many from the end."""
+    page = F.col("page_no")
+    if wanted is not None:
+        return pages.where(page.isin(*wanted)) if wanted else pages.limit(0)
+    if first is not None and last is not None:
+        return pages.where((page >= first) & (page <= last))
+    if first is not None:
+        return pages.where(page <= first)
+    if last is None:
+        return pages
+    total = pages.groupBy(id_col).agg(F.max("page_no").alias("_total"))
+    return pages.join(total, id_col).where(page > F.col("_total") - last).select(*pages.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from ..functions.text import js_trim, strip_markdown
 from ..operators.glossary import Term, trim
 
 TERMS = ArrayType(StructType([StructField(n, StringType()) for n in ("source", "target", "notes")]))
+ISSUES = ArrayType(StructType([StructField(n, StringType()) for n in ("severity", "description")]))
 #: (content, glossary so far) to (translation, newly proposed terms); must be importable by the workers.
 Translator = Callable[[str, list[Term]], tuple[str, list[Term]]]
 #: (source, translation, final glossary) to (corrected, issues as (severity, description)).
@@ -39,6 +40,34 @@ def translate_parts(parts: DataFrame, translator: Translator, run_col: str = "ru
     return parts.select(run_col, F.col("part_index").cast("int"), "content").groupBy(run_col).applyInPandas(fold, schema)
 
 
+def review_parts(translated: DataFrame, terms: DataFrame, editor: Editor | None, run_col: str = "run_id", order: str = "ord") -> DataFrame:
+    """translated (run, part_index, content, translation) to run, part_index, translation, issues, under each run's final glossary.
+
+    Parts are independent here, so they stay where they are; only a run's glossary, which one prompt must hold, is gathered
+    and joined to them. An empty correction falls back to the translation; without an editor parts pass with no issues.
+    """
+    schema = translated.select(run_col).schema.add("part_index", "integer").add("translation", "string").add("issues", ISSUES)
+    parts = translated.select(run_col, F.col("part_index").cast("int"), "content", "translation")
+    if editor is None:
+        return parts.select(run_col, "part_index", "translation", F.array().cast(ISSUES).alias("issues"))
+    final = terms.groupBy(run_col).agg(F.array_sort(F.collect_list(F.struct(order, "source", "target", "notes"))).alias("terms"))
+
+    def review(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for run, index, content, translation, known in b.itertuples(index=False):
+                text, issues = editor(content, translation, [] if known is None else [(t["source"], t["target"], t["notes"]) for t in known])
+                rows.append((run, index, text or translation, [{"severity": s, "description": d} for s, d in issues]))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return parts.join(final, run_col, "left").select(*parts.columns, "terms").mapInPandas(review, schema)
+
+
+def issues_of(reviewed: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """run, part_index, severity and description of every issue."""
+    return reviewed.select(run_col, "part_index", F.explode("issues").alias("i")).select(run_col, "part_index", "i.*")
+
+
 def with_fallback(entries: DataFrame, replies: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """entries with the last reply for each key as translation; without one, the source value. Unknown keys are ignored."""
     last = replies.groupBy(*keys).agg(F.max_by("translation", "ord").alias("translation"))

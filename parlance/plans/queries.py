@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk, discover, glossary, pack, ranges, structured, subtitles
-from . import localize
+from ..sources import files, sinks
+from . import localize, prompts, replies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,13 +109,13 @@ def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH t AS (SELECT *, CASE WHEN origin = 'seed' THEN NULL ELSE ord % 10 END AS part_index FROM ({_TERMS}) WHERE ord % 50 <> 0 AND ord % 3 <> 0 OR ord % 150 = 0),
+    WITH t AS (SELECT *, CASE WHEN origin = 'seed' THEN NULL ELSE ord % 10 END AS part_index FROM ({_TERMS})),
     p AS (SELECT r_regionkey AS run_id, i AS part_index FROM region, unnest(range(0, 12)) AS u(i)),
     v AS (SELECT p.run_id, p.part_index, t.ord, t.source, t.target, t.origin, row_number() OVER (PARTITION BY p.run_id, p.part_index, lower(t.source) ORDER BY t.origin <> 'seed', t.part_index NULLS FIRST, t.ord) AS k
           FROM p JOIN t ON t.run_id = p.run_id AND (t.part_index IS NULL OR t.part_index < p.part_index))
     SELECT run_id, part_index, ord, source, target, CAST(NULL AS VARCHAR) AS notes, origin FROM v WHERE k = 1""")
 def glossary_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark, sf_dir).where("ord % 50 <> 0 and ord % 3 <> 0 or ord % 150 = 0").withColumn("part_index", F.when(F.col("origin") != "seed", F.col("ord") % 10))
+    terms = _terms(spark, sf_dir).withColumn("part_index", F.when(F.col("origin") != "seed", F.col("ord") % 10))
     parts = _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("run_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("part_index"))
     return glossary.glossary_as_of(terms, parts, "run_id")
 
@@ -258,3 +259,38 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return docs.select("doc_id", T.strip_markdown(F.concat(F.lit("# *"), "source", F.lit("*\n\n"), "text")).alias("text"))
+
+
+@query("SELECT p_partkey AS doc_id, CAST(i AS INTEGER) AS page_no FROM part, unnest(range(1, p_size + 1)) AS u(i) WHERE i > p_size - 3")
+def last_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "part").where("p_size >= 1").select(F.col("p_partkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.col("p_size").cast("int"))).alias("page_no"))
+    return ranges.select_pages(pages, last=3)
+
+
+@query(r"""
+    SELECT doc_id, 'Target language: fr' || chr(10) || 'Source language: detect from the text' || chr(10) || 'Part 1 of 1' || coalesce(chr(10) || 'Title: ' || source, '') || chr(10) || 'Style guide:' || chr(10) || 'Keep the tone of the source.'
+        || chr(10) || 'Glossary:' || chr(10) || 'No terms yet.' || chr(10) || chr(10) || 'Translate into fr. Keep headings, lists, links and code as they are marked. Report terms that will recur.' || chr(10) || chr(10)
+        || '=== SOURCE ===' || chr(10) || text || chr(10) || '=== END OF SOURCE ===' AS prompt FROM documents""")
+def text_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title"), F.lit(1).alias("part_index"), F.lit(1).alias("total"), F.lit("").alias("glossary"))
+    return localize.prompt_header(docs, "fr").select("doc_id", prompts.translation_prompt("text", "fr", F.col("header"), F.col("text")).alias("prompt"))
+
+
+@query("SELECT doc_id, lang AS translation, CAST(0 AS INTEGER) AS terms FROM documents WHERE lang IS NOT NULL")
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies without the required field have no row; those without terms have an empty list."""
+    raw = F.to_json(F.struct(F.col("lang").alias("translation")))
+    got = _read(spark, sf_dir, "documents").select("doc_id", replies.parse_reply(raw, "text_translation").alias("r"))
+    return got.where("r is not null").select("doc_id", "r.translation", F.size("r.newTerms").alias("terms"))
+
+
+@query("SELECT n_regionkey AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS ord, n_name AS source, lower(n_name) AS target, CAST(NULL AS VARCHAR) AS notes, 'seed' AS origin FROM nation")
+def canonical_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = _read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("path"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("source"), F.lower("n_name").alias("target"), F.lit(None).cast("string").alias("notes"), F.lit("seed").alias("origin"))
+    return files.canonical_terms(sinks.canonical_glossaries(terms, "path"))
+
+
+@query("SELECT source AS run_id, CAST(doc_id AS INTEGER) AS part_index, text AS translation FROM documents")
+def review_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _read(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").cast("int").alias("part_index"), F.col("text").alias("content"), F.col("text").alias("translation"))
+    return localize.review_parts(parts, spark.createDataFrame([], "run_id string, ord int, source string, target string, notes string"), None).drop("issues")
