@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunk, discover, glossary, pack, ranges, structured, subtitles
 from ..sources import files, sinks
-from . import localize, prompts, replies
+from . import localize, prepare, prompts, replies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,3 +294,16 @@ def canonical_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _read(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").cast("int").alias("part_index"), F.col("text").alias("content"), F.col("text").alias("translation"))
     return localize.review_parts(parts, spark.createDataFrame([], "run_id string, ord int, source string, target string, notes string"), None).drop("issues")
+
+
+@query("""
+    WITH s AS (SELECT s_nationkey AS run_id, min(s_suppkey) AS o, s_suppkey % 3 AS folder, s_suppkey % 2 AS file FROM supplier GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS docs, count(*) OVER (PARTITION BY run_id, file) AS same FROM s)
+    SELECT run_id, CAST(i AS INTEGER) AS source_index, 'd' || folder || '/f' || file || '.md' AS path, 'markdown' AS kind, 'markdown' AS format,
+        'translation/' || run_id || '/' || CASE WHEN docs > 1 AND same > 1 THEN printf('doc-%03d-', i + 1) ELSE '' END || 'f' || file || '.fr.md' AS output_path,
+        CASE WHEN docs > 1 THEN printf('doc-%03d-', i + 1) || 'f' || file END AS cache FROM n""")
+def run_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("d"), F.col("s_suppkey") % 3, F.lit("/f"), F.col("s_suppkey") % 2, F.lit(".md"))
+    sources = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("run_id"), F.col("s_suppkey").alias("ord"), path.alias("path"))
+    runs = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_id"), F.lit("fr").alias("target"), F.lit(None).cast("string").alias("output_path"))
+    return prepare.run_outputs(sources, runs)
