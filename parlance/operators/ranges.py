@@ -115,3 +115,29 @@ def select_pages(pages: DataFrame, wanted: list[int] | None = None, first: int |
         return pages
     total = pages.groupBy(id_col).agg(F.max("page_no").alias("_total"))
     return pages.join(total, id_col).where(page > F.col("_total") - last).select(*pages.columns)
+
+
+def range_pages(ranges: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The logical split of a document: pages with part (from 1, in page order) and title of every range that holds them.
+
+    ranges (id, title, start_page, end_page) are spelled out page by page, so that the join has equal keys and long
+    documents spread over its tasks. Pages outside all ranges and ranges without pages have no rows; null bounds neither.
+    """
+    order = Window.partitionBy(id_col).orderBy("start_page", "end_page", "title")
+    told = ranges.where("start_page <= end_page").select(id_col, "title", "start_page", "end_page", F.row_number().over(order).alias("part"))
+    spelled = told.select(id_col, "part", "title", F.explode(F.sequence(F.col("start_page").cast("int"), F.col("end_page").cast("int"))).alias("page_no"))
+    return pages.drop("part", "title").join(spelled, [id_col, "page_no"])
+
+
+def plan_ranges(outline: DataFrame, toc: DataFrame, windows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each document's ranges from its best plan, with plan: outline, else toc, else windows.
+
+    A plan of outline or toc counts if it starts at two pages or more; its front matter is no start of its own.
+    """
+    starts = lambda t: t.where("title is null or title <> 'Front matter'").groupBy(id_col).agg(F.countDistinct("start_page").alias("n")).where("n >= 2").select(id_col)
+    good_outline, good_toc = starts(outline), starts(toc)
+    named = lambda t, name: t.select(id_col, "title", "start_page", "end_page", F.lit(name).alias("plan"))
+    first = named(outline, "outline").join(good_outline, id_col, "left_semi")
+    second = named(toc, "toc").join(good_toc, id_col, "left_semi").join(good_outline, id_col, "left_anti")
+    rest = named(windows, "windows").join(good_outline, id_col, "left_anti").join(good_toc, id_col, "left_anti")
+    return first.unionByName(second).unionByName(rest)
