@@ -1,13 +1,16 @@
 """Language-model scores by Katz back-off: Good-Turing discounted counts with exactly normalised back-off weights.
 
 Tokens are words and one end per text. The unigram model covers every word of the training texts and one class for all
-others; the bigram model covers pairs of the `vocabulary` most frequent words, the end, and the start of a text. Where a
-word outside that vocabulary is the history, or the word predicted, the unigram model answers, with the history's
-back-off weight if it has one, so every conditional distribution sums to one.
-
-All occurrences of training and scored texts are dealt once, by the hash of their pair (or of their word, if it is
-outside the vocabulary), into a table in the shared folder: packed arrays, of which each partition is counted, then
-discounted, then scored. Only counts of counts and one row per vocabulary word come to the driver.
+others; the bigram model covers every pair of neighbours in them, the start of a text included. Every conditional
+distribution sums to one.
+
+All occurrences of training and scored texts are dealt once, in packed arrays, into a table in the shared folder, of which
+each partition is counted, then discounted, then scored. Words are either common, with an id and figures that the driver
+knows, or rare, known by hash to the part that the hash names; which are which never changes a result. Pairs of common
+words are dealt by the hash of the pair, a rare word after a common one by the word, a common word after a rare one by
+the history. A pair of rare words goes first to the part of its word, which knows that word's count, and from there to
+the part of its history, which knows the back-off weight. Only counts of counts and one row per common word come to the
+driver.
 """
 
 from __future__ import annotations
@@ -21,14 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, partitions
+from .common import cut, partitions, release
 from .frequent import frequent
 
 _U = np.uint64
-#: Ids beside those of vocabulary words: the end of a text, its start (a history only), and a word outside.
+#: Ids beside those of common words: the end of a text, its start (a history only), and a rare word.
 END, START, OUTSIDE, RESERVED = 0, 1, 2, 3
 #: Counts up to K are discounted.
 K = 5
+#: Kinds of dealt rows: a rare word after any history, two common ones, a common word after a rare one, two rare ones.
+WORD, BOTH, AFTER, RARE = 0, 1, 2, 3
+#: Types of the columns a, b, c of each kind: history's id, word's hash, history's hash (0 if common); history's and word's id;
+#: word's id, history's hash; word's count, history's hash, word's hash.
+TYPES = {WORD: (np.int32, _U, _U), BOTH: (np.int32, np.int32), AFTER: (np.int32, _U), RARE: (np.int64, _U, _U)}
+#: Common words make up at least 1 / REPORT of a partition's tokens.
+REPORT = 200_000
+#: Occurrences that a worker packs at once.
+PACKED = 1_000_000
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +66,9 @@ def good_turing(counts_of_counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Numbers:
-    """What the driver knows of the training texts: totals, discounts, and the vocabulary's own figures."""
+    """What the driver knows of the training texts: totals, discounts, and the common words' own figures.
+
+    Unless `whole`, only pairs of common words are counted."""
 
     tokens: int
     distinct: int
@@ -66,17 +80,32 @@ class Numbers:
     log_word: np.ndarray
     log_alpha: np.ndarray
     pair_base: np.ndarray
+    whole: bool
 
     def log_unigram(self, count: np.ndarray) -> np.ndarray:
         """log10 probability of a word with this count; 0 is the class of unseen words."""
         d = self.unigram[np.minimum(count, K)] * (count <= K) + (count > K)
         return np.log10(np.where(count > 0, d * count / max(1, self.base), self.unseen))
 
+    def kept(self, count: np.ndarray) -> np.ndarray:
+        """Discounted counts of pairs."""
+        return (self.bigram[np.minimum(count, K)] * (count <= K) + (count > K)) * count
+
+
+def weights(total: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What pairs' discounted counts are divided by, and log10 of the back-off weight, for histories with this count, this
+    sum of discounted counts, and this unigram probability of all followers seen."""
+    full = (total > 0) & (kept > total * (1 - 1e-12))  # only frequent followers, and nothing left: one more, unseen, thins their shares
+    left = np.where(full, 1 / (total + 1), 1 - kept / np.maximum(total, 1))
+    return total + full, np.log10(left / (1 - seen))
+
 
 def _pack(parts: np.ndarray, count: int, doc: np.ndarray, columns: list[np.ndarray], ids: np.ndarray, held: np.ndarray, kind: int) -> Iterator[tuple]:
-    """Rows (part, kind, documents, flags, sizes, values) with the occurrences of each part in the order of their documents."""
+    """Rows of DEALT with the occurrences of each part in the order of their documents."""
+    parts = parts.astype(np.uint16 if count < 65536 else np.int32)
     order = np.argsort(parts, kind="stable")
     border = np.searchsorted(parts[order], np.arange(count + 1))
+    columns = [c.astype(t) for c, t in zip(columns, TYPES[kind], strict=True)]
     for p in range(count):
         at = order[border[p] : border[p + 1]]
         if len(at):
@@ -85,10 +114,16 @@ def _pack(parts: np.ndarray, count: int, doc: np.ndarray, columns: list[np.ndarr
             size = np.diff(np.append(first, len(at)))
             row = own[first]
             press = lambda a: pa.compress(a.tobytes(), "zstd", asbytes=True)
-            yield p, kind, len(first), len(at), press(ids[row]), press(held[row]), press(size.astype(np.uint32)), *(press(c[at]) for c in columns)
+            packed = [press(c[at]) for c in columns]
+            yield p, kind, len(first), len(at), press(ids[row]), press(held[row]), press(size.astype(np.uint32)), *packed, *[None] * (3 - len(packed))
+
 
+NAMES = ("part", "kind", "n_docs", "n", "docs", "held", "sizes", "a", "b", "c")
+DEALT = "part int, kind int, n_docs int, n int, docs binary, held binary, sizes binary, a binary, b binary, c binary"
 
-DEALT = "part int, kind int, n_docs int, n int, docs binary, held binary, sizes binary, a binary, b binary"
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], _schema())
 
 
 def deal(docs: DataFrame, shared, count: int) -> DataFrame:
@@ -102,14 +137,15 @@ def deal(docs: DataFrame, shared, count: int) -> DataFrame:
             nonlocal kept
             if not kept:
                 return None
-            doc, history, own, h, ids, held = (np.concatenate([k[i] for k in kept]) for i in range(6))
+            doc, history, own, before, h, ids, held = (np.concatenate([k[i] for k in kept]) for i in range(7))
             kept = []
-            inside = own != OUTSIDE
-            pair = (history[inside].astype(_U) << _U(32)) | own[inside].astype(_U)
-            rows = list(_pack((vec.mix(pair) % _U(count)).astype(np.uint16 if count < 65536 else np.int32), count, doc[inside], [history[inside].astype(np.int32), own[inside].astype(np.int32)], ids, held, 1))
-            out = ~inside
-            rows += _pack((h[out] % _U(count)).astype(np.uint16 if count < 65536 else np.int32), count, doc[out], [history[out].astype(np.int32), h[out]], ids, held, 0)
-            return pa.RecordBatch.from_pylist([dict(zip(("part", "kind", "n_docs", "n", "docs", "held", "sizes", "a", "b"), r, strict=True)) for r in rows], _schema())
+            word, after = own == OUTSIDE, (own != OUTSIDE) & (history == OUTSIDE)
+            both = ~(word | after)
+            pair = (history[both].astype(_U) << _U(32)) | own[both].astype(_U)
+            rows = list(_pack(vec.mix(pair) % _U(count), count, doc[both], [history[both], own[both]], ids, held, BOTH))
+            rows += _pack(before[after] % _U(count), count, doc[after], [own[after], before[after]], ids, held, AFTER)
+            rows += _pack(h[word] % _U(count), count, doc[word], [history[word], h[word], np.where(history[word] == OUTSIDE, before[word], _U(0))], ids, held, WORD)
+            return _batch(rows)
 
         base = tokens = 0
         for b in batches:
@@ -124,13 +160,13 @@ def deal(docs: DataFrame, shared, count: int) -> DataFrame:
                 own, full = np.full(int(ptr[-1]), END, np.int64), np.zeros(int(ptr[-1]), _U)
                 at = vec.ragged(ptr[:-1], per)
                 own[at], full[at] = word, h
-                history = np.empty_like(own)
-                history[1:] = own[:-1]
-                history[ptr[:-1]] = START
-                kept.append((np.repeat(np.arange(hi - lo) + base, per + 1), history, own, full, ids[lo:hi], held[lo:hi]))
+                history, before = np.empty_like(own), np.empty_like(full)
+                history[1:], before[1:] = own[:-1], full[:-1]
+                history[ptr[:-1]], before[ptr[:-1]] = START, 0
+                kept.append((np.repeat(np.arange(hi - lo) + base, per + 1), history, own, before, full, ids[lo:hi], held[lo:hi]))
                 base += hi - lo
                 tokens += len(own)
-                if tokens >= 1_000_000:
+                if tokens >= PACKED:
                     yield flush()
                     base = tokens = 0
         if (last := flush()) is not None:
@@ -139,18 +175,50 @@ def deal(docs: DataFrame, shared, count: int) -> DataFrame:
     return docs.mapInArrow(scan, DEALT)
 
 
+def _cross(count: int):
+    """Rows of common words after rare ones as they are, and pairs of rare words with their words' counts, for the parts of their histories."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        base = held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal kept, base, held
+            doc, c, history, word, ids, away = (np.concatenate([k[i] for k in kept]) for i in range(6))
+            kept, base, held = [], 0, 0
+            return _batch(list(_pack(history % _U(count), count, doc, [c, history, word], ids, away, RARE)))
+
+        for rows in _per_part(batches):
+            if after := [r for r in rows if r["kind"] == AFTER]:
+                yield pa.RecordBatch.from_pylist(after, _schema())
+            o = _read(rows, WORD)
+            _, c, place = _counts(o.b, o.trained)
+            at = np.flatnonzero(o.a == OUTSIDE)
+            kept.append((o.doc[at] + base, c[place[at]], o.c[at], o.b[at], o.ids, o.held))
+            base += len(o.ids)
+            held += len(o.b)
+            if held >= PACKED:
+                yield flush()
+        if kept:
+            yield flush()
+
+    return scan
+
+
 def _schema() -> pa.Schema:
-    return pa.schema([(n, pa.int32()) for n in ("part", "kind", "n_docs", "n")] + [(n, pa.binary()) for n in ("docs", "held", "sizes", "a", "b")])
+    return pa.schema([(n, pa.int32()) for n in ("part", "kind", "n_docs", "n")] + [(n, pa.binary()) for n in ("docs", "held", "sizes", "a", "b", "c")])
 
 
 @dataclass
 class Occurrences:
-    """One part's occurrences of one kind: histories, words (ids or hashes), their documents' places, and the documents."""
+    """One part's occurrences of one kind: its columns, the places of their documents, and the documents."""
 
-    history: np.ndarray
-    word: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray | None
     doc: np.ndarray
     ids: np.ndarray
+    held: np.ndarray
     trained: np.ndarray
 
 
@@ -158,12 +226,12 @@ def _read(rows: list[dict], kind: int) -> Occurrences:
     parts = [r for r in rows if r["kind"] == kind]
     get = lambda r, name, n, t: np.frombuffer(pa.decompress(r[name], n * np.dtype(t).itemsize, "zstd", asbytes=True), t)
     cat = lambda arrays, t: np.concatenate(arrays) if arrays else np.zeros(0, t)
-    word = np.int32 if kind else _U
     ids = cat([get(r, "docs", r["n_docs"], np.int64) for r in parts], np.int64)
     held = cat([get(r, "held", r["n_docs"], bool) for r in parts], bool)
     size = cat([get(r, "sizes", r["n_docs"], np.uint32) for r in parts], np.uint32)
-    doc = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-    return Occurrences(cat([get(r, "a", r["n"], np.int32) for r in parts], np.int32), cat([get(r, "b", r["n"], word) for r in parts], word), doc, ids, ~held[doc])
+    doc = np.repeat(np.arange(len(ids), dtype=np.int64), size)
+    columns = [cat([get(r, name, r["n"], t) for r in parts], t) for name, t in zip("abc", TYPES[kind])]
+    return Occurrences(*columns, *[None] * (3 - len(columns)), doc, ids, held, ~held[doc])
 
 
 def _per_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -186,38 +254,95 @@ def _counts(key: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(place[trained], minlength=len(distinct)), place
 
 
-def _pair_key(o: Occurrences) -> np.ndarray:
-    return (o.history.astype(np.int64) << 32) | o.word
+def _hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return vec.mix(vec.mix(x.astype(_U)) + y.astype(_U))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part: numbers of outside words by count (1 .. K + 1, and all), their tokens; and counts of vocabulary words."""
+    """Per part: numbers of rare words by count (1 .. K + 1, and all), their tokens; and counts of common words."""
     for rows in _per_part(batches):
-        out, inside = _read(rows, 0), _read(rows, 1)
-        _, c, _ = _counts(out.word, out.trained)
+        out, both, after = (_read(rows, k) for k in (WORD, BOTH, AFTER))
+        _, c, _ = _counts(out.b, out.trained)
         c = c[c > 0]
-        own = np.bincount(inside.word[inside.trained]) if len(inside.word) else np.zeros(1, np.int64)
+        own = np.bincount(np.append(both.b[both.trained], after.a[after.trained]), minlength=1)
         at = np.flatnonzero(own)
         key = [*(-r for r in range(1, K + 2)), -100, -101, *at.tolist()]
         value = [*(int((c == r).sum()) for r in range(1, K + 2)), len(c), int(c.sum()), *own[at].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(value, pa.int64())], ["key", "value"])
 
 
+@dataclass
+class Pairs:
+    """Occurrences of pairs, complete for each of their pairs.
+
+    For each occurrence its history (an id or a hash), its word's count and log10 unigram probability, the place of its pair,
+    and its document; for each pair its count and the place of one occurrence."""
+
+    history: np.ndarray
+    word_count: np.ndarray
+    log_word: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+    one: np.ndarray
+    doc: np.ndarray
+    ids: np.ndarray
+    held: np.ndarray
+    trained: np.ndarray
+
+
+def _pairs(m: Numbers, history, key, word_count, log_word, doc, ids, held, trained, counted: bool) -> Pairs:
+    _, count, place = _counts(key, trained)
+    one = np.zeros(len(count), np.int64)
+    one[place] = np.arange(len(place))
+    return Pairs(history, word_count, log_word, place, count * counted, one, doc, ids, held, trained)
+
+
+def _after_common(m: Numbers, rows: list[dict]) -> Iterator[Pairs]:
+    """Pairs whose histories are common words or the start: their words common, and rare."""
+    o = _read(rows, BOTH)
+    yield _pairs(m, o.a, (o.a.astype(np.int64) << 32) | o.b, m.word_count[o.b], m.log_word[o.b], o.doc, o.ids, o.held, o.trained, True)
+    o = _read(rows, WORD)
+    _, c, place = _counts(o.b, o.trained)
+    at = np.flatnonzero(o.a != OUTSIDE)
+    c = c[place[at]]
+    yield _pairs(m, o.a[at], _hash(o.b[at], o.a[at]), c, m.log_unigram(c), o.doc[at], o.ids, o.held, o.trained[at], m.whole)
+
+
+def _after_rare(m: Numbers, rows: list[dict]) -> Pairs:
+    """All pairs of a part's rare histories."""
+    x, y = _read(rows, AFTER), _read(rows, RARE)
+    both = lambda p, q: np.concatenate([p, q])
+    return _pairs(
+        m, both(x.b, y.b), both(_hash(x.b, x.a), _hash(y.b, y.c)), both(m.word_count[x.a], y.a), both(m.log_word[x.a], m.log_unigram(y.a)),
+        both(x.doc, y.doc + len(x.ids)), both(x.ids, y.ids), both(x.held, y.held), both(x.trained, y.trained), m.whole,
+    )
+
+
 def _count_pairs(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
+        m = shared.value
         for rows in _per_part(batches):
-            o = _read(rows, 1)
-            o_known = o.history != OUTSIDE
-            key, c, _ = _counts(_pair_key(o)[o_known], o.trained[o_known])
-            key, c = key[c > 0], c[c > 0]
-            history, word = key >> 32, key & 0xFFFFFFFF
-            cols = {"history": (h := np.unique(history))}
-            at = np.searchsorted(h, history)
-            for r in range(1, K + 2):
-                cols[f"n{r}"] = np.bincount(at[c == r], minlength=len(h))
-            cols["more"] = np.bincount(at, c * (c > K), len(h)).astype(np.int64)
-            cols["seen"] = np.bincount(at, 10.0 ** numbers.log_word[word], len(h)).astype(np.float64)
+            for p in _after_common(m, rows):
+                seen = p.count > 0
+                c, one = p.count[seen], p.one[seen]
+                h, at = np.unique(p.history[one], return_inverse=True)
+                cols = {"history": h.astype(np.int64)}
+                for r in range(1, K + 2):
+                    cols[f"n{r}"] = np.bincount(at[c == r], minlength=len(h))
+                cols["more"] = np.bincount(at, c * (c > K), len(h)).astype(np.int64)
+                cols["seen"] = np.bincount(at, 10.0 ** p.log_word[one], len(h)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], list(cols))
+
+    return scan
+
+
+def _count_rare(shared):
+    """Numbers of pairs by count, for all rare histories of a part together."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _per_part(batches):
+            c = _after_rare(shared.value, rows).count
+            cols = {"history": [OUTSIDE], **{f"n{r}": [int((c == r).sum())] for r in range(1, K + 2)}, "more": [0], "seen": [0.0]}
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], list(cols))
 
     return scan
@@ -240,7 +365,9 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]
     return [(distinct, own, *(np.bincount(at, x, len(distinct)) for x in sums))]
 
 
-def _score(shared):
+def _score(shared, rare: bool):
+    """Sums of each document over the pairs of common histories, or of rare ones."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, parts, held = shared.value, [], 0
 
@@ -250,29 +377,25 @@ def _score(shared):
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "held_out", "n_tokens", "n_known", "base", "score"])
 
         for rows in _per_part(batches):
-            for kind in (0, 1):
-                o = _read(rows, kind)
-                if not len(o.word):
+            for p in [_after_rare(m, rows)] if rare else _after_common(m, rows):
+                if not len(p.history):
                     continue
-                if kind:
-                    count = m.word_count[o.word]
-                    value = m.log_alpha[o.history] + m.log_word[o.word]
-                    known = o.history != OUTSIDE
-                    _, c, place = _counts(_pair_key(o)[known], o.trained[known])
-                    c = c[place]
-                    seen = c > 0
-                    d = m.bigram[np.minimum(c, K)] * (c <= K) + (c > K)
-                    at = np.flatnonzero(known)[seen]
-                    value[at] = np.log10(d[seen] * c[seen] / m.pair_base[o.history[known]][seen])
+                if rare:
+                    h, at = np.unique(p.history, return_inverse=True)
+                    seen = p.count > 0
+                    of, c = at[p.one[seen]], p.count[seen]
+                    base, alpha = weights(np.bincount(at[p.trained], minlength=len(h)), np.bincount(of, m.kept(c), len(h)), np.bincount(of, 10.0 ** p.log_word[p.one[seen]], len(h)))
                 else:
-                    _, c, place = _counts(o.word, o.trained)
-                    count = c[place]
-                    value = m.log_alpha[o.history] + m.log_unigram(count)
-                n = len(o.ids)
-                trained = np.zeros(n, bool)
-                trained[o.doc[o.trained]] = True
-                parts.append((o.ids, trained, np.bincount(o.doc, minlength=n), np.bincount(o.doc[count > 0], minlength=n), np.bincount(o.doc, np.log10(count + 1.0), n), np.bincount(o.doc, value, n)))
-                held += n
+                    at, base, alpha = p.history, m.pair_base, m.log_alpha
+                value = alpha[at] + p.log_word
+                c = p.count[p.place]
+                seen = np.flatnonzero(c)
+                value[seen] = np.log10(m.kept(c[seen]) / base[at[seen]])
+                n = len(p.ids)
+                own = np.flatnonzero(some := np.bincount(p.doc, minlength=n))
+                known, base_sum, sums = np.bincount(p.doc[p.word_count > 0], minlength=n), np.bincount(p.doc, np.log10(p.word_count + 1.0), n), np.bincount(p.doc, value, n)
+                parts.append((p.ids[own], ~p.held[own], some[own], known[own], base_sum[own], sums[own]))
+                held += len(own)
             if held > SUMMED:
                 parts = _merged(parts)
                 held = len(parts[0][0])
@@ -285,8 +408,8 @@ def _score(shared):
     return scan
 
 
-def fit(dealt: DataFrame, size: int) -> Numbers:
-    """Totals, discounts and back-off weights from the dealt occurrences of training texts."""
+def fit(dealt: DataFrame, crossed: DataFrame, size: int, whole: bool) -> Numbers:
+    """Totals, discounts and common words' back-off weights from the dealt occurrences of training texts."""
     spark = dealt.sparkSession
     got = {r["key"]: r["value"] for r in dealt.mapInArrow(_count_words, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).collect()}
     count = np.zeros(size, np.int64)
@@ -301,27 +424,27 @@ def fit(dealt: DataFrame, size: int) -> Numbers:
     base = tokens
     if tokens and spare <= 0:  # no rare word to take from: one more token, unseen
         base, spare = tokens + 1, 1 / (tokens + 1)
-    m = Numbers(tokens, distinct, base, d, np.ones(K + 1), spare, count, np.zeros(size), np.zeros(size), count.copy())
+    m = Numbers(tokens, distinct, base, d, np.ones(K + 1), spare, count, np.zeros(size), np.zeros(size), count.copy(), whole)
     m.log_word = m.log_unigram(count)
     m.pair_base[START] = count[END]  # a text has one start, as it has one end
-    rows = dealt.mapInArrow(_count_pairs(spark.sparkContext.broadcast(m)), PAIRS).groupBy("history").agg(*[F.sum(c).alias(c) for c in [f"n{r}" for r in range(1, K + 2)] + ["more", "seen"]]).toArrow()
-    history = rows["history"].to_numpy()
+    shared = spark.sparkContext.broadcast(m)
+    counted = dealt.mapInArrow(_count_pairs(shared), PAIRS).unionByName(crossed.mapInArrow(_count_rare(shared), PAIRS))
+    rows = counted.groupBy("history").agg(*[F.sum(c).alias(c) for c in [f"n{r}" for r in range(1, K + 2)] + ["more", "seen"]]).toArrow()
     n = [rows[f"n{r}"].to_numpy() for r in range(1, K + 2)]
     m.bigram = good_turing(np.array([int(x.sum()) for x in n]))
+    common = (history := rows["history"].to_numpy()) != OUTSIDE
     kept = rows["more"].to_numpy() + sum(m.bigram[r] * r * n[r - 1] for r in range(1, K + 1))
-    total, room = m.pair_base[history], 1 - rows["seen"].to_numpy()
-    full = kept > total * (1 - 1e-12)  # only frequent followers, and nothing left: one more, unseen, thins their shares
-    m.pair_base[history] = total + full
-    left = np.where(full, 1 / (total + 1), 1 - kept / total)
-    m.log_alpha[history] = np.log10(left / room)
+    history = history[common]
+    m.pair_base[history], m.log_alpha[history] = weights(m.pair_base[history], kept[common], rows["seen"].to_numpy()[common])
     return m
 
 
-def score(docs: DataFrame, *, vocabulary: int = 65000, report: int = 200_000, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
+def score(docs: DataFrame, *, vocabulary: int | None = None, common: int = 65000, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
     """Scores of every row of docs, with the rows whose held_col is false as training texts.
 
     Returns id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-one unigrams) and
-    score (log10 probability of the text under the back-off model).
+    score (log10 probability of the text under the back-off model). At most `common` words have their figures on the driver,
+    for speed alone. With a `vocabulary`, pairs of other words than the so many most frequent have no counts and no weights.
 
     Defined cases: a null or empty text is its end alone; texts of any length are scored whole; ids must be whole
     numbers, rows with one id and one text's fold are scored as one text each time they come, and summed: give repeated
@@ -330,18 +453,24 @@ def score(docs: DataFrame, *, vocabulary: int = 65000, report: int = 200_000, id
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("held"), F.col(text_col).alias("text"))
-    top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, vocabulary, report)]
+    whole = vocabulary is None
+    top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, common if whole else vocabulary, REPORT)]
     joined, ptr = np.frombuffer(b"".join(top), np.uint8), np.cumsum([0] + [len(w) for w in top])
     keys = vec.span_hashes(joined, ptr[:-1], ptr[1:])
     order = np.argsort(keys)
     table = vec.HashIndex(keys[order]), np.append(order + RESERVED, 0)
     few = max(12, partitions(spark) // 4)  # a document has a row of sums in each of these
     rows = source.select(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("row"), "held", "text")
-    dealt = cut(deal(rows, spark.sparkContext.broadcast(table), 8 * few).repartition(few, "part").sortWithinPartitions("part"))
-    m = fit(dealt, len(top) + RESERVED)
-    sums = dealt.mapInArrow(_score(spark.sparkContext.broadcast(m)), SUMS).groupBy("row").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    norm = float(np.log10(m.tokens + m.distinct + 1))
+    sort = lambda df: cut(df.repartition(few, "part").sortWithinPartitions("part"))
+    dealt = sort(deal(rows, spark.sparkContext.broadcast(table), 8 * few))
+    release(spark)
+    crossed = sort(dealt.where(F.col("kind") != BOTH).mapInArrow(_cross(8 * few), DEALT))
+    release(spark)
+    m = spark.sparkContext.broadcast(fitted := fit(dealt, crossed, len(top) + RESERVED, whole))
+    parts = dealt.mapInArrow(_score(m, False), SUMS).unionByName(crossed.mapInArrow(_score(m, True), SUMS))
+    sums = parts.groupBy("row").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    norm = float(np.log10(fitted.tokens + fitted.distinct + 1))
     return sums.select(
-        F.when(F.col("row") > -(1 << 63), F.col("row")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"),
+        F.when(F.col("row") > -(1 << 63), F.col("row")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score",
     )

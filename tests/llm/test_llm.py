@@ -269,6 +269,36 @@ def test_katz_equals_brute_force(spark):
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6 and abs(r.score - value) < 1e-6
 
 
+@pytest.mark.parametrize("common", [0, 20, 65000])
+def test_katz_counts_all_pairs(spark, common):
+    texts = EDGE + random_texts(150, 9, vocab=400)
+    docs = frame(spark, texts).withColumn("held_out", F.col("doc_id") % 5 == 2)
+    got = {r.doc_id: r for r in katz.score(docs, common=common).collect()}
+    tokens = {i: ["<s>", *WORD.findall((t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
+    train = [t for i, t in tokens.items() if i % 5 != 2]
+    c = collections.Counter(w for t in train for w in t[1:])
+    pairs = collections.Counter(p for t in train for p in zip(t, t[1:]))
+    total = collections.Counter(h for t in train for h in t[:-1])
+    counts = lambda x: np.array([sum(1 for y in x.values() if y == k) for k in range(1, 7)])
+    du, db, n = katz.good_turing(counts(c)), katz.good_turing(counts(pairs)), sum(c.values())
+    kept = lambda d, x: (d[x] if x <= 5 else 1) * x
+    spare = sum((1 - du[k]) * k * counts(c)[k - 1] for k in range(1, 6)) / n
+    p1 = lambda w: kept(du, c[w]) / n if c[w] else spare
+    alpha, base = collections.defaultdict(lambda: 1.0), {}
+    for h in total:
+        mass, seen = (sum(f(p) for p in pairs if p[0] == h) for f in (lambda p: kept(db, pairs[p]), lambda p: p1(p[1])))
+        full = mass > total[h] * (1 - 1e-12)
+        base[h] = total[h] + full
+        alpha[h] = (1 / base[h] if full else 1 - mass / total[h]) / (1 - seen)
+        assert abs(mass / base[h] + alpha[h] * (1 - seen) - 1) < 1e-9
+    assert len(got) == len(texts)
+    for i, t in tokens.items():
+        value = sum(math.log10(kept(db, pairs[h, w]) / base[h] if pairs[h, w] else alpha[h] * p1(w)) for h, w in zip(t, t[1:]))
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i % 5 == 2, len(t) - 1, sum(c[w] > 0 for w in t[1:]), n)
+        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in t[1:])) < 1e-6 and abs(r.score - value) < 1e-6
+
+
 # privacy
 
 
