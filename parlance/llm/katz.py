@@ -454,7 +454,7 @@ def score(docs: DataFrame, *, vocabulary: int | None = None, common: int = 65000
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("held"), F.col(text_col).alias("text"))
     whole = vocabulary is None
-    top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, common if whole else vocabulary, REPORT)]
+    top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, common if whole else vocabulary, REPORT if whole else None)]
     joined, ptr = np.frombuffer(b"".join(top), np.uint8), np.cumsum([0] + [len(w) for w in top])
     keys = vec.span_hashes(joined, ptr[:-1], ptr[1:])
     order = np.argsort(keys)

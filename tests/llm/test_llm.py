@@ -299,6 +299,19 @@ def test_katz_counts_all_pairs(spark, common):
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in t[1:])) < 1e-6 and abs(r.score - value) < 1e-6
 
 
+def test_katz_vocabulary_is_exact_over_partitions(spark):
+    texts = [f"all w{i % 7} x{i % 11} once{i}" for i in range(60)]  # at most a few of a word in a partition
+    docs = frame(spark, texts).withColumn("held_out", F.lit(False)).repartition(30, "doc_id")
+    want = collections.Counter(w.encode() for t in texts for w in t.split())
+    assert katz.frequent(docs, lambda: katz._words, 25, None) == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:25]
+    some = {}
+    for vocabulary in (None, 25):
+        scores = [{r.doc_id: r.score for r in katz.score(d, vocabulary=vocabulary).collect()} for d in (docs, docs.coalesce(1))]
+        assert all(abs(scores[0][i] - scores[1][i]) < 1e-9 for i in range(60))
+        some[vocabulary] = scores[0]
+    assert some[None] != some[25]
+
+
 # privacy
 
 
