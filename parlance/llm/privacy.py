@@ -7,25 +7,43 @@ The permutation is an alternating Feistel network over two digit groups; its rou
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
 
+#: Lengths of the countries' account numbers (IBAN).
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Account numbers at their country's length, and those of other countries or lengths as far as they go, but not into one at its country's length."""
+    rest = lambda n: f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}" for n, c in _IBAN_LENGTHS.items())
+    known = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known})(?![A-Za-z0-9])"
+    return rf"{known}|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:(?! {known}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
+
+
 #: The pattern of each kind, in the order in which a place is tried. Boundaries keep longer runs whole.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z/-]|[.][0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?!(?![Tt][0-9])[0-9A-Za-z/-]|[.][0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?![0-9]|[.][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:[+][0-9]{1,3}[ .-]?(?:[(][0-9]{1,4}[)][ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[(][0-9]{3}[)][ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Days of the permuted calendar, from 1900-01-01 to 2099-12-31.
-_FIRST_DAY, _DAYS = "1900-01-01", 73049
+#: The permuted calendar begins here, and ends on 2099-12-31.
+_FIRST_DAY = "1900-01-01"
+_MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 
 
 def feistel(value: Column, low: Column | int, high: Column | int, key: str, tweak: Column) -> Column:
@@ -117,28 +135,65 @@ def permute_ip(value: Column, key: str) -> Column:
     return F.when(valid, F.element_at(F.transform(F.array(out), quad), 1)).otherwise(value)
 
 
+def _calendar(months: int, first: int, last: int, low: int, high: int) -> tuple[int, int, int, int, int, list[int]]:
+    """Of the days first .. last of the first months of 1900 .. 2099: how many a year has, not counting 29 February; how many
+    there are; the bases of their network, whose product is at least that; first; and each month's first place in a year."""
+    sizes = [min(last, m) - first + 1 for m in _MONTHS[:months]]
+    return sum(sizes), 200 * sum(sizes) + 49 * (last > 28), low, high, first, [0, *accumulate(sizes)][:-1]
+
+
+#: The days that a layout can show. With parts of two digits: all. With one digit for the month, the day, or both: those
+#: that need no more. In the less usual order of day and month: those of a day over 12, with two digits or one for the month.
+_CALENDARS = [
+    _calendar(12, 1, 31, 229, 319), _calendar(9, 1, 31, 211, 259), _calendar(12, 1, 9, 144, 150), _calendar(9, 1, 9, 120, 135), _calendar(12, 13, 31, 177, 250), _calendar(9, 13, 31, 50, 661),
+]
+
+
 def permute_date(value: Column, key: str) -> Column:
-    """A permutation of the days from 1900 to 2099, in the value's own layout; what is no such day stays."""
-    iso = value.rlike("^[0-9]{4}-")
-    year, month, day = (F.when(iso, F.substring(value, i, n)).otherwise(F.substring(value, j, n)) for i, j, n in ((1, 7, 4), (6, 4, 2), (9, 1, 2)))
-    other = F.try_to_timestamp(F.concat_ws("-", year, F.substring(value, 1, 2), F.substring(value, 4, 2)), F.lit("yyyy-MM-dd")).cast("date")
-    as_day = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
-    slash = value.rlike("/")
-    found = F.when(slash, other).otherwise(as_day)  # with slashes the month comes first, else the day
-    number = F.datediff(found, F.lit(_FIRST_DAY).cast("date")).cast("long")
-    # 73049 = 229 * 319: the bases of the network
-    moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), feistel(number, 229, 319, key, F.lit("date")).cast("int"))
-    sep = F.substring(value, 3, 1)
-    day_month = lambda d: F.concat_ws("", *(F.date_format(d, x) if x.isalpha() else sep for x in ("dd", ".", "MM", ".", "yyyy")))
-    month_day = lambda d: F.concat_ws("", *(F.date_format(d, x) if x.isalpha() else sep for x in ("MM", ".", "dd", ".", "yyyy")))
-    layout = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(slash, month_day(d)).otherwise(day_month(d))
-    # a day over 12 before a slash cannot be a month: only its year is permuted, so that it stays apart from the others
-    years = feistel(year.cast("long") - 1900, 10, 20, key, F.concat(F.lit("year"), F.substring(value, 1, 5))) + 1900
-    late = slash & other.isNull() & as_day.isNotNull() & year.between("1900", "2099") & ~value.startswith("29/02")
-    return (
-        F.when(found.isNotNull() & number.between(0, _DAYS - 1), F.element_at(F.transform(F.array(moved), layout), 1))
-        .when(late, F.concat(F.substring(value, 1, 6), years.cast("string"))).otherwise(value)
-    )
+    """A permutation of the days from 1900 to 2099 that the value's own layout can show; what is no such day stays.
+
+    With slashes the month comes first, with points the day; where that is no day, the other order is read, and kept."""
+    parts = F.split(value, "[./-]")
+    one, two, three = (F.element_at(parts, i) for i in (1, 2, 3))
+    iso, slash = value.rlike("^[0-9]{4}-"), value.rlike("/")
+    year = F.when(iso, one).otherwise(three)
+    left, right = F.when(iso, two).otherwise(one), F.when(iso, three).otherwise(two)
+    date = lambda m, d: F.try_to_timestamp(F.concat_ws("-", year, m, d), F.lit("yyyy-M-d")).cast("date")
+    month_day, day_month = date(left, right), date(right, left)
+    month_first = iso | F.when(slash, month_day.isNotNull()).otherwise(day_month.isNull())
+    usual = iso | (slash == month_first)
+    month, day = F.when(month_first, left).otherwise(right), F.when(month_first, right).otherwise(left)
+    found = F.when(month_first, month_day).otherwise(day_month)
+    shape = F.when(usual, 7 - 2 * F.length(day) - F.length(month)).otherwise(7 - F.length(month))
+
+    def moved(s: Column) -> Column:
+        calendar = lambda i: F.element_at(F.array(*[F.lit(c[i]).cast("long") for c in _CALENDARS]), s)
+        size, days, low, high, first = (calendar(i) for i in range(5))
+        starts = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in c[5]]) for c in _CALENDARS]), s)
+        y, m, d = (x.cast("long") for x in (year, month, day))
+        leap = (m == 2) & (d == 29)
+        place = F.when(s == 1, F.datediff(found, F.lit(_FIRST_DAY).cast("date")).cast("long")).when(leap, 200 * size + F.floor((y - 1904) / 4)).otherwise((y - 1900) * size + F.element_at(starts, m.cast("int")) + d - first).cast("long")
+        step = lambda x: feistel(x, low, high, key, F.when(s == 1, F.lit("date")).otherwise(F.concat(F.lit("date"), s.cast("string"))))
+        now = F.array(step(place))
+        for _ in range(max(c[2] * c[3] - c[1] for c in _CALENDARS)):  # a place that no day has leads on to one that a day has
+            now = F.transform(now, lambda x: F.when(x >= days, step(x)).otherwise(x))
+
+        def show(x: Column) -> Column:
+            rest = F.pmod(x, size)
+            at = F.size(F.filter(starts, lambda b: b <= rest))
+            plain = F.date_add(F.lit(_FIRST_DAY).cast("date"), x.cast("int"))
+            end = x >= 200 * size
+            new_y = F.when(s == 1, F.year(plain)).when(end, 1904 + 4 * (x - 200 * size)).otherwise(1900 + F.floor(x / size))
+            new_m = F.when(s == 1, F.month(plain)).when(end, F.lit(2)).otherwise(at)
+            new_d = F.when(s == 1, F.dayofmonth(plain)).when(end, F.lit(29)).otherwise(rest - F.element_at(starts, at) + first)
+            y, m, d = new_y.cast("string"), F.lpad(new_m.cast("string"), F.length(month), "0"), F.lpad(new_d.cast("string"), F.length(day), "0")
+            a, b = F.when(month_first, m).otherwise(d), F.when(month_first, d).otherwise(m)
+            between = [F.regexp_extract(value, p, 1) for p in ("^[0-9]+(.)", "(.)[0-9]+$")]
+            return F.when(iso, F.concat(y, between[0], m, between[1], d)).otherwise(F.concat(a, between[0], b, between[1], y))
+
+        return F.element_at(F.transform(now, show), 1)
+
+    return F.when(found.isNotNull() & year.between("1900", "2099"), F.element_at(F.transform(F.array(shape), moved), 1)).otherwise(value)
 
 
 def permute_word(value: Column, key: str, kind: str, alphabets: list[str]) -> Column:
@@ -224,8 +279,8 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFr
     documents under one key; without the key a value cannot be recovered by undoing the network. Card numbers keep whether
     they pass the Luhn test; an IBAN keeps its country and stays valid; an address's domain stays.
 
-    Defined cases: a null text stays null and an empty one empty; strings of the right shape that are no address, day or IBAN
-    stay as they are; an e-mail's name comes out in lower case; very long texts are read whole; repeated rows come
+    Defined cases: a null text stays null and an empty one empty; strings of the right shape that are no address, no day of
+    1900 to 2099 in either order, or no IBAN stay as they are; an IBAN ends at its country's length, whatever follows; an e-mail's name comes out in lower case; very long texts are read whole; repeated rows come
     out alike; an empty table gives an empty result; all other columns are untouched.
     """
     parts = F.split(F.col(text_col), _ANY, -1)

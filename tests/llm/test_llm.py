@@ -340,6 +340,40 @@ def test_permutations_are_bijective(spark):
     assert three.distinct().count() == 1000 and three.where(F.length("p") != 3).count() == 0
 
 
+def test_dates_of_all_layouts_are_permuted(spark):
+    import datetime
+
+    every = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73049)]
+    late = [d for d in every if d.day > 12]
+    sets = [
+        [f"{d.year}-{d.month:02}-{d.day:02}" for d in every], [f"{d.day:02}/{d.month:02}/{d.year}" for d in late], [f"{d.day}/{d.month}/{d.year}" for d in late if d.month < 10],
+        [f"{d.day}.{d.month}.{d.year}" for d in every if max(d.day, d.month) < 10], [f"{d.month}/{d.day:02}/{d.year}" for d in every if d.month < 10], [f"{d.day}.{d.month:02}.{d.year}" for d in every if d.day < 10],
+    ]
+    for known in sets:
+        some = frame(spark, [" ".join(known[i : i + 500]) for i in range(0, len(known), 500)])
+        got = [x for r in privacy.pseudonymise(some, key="k").orderBy("doc_id").collect() for x in r.text.split()]
+        assert set(got) == set(known)  # a permutation of the days in this layout
+        part = lambda x: re.split("[./-]", x)[:2]
+        assert sum(part(a) == part(b) for a, b in zip(known, got, strict=True)) < len(known) / 20
+    texts = ["23/04/1985", "29/02/1984", "4/23/1985", "7.3.1990", "at 1985-04-23T10:00 UTC", "30/02/1985 31.4.1999 29/02/1985 13/13/1999 00/01/1999 5/23/1850 1985-04-23x"]
+    got = [r.text for r in privacy.pseudonymise(frame(spark, texts), key="k").orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(texts[:5], got[:5], strict=True))
+    assert got[4].endswith("T10:00 UTC") and "04-23" not in got[4] and got[5] == texts[5]
+
+
+def test_account_numbers_before_capitals(spark):
+    known = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32", "BE68539007547034"]
+    texts = [f"{x}{y}" for x in known for y in ("", " EUR", " EUR 500", " BANK CODE", ".")] + [f"XX99 ABCD {known[0]}", "BE68 5390 0754 7035 EUR"]
+    got = [r.text for r in privacy.pseudonymise(frame(spark, texts), key="k").orderBy("doc_id").collect()]
+    for i, x in enumerate(known):
+        for a, b in zip(texts[5 * i : 5 * i + 5], got[5 * i : 5 * i + 5], strict=True):
+            new = b[: len(x)]
+            flat = new.replace(" ", "")
+            assert new != x and new[:2] == x[:2] and b[len(x) :] == a[len(x) :]
+            assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert known[0] not in got[-2] and got[-2].startswith("XX99 ABCD BE") and got[-1] == texts[-1]
+
+
 # neighbours
 
 
