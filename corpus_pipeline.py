@@ -43,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("private", private), ("packed", packed)]
 
-#: The models of the first stages have no SQL; tests hold the stages against brute force.
+#: The models of the first stages have no SQL. Tests hold the operators against brute force; the stages and run() have none of their own.
 ORACLE_SQL = None
 
 
