@@ -448,11 +448,12 @@ def score(docs: DataFrame, *, vocabulary: int | None = None, common: int = 65000
 
     Defined cases: a null or empty text is its end alone; texts of any length are scored whole; ids must be whole
     numbers, rows with one id and one text's fold are scored as one text each time they come, and summed: give repeated
-    rows ids of their own; a null id is scored under a row of its own; without training texts every token is of the one
+    rows ids of their own; rows with a null id are scored as one row
+    with a null id; a row whose held_col is null is no training text; without training texts every token is of the one
     unseen class, with probability 1; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("held"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_col, F.lit(True)).alias("held"), F.col(text_col).alias("text"))
     whole = vocabulary is None
     top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, common if whole else vocabulary, REPORT if whole else None)]
     joined, ptr = np.frombuffer(b"".join(top), np.uint8), np.cumsum([0] + [len(w) for w in top])

@@ -312,6 +312,12 @@ def test_katz_vocabulary_is_exact_over_partitions(spark):
     assert some[None] != some[25]
 
 
+def test_katz_null_id(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b a c"), (None, "a b d")], "doc_id long, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+    got = {r.doc_id: r for r in katz.score(docs).collect()}
+    assert set(got) == {1, 2, None} and got[None].held_out and (got[None].n_tokens, got[None].n_known) == (4, 3)
+
+
 # privacy
 
 
