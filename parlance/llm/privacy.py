@@ -29,18 +29,23 @@ def _iban_pattern() -> str:
     return rf"{known}|(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:(?! {known}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9])"
 
 
-#: The pattern of each kind, in the order in which a place is tried. Boundaries keep longer runs whole.
+#: The pattern of each kind, in the order in which a place is tried. Boundaries keep longer runs whole, and let
+#: no pattern start inside a run that it has already read, so that the scan is linear in the length of a word.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "iban": _iban_pattern(),
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?!(?![Tt][0-9])[0-9A-Za-z/-]|[.][0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:[.][0-9]{1,3}){3}(?![0-9]|[.][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:[+][0-9]{1,3}[ .-]?(?:[(][0-9]{1,4}[)][ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|[(][0-9]{3}[)][ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:[+]1(?:[ .()-]{0,2}[0-9]){10}|[+][2-9](?:[ .()-]{0,2}[0-9]){6,14}|[(][0-9]{3}[)][ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every found value holds; texts without any of it are not searched further.
+_HINT = "@|[+][0-9]|[0-9]{4}|[0-9][./-][0-9]|[A-Z]{2}[0-9]{2}|[0-9A-Fa-f]{32}"
+#: Country calling codes of one and two digits; all others have three.
+_CALLING = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: The permuted calendar begins here, and ends on 2099-12-31.
 _FIRST_DAY = "1900-01-01"
 _MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
@@ -86,14 +91,14 @@ def permute_digits(digits: Column, key: str, tweak: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, text)
 
 
-def fill_digits(shape: Column, digits: Column) -> Column:
-    """shape with its digits replaced, in order, by those of `digits`; everything else stays."""
+def fill(shape: Column, characters: Column, kind: str = "[0-9]") -> Column:
+    """shape with its characters of the kind replaced, in order, by those of `characters`; everything else stays."""
     chars = F.split(shape, "")
     return F.aggregate(
         chars,
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda s, c: F.when(
-            c.rlike("^[0-9]$"), F.struct(F.concat(s.getField("out"), F.substr(digits, s.getField("at"), F.lit(1))).alias("out"), (s.getField("at") + 1).alias("at"))
+            c.rlike(f"^{kind}$"), F.struct(F.concat(s.getField("out"), F.substr(characters, s.getField("at"), F.lit(1))).alias("out"), (s.getField("at") + 1).alias("at"))
         ).otherwise(F.struct(F.concat(s.getField("out"), c).alias("out"), s.getField("at").alias("at"))),
         lambda s: s.getField("out"),
     )
@@ -111,14 +116,39 @@ def luhn_sum(digits: Column) -> Column:
     )
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def permute_card(value: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last keeps the distance from the valid check digit, so valid stays valid."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    body, new = F.substr(digits, F.lit(1), n - 1), permute_digits(F.substr(digits, F.lit(1), n - 1), key, F.lit("card"))
-    check = lambda b: F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10))
-    off = F.pmod(F.substr(digits, n, F.lit(1)).cast("int") - check(body), F.lit(10))
-    return fill_digits(value, F.concat(new, F.pmod(check(new) + off, F.lit(10)).cast("string")))
+    """All digits but the last are permuted, and the check digit is computed anew; a number that fails the Luhn test stays."""
+    check = lambda b: F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")
+
+    def moved(digits: Column) -> Column:
+        new = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
+        return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, fill(value, bound(new, lambda b: F.concat(b, check(b))))).otherwise(value)
+
+    return bound(F.regexp_replace(value, "[^0-9]", ""), moved)
+
+
+#: Social security numbers: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999
+
+
+def permute_ssn(value: Column, key: str) -> Column:
+    """A permutation of the numbers that can be issued; all others stay."""
+    area, group, serial = (F.element_at(F.split(value, "-"), i).cast("long") for i in (1, 2, 3))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = ((area - F.when(area > 666, 2).otherwise(1)) * _GROUPS + group - 1) * _SERIALS + serial - 1
+
+    def show(x: Column) -> Column:
+        over = F.floor(x / _SERIALS).cast("long")
+        new = F.floor(over / _GROUPS).cast("long")
+        digits = lambda v, n: F.lpad(v.cast("string"), n, "0")
+        return F.concat_ws("-", digits(new + F.when(new >= 665, 2).otherwise(1), 3), digits(over % _GROUPS + 1, 2), digits(x % _SERIALS + 1, 4))
+
+    return F.when(valid, bound(feistel(place, _SERIALS, _AREAS * _GROUPS, key, F.lit("ssn")), show)).otherwise(value)
 
 
 def permute_ip(value: Column, key: str) -> Column:
@@ -239,51 +269,74 @@ def iban_rest(value: Column) -> Column:
 
 
 def permute_iban(value: Column, key: str) -> Column:
-    """Digits and letters after the check digits are permuted, and the check digits computed anew; an invalid one stays."""
-    body = permute_word(F.substr(value, F.lit(5), F.length(value)), key, "iban", [_DIGITS, _UPPER])
-    finish = lambda b: F.concat(F.substring(value, 1, 2), F.lpad((F.lit(98) - iban_rest(F.concat(F.substring(value, 1, 2), F.lit("00"), b))).cast("string"), 2, "0"), b)
-    return F.when(iban_rest(value) == 1, F.element_at(F.transform(F.array(body), finish), 1)).otherwise(value)
+    """Digits and letters after the check digits are permuted, and the check digits computed anew, whatever the spacing; an invalid one stays."""
+
+    def moved(flat: Column) -> Column:
+        country = F.substring(flat, 1, 2)
+        finish = lambda b: F.concat(country, F.lpad((F.lit(98) - iban_rest(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b)
+        return fill(value, bound(permute_word(F.substr(flat, F.lit(5), F.length(flat)), key, "iban", [_DIGITS, _UPPER]), finish), "[0-9A-Z]")
+
+    return F.when(iban_rest(value) == 1, bound(F.regexp_replace(value, " ", ""), moved)).otherwise(value)
+
+
+def permute_email(value: Column, key: str) -> Column:
+    """Letters and digits of the name are permuted, as in lower case, and get the case of the places where they stand; the domain stays."""
+    at = F.instr(value, "@")
+    name = F.substr(value, F.lit(1), at - 1)
+    new = permute_word(F.lower(name), key, "email", [_LOWER, _DIGITS])
+    cased = F.zip_with(F.split(name, ""), F.split(new, ""), lambda old, c: F.when(old.rlike("^[A-Z]$"), F.upper(c)).otherwise(c))
+    return F.concat(F.array_join(cased, ""), F.substr(value, at, F.length(value)))
+
+
+def permute_phone(value: Column, key: str) -> Column:
+    """The national number is permuted under its country's code, whatever the spacing; without a code it is one of code 1."""
+
+    def moved(digits: Column) -> Column:
+        code = F.when(value.startswith("+"), F.regexp_extract(digits, f"^(?:{_CALLING}|[0-9]{{3}})", 0)).otherwise("")
+        national = F.substr(digits, F.length(code) + 1, F.length(digits))
+        new = permute_digits(national, key, F.concat(F.lit("phone"), F.when(code == "", "1").otherwise(code)))
+        return fill(value, F.concat(code, new))
+
+    return bound(F.regexp_replace(value, "[^0-9]", ""), moved)
 
 
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value, by its kind."""
     kind = lambda k: value.rlike(f"^(?:{PATTERNS[k]})$")
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    at = F.instr(value, "@")
-    name = F.lower(F.substr(value, F.lit(1), at - 1))
+    secret = lambda alphabet: permute_word(value, key, "secret", [alphabet])
     return (
-        F.when(kind("email"), F.concat(permute_word(name, key, "email", [_LOWER, _DIGITS]), F.substr(value, at, F.length(value))))
-        .when(kind("secret"), F.when(value.rlike("[A-F]"), permute_word(value, key, "secret", [_HEX_UPPER])).otherwise(permute_word(value, key, "secret", [_HEX])))
+        F.when(kind("email"), permute_email(value, key))
+        .when(kind("secret"), F.when(value.rlike("[A-F]"), secret(_HEX_UPPER)).when(value.rlike("[a-f]"), secret(_HEX)).otherwise(secret(_DIGITS)))
         .when(kind("date"), permute_date(value, key))
         .when(kind("ip"), permute_ip(value, key))
-        .when(kind("ssn"), fill_digits(value, permute_digits(digits, key, F.lit("ssn"))))
+        .when(kind("ssn"), permute_ssn(value, key))
         .when(kind("card"), permute_card(value, key))
-        .when(kind("phone"), F.concat(F.regexp_extract(value, "^([+][0-9]{1,3}[ .-])?", 0), _phone_rest(value, key)))
+        .when(kind("phone"), permute_phone(value, key))
         .when(kind("iban"), permute_iban(value, key))
         .otherwise(value)
     )
 
 
-def _phone_rest(value: Column, key: str) -> Column:
-    """The number after a separated country code, permuted as a whole."""
-    rest = F.regexp_replace(value, "^[+][0-9]{1,3}[ .-]", "")
-    digits = F.regexp_replace(rest, "[^0-9]", "")
-    return fill_digits(rest, permute_digits(digits, key, F.lit("phone")))
-
-
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """docs with every found value in the text replaced by its pseudonym; nothing else changes, and lengths stay.
 
     Only found values run through the ciphers: a text is split at them, and put together again. Of overlapping patterns
     the one that starts first is taken, and among those the first in PATTERNS. Equal values give equal pseudonyms in all
-    documents under one key; without the key a value cannot be recovered by undoing the network. Card numbers keep whether
-    they pass the Luhn test; an IBAN keeps its country and stays valid; an address's domain stays.
-
-    Defined cases: a null text stays null and an empty one empty; strings of the right shape that are no address, no day of
-    1900 to 2099 in either order, or no IBAN stay as they are; an IBAN ends at its country's length, whatever follows; an e-mail's name comes out in lower case; very long texts are read whole; repeated rows come
-    out alike; an empty table gives an empty result; all other columns are untouched.
+    documents under one key, and so do a card's, an account's and a phone's spaced and unspaced forms, and a name in any
+    case; without the key a value cannot be recovered by undoing the network. Cards stay valid by the Luhn test; an IBAN keeps
+    its country and stays valid; an address's domain stays.
+
+    Defined cases: a null text stays null and an empty one empty; strings of the right shape that are no value stay as they
+    are: cards that fail the Luhn test, social security numbers that are never issued, addresses with a part over 255, days
+    outside 1900 to 2099 in either order, invalid IBANs; an international phone number has 7 to 15 digits; an IBAN ends at its
+    country's length, whatever follows; very long texts and words are read whole, in time linear in their length; repeated
+    rows come out alike; an empty table gives an empty result; all other columns are untouched.
     """
-    parts = F.split(F.col(text_col), _ANY, -1)
-    found = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_ANY), F.lit(0)), lambda v: pseudonym(v, key))
-    joined = F.array_join(F.flatten(F.zip_with(parts, found, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    return docs.withColumn(text_col, F.when(F.col(text_col).rlike(_ANY), joined).otherwise(F.col(text_col)))
+    text = F.col(text_col)
+
+    def replaced(found: Column) -> Column:
+        new = F.transform(found, lambda v: pseudonym(v, key))
+        joined = F.array_join(F.flatten(F.zip_with(F.split(text, _ANY, -1), new, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
+        return F.when(F.size(found) == 0, text).otherwise(joined)
+
+    return docs.withColumn(text_col, F.when(text.rlike(_HINT), bound(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), replaced)).otherwise(text))
