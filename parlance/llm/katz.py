@@ -32,8 +32,9 @@ _U = np.uint64
 END, START, OUTSIDE, RESERVED = 0, 1, 2, 3
 #: Counts up to K are discounted.
 K = 5
-#: Kinds of dealt rows: a rare word after any history, two common ones, a common word after a rare one, two rare ones.
-WORD, BOTH, AFTER, RARE = 0, 1, 2, 3
+#: Kinds of dealt rows: a rare word after any history, two common ones, a common word after a rare one, two rare ones; and the
+#: scored rows' own ids and folds, by number.
+WORD, BOTH, AFTER, RARE, ROWS = 0, 1, 2, 3, 4
 #: Types of the columns a, b, c of each kind: history's id, word's hash, history's hash (0 if common); history's and word's id;
 #: word's id, history's hash; word's count, history's hash, word's hash.
 TYPES = {WORD: (np.int32, _U, _U), BOTH: (np.int32, np.int32), AFTER: (np.int32, _U), RARE: (np.int64, _U, _U)}
@@ -66,9 +67,7 @@ def good_turing(counts_of_counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Numbers:
-    """What the driver knows of the training texts: totals, discounts, and the common words' own figures.
-
-    Unless `whole`, only pairs of common words are counted."""
+    """What the driver knows of the training texts: totals, discounts, and the common words' own figures."""
 
     tokens: int
     distinct: int
@@ -80,7 +79,6 @@ class Numbers:
     log_word: np.ndarray
     log_alpha: np.ndarray
     pair_base: np.ndarray
-    whole: bool
 
     def log_unigram(self, count: np.ndarray) -> np.ndarray:
         """log10 probability of a word with this count; 0 is the class of unseen words."""
@@ -126,8 +124,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], _schema())
 
 
+def _row_batch(b: pa.RecordBatch, count: int) -> pa.RecordBatch:
+    """Numbers, folds and ids of a batch's rows, for a part that the first number names."""
+    own = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3)], ["row", "held_out", "id"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(own)
+    part = int(vec.mix(np.array([b.column(0)[0].as_py()], _U))[0] % _U(count))
+    return _batch([(part, ROWS, b.num_rows, 0, None, None, None, sink.getvalue().to_pybytes(), None, None)])
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for packed in b.column(0).to_pylist():
+            yield from pa.ipc.open_stream(packed)
+
+
 def deal(docs: DataFrame, shared, count: int) -> DataFrame:
-    """All occurrences of docs (row id, held, text), packed by part."""
+    """All occurrences of docs (row number, held, text, id), packed by part, and the rows' ids."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, number = shared.value
@@ -149,6 +163,8 @@ def deal(docs: DataFrame, shared, count: int) -> DataFrame:
 
         base = tokens = 0
         for b in batches:
+            if b.num_rows:
+                yield _row_batch(b, count)
             ids, held = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in vec.text_blocks(b.column(2)):
                 low, starts, ends = _words(data, offsets)
@@ -290,22 +306,22 @@ class Pairs:
     trained: np.ndarray
 
 
-def _pairs(m: Numbers, history, key, word_count, log_word, doc, ids, held, trained, counted: bool) -> Pairs:
+def _pairs(history, key, word_count, log_word, doc, ids, held, trained) -> Pairs:
     _, count, place = _counts(key, trained)
     one = np.zeros(len(count), np.int64)
     one[place] = np.arange(len(place))
-    return Pairs(history, word_count, log_word, place, count * counted, one, doc, ids, held, trained)
+    return Pairs(history, word_count, log_word, place, count, one, doc, ids, held, trained)
 
 
 def _after_common(m: Numbers, rows: list[dict]) -> Iterator[Pairs]:
     """Pairs whose histories are common words or the start: their words common, and rare."""
     o = _read(rows, BOTH)
-    yield _pairs(m, o.a, (o.a.astype(np.int64) << 32) | o.b, m.word_count[o.b], m.log_word[o.b], o.doc, o.ids, o.held, o.trained, True)
+    yield _pairs(o.a, (o.a.astype(np.int64) << 32) | o.b, m.word_count[o.b], m.log_word[o.b], o.doc, o.ids, o.held, o.trained)
     o = _read(rows, WORD)
     _, c, place = _counts(o.b, o.trained)
     at = np.flatnonzero(o.a != OUTSIDE)
     c = c[place[at]]
-    yield _pairs(m, o.a[at], _hash(o.b[at], o.a[at]), c, m.log_unigram(c), o.doc[at], o.ids, o.held, o.trained[at], m.whole)
+    yield _pairs(o.a[at], _hash(o.b[at], o.a[at]), c, m.log_unigram(c), o.doc[at], o.ids, o.held, o.trained[at])
 
 
 def _after_rare(m: Numbers, rows: list[dict]) -> Pairs:
@@ -313,8 +329,8 @@ def _after_rare(m: Numbers, rows: list[dict]) -> Pairs:
     x, y = _read(rows, AFTER), _read(rows, RARE)
     both = lambda p, q: np.concatenate([p, q])
     return _pairs(
-        m, both(x.b, y.b), both(_hash(x.b, x.a), _hash(y.b, y.c)), both(m.word_count[x.a], y.a), both(m.log_word[x.a], m.log_unigram(y.a)),
-        both(x.doc, y.doc + len(x.ids)), both(x.ids, y.ids), both(x.held, y.held), both(x.trained, y.trained), m.whole,
+        both(x.b, y.b), both(_hash(x.b, x.a), _hash(y.b, y.c)), both(m.word_count[x.a], y.a), both(m.log_word[x.a], m.log_unigram(y.a)),
+        both(x.doc, y.doc + len(x.ids)), both(x.ids, y.ids), both(x.held, y.held), both(x.trained, y.trained),
     )
 
 
@@ -349,20 +365,18 @@ def _count_rare(shared):
 
 
 PAIRS = "history long, " + ", ".join(f"n{r} long" for r in range(1, K + 2)) + ", more long, seen double"
-SUMS = "row long, held_out boolean, n_tokens long, n_known long, base double, score double"
+SUMS = "row long, n_tokens long, n_known long, base double, score double"
 
 
 #: Rows of partial sums that a worker adds up before it hands them on.
 SUMMED = 1_000_000
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-    """One row for each document of all parts: id, whether it was a training text, and sums."""
-    ids, trained, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row for each document of all parts: its number, and sums."""
+    ids, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
     distinct, at = np.unique(ids, return_inverse=True)
-    own = np.zeros(len(distinct), bool)
-    own[at] = trained
-    return [(distinct, own, *(np.bincount(at, x, len(distinct)) for x in sums))]
+    return distinct, *(np.bincount(at, x, len(distinct)) for x in sums)
 
 
 def _score(shared, rare: bool):
@@ -372,9 +386,9 @@ def _score(shared, rare: bool):
         m, parts, held = shared.value, [], 0
 
         def out() -> pa.RecordBatch:
-            ids, trained, tokens, known, base, value = _merged(parts)[0]
-            cols = [ids, ~trained, tokens.astype(np.int64), known.astype(np.int64), base, value]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "held_out", "n_tokens", "n_known", "base", "score"])
+            ids, tokens, known, base, value = _merged(parts)
+            cols = [ids, tokens.astype(np.int64), known.astype(np.int64), base, value]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "n_tokens", "n_known", "base", "score"])
 
         for rows in _per_part(batches):
             for p in [_after_rare(m, rows)] if rare else _after_common(m, rows):
@@ -394,10 +408,10 @@ def _score(shared, rare: bool):
                 n = len(p.ids)
                 own = np.flatnonzero(some := np.bincount(p.doc, minlength=n))
                 known, base_sum, sums = np.bincount(p.doc[p.word_count > 0], minlength=n), np.bincount(p.doc, np.log10(p.word_count + 1.0), n), np.bincount(p.doc, value, n)
-                parts.append((p.ids[own], ~p.held[own], some[own], known[own], base_sum[own], sums[own]))
+                parts.append((p.ids[own], some[own], known[own], base_sum[own], sums[own]))
                 held += len(own)
             if held > SUMMED:
-                parts = _merged(parts)
+                parts = [_merged(parts)]
                 held = len(parts[0][0])
                 if held > SUMMED // 2:
                     yield out()
@@ -408,7 +422,7 @@ def _score(shared, rare: bool):
     return scan
 
 
-def fit(dealt: DataFrame, crossed: DataFrame, size: int, whole: bool) -> Numbers:
+def fit(dealt: DataFrame, crossed: DataFrame, size: int) -> Numbers:
     """Totals, discounts and common words' back-off weights from the dealt occurrences of training texts."""
     spark = dealt.sparkSession
     got = {r["key"]: r["value"] for r in dealt.mapInArrow(_count_words, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).collect()}
@@ -424,7 +438,7 @@ def fit(dealt: DataFrame, crossed: DataFrame, size: int, whole: bool) -> Numbers
     base = tokens
     if tokens and spare <= 0:  # no rare word to take from: one more token, unseen
         base, spare = tokens + 1, 1 / (tokens + 1)
-    m = Numbers(tokens, distinct, base, d, np.ones(K + 1), spare, count, np.zeros(size), np.zeros(size), count.copy(), whole)
+    m = Numbers(tokens, distinct, base, d, np.ones(K + 1), spare, count, np.zeros(size), np.zeros(size), count.copy())
     m.log_word = m.log_unigram(count)
     m.pair_base[START] = count[END]  # a text has one start, as it has one end
     shared = spark.sparkContext.broadcast(m)
@@ -439,39 +453,44 @@ def fit(dealt: DataFrame, crossed: DataFrame, size: int, whole: bool) -> Numbers
     return m
 
 
-def score(docs: DataFrame, *, vocabulary: int | None = None, common: int = 65000, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
+def score(docs: DataFrame, *, common: int = 65000, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
     """Scores of every row of docs, with the rows whose held_col is false as training texts.
 
     Returns id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (add-one unigrams) and
-    score (log10 probability of the text under the back-off model). At most `common` words have their figures on the driver,
-    for speed alone. With a `vocabulary`, pairs of other words than the so many most frequent have no counts and no weights.
-
-    Defined cases: a null or empty text is its end alone; texts of any length are scored whole; ids must be whole
-    numbers, rows with one id and one text's fold are scored as one text each time they come, and summed: give repeated
-    rows ids of their own; rows with a null id are scored as one row
-    with a null id; a row whose held_col is null is no training text; without training texts every token is of the one
-    unseen class, with probability 1; an empty table gives an empty result; other columns are not read.
+    score (log10 probability of the text under the back-off model). At most `common` words have their figures on the driver;
+    how many, and which, changes no score, and nor does how the table is split.
+
+    Rows are numbered as they are read. docs must give them in the same order if a lost task reads them again, as files
+    do; write other tables first.
+
+    Defined cases: a null or empty text is its end alone; texts of any length are scored whole; every row has its own row
+    in the result, also where ids repeat or are null; ids may have any type; a row whose held_col is null is no training
+    text; without training texts every token is of the one unseen class, with probability 1; an empty table gives an empty
+    result; other columns are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_col, F.lit(True)).alias("held"), F.col(text_col).alias("text"))
-    whole = vocabulary is None
-    top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, common if whole else vocabulary, REPORT if whole else None)]
+    held = F.coalesce(held_col, F.lit(True))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), held.alias("held"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    top = [w for w, _ in frequent(source.where("not held").select("text"), lambda: _words, common, REPORT)]
     joined, ptr = np.frombuffer(b"".join(top), np.uint8), np.cumsum([0] + [len(w) for w in top])
     keys = vec.span_hashes(joined, ptr[:-1], ptr[1:])
     order = np.argsort(keys)
     table = vec.HashIndex(keys[order]), np.append(order + RESERVED, 0)
-    few = max(12, partitions(spark) // 4)  # a document has a row of sums in each of these
-    rows = source.select(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("row"), "held", "text")
+    few = max(4, partitions(spark) // 4)  # in proportion to the data; a document has a row of sums in each that has a word of it
     sort = lambda df: cut(df.repartition(few, "part").sortWithinPartitions("part"))
-    dealt = sort(deal(rows, spark.sparkContext.broadcast(table), 8 * few))
+    dealt = sort(deal(source, spark.sparkContext.broadcast(table), 8 * few))
     release(spark)
+    rows = dealt.where(F.col("kind") == ROWS).select("a").mapInArrow(_read_rows, source.select("row", F.col("held").alias("held_out"), "id").schema)
+    dealt = dealt.where(F.col("kind") != ROWS)
     crossed = sort(dealt.where(F.col("kind") != BOTH).mapInArrow(_cross(8 * few), DEALT))
     release(spark)
-    m = spark.sparkContext.broadcast(fitted := fit(dealt, crossed, len(top) + RESERVED, whole))
+    m = spark.sparkContext.broadcast(fitted := fit(dealt, crossed, len(top) + RESERVED))
     parts = dealt.mapInArrow(_score(m, False), SUMS).unionByName(crossed.mapInArrow(_score(m, True), SUMS))
-    sums = parts.groupBy("row").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    sums = parts.unionByName(rows, allowMissingColumns=True).groupBy("row").agg(
+        F.first("id", True).alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
+    )
     norm = float(np.log10(fitted.tokens + fitted.distinct + 1))
     return sums.select(
-        F.when(F.col("row") > -(1 << 63), F.col("row")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score",
     )
