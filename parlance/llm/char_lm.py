@@ -206,12 +206,12 @@ def count_grams(docs: DataFrame, class_col: str, make_table: Callable[[], np.nda
     return out
 
 
-def stratified(docs: DataFrame, by: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
-    """About per_class rows of each value of `by`, by the hash of the id: every row where there are fewer.
+def stratified(docs: DataFrame, by: str, per_class: int, id_col: str = "doc_id", most: float = 1.0) -> DataFrame:
+    """About per_class rows of each value of `by`, by the hash of the id, but no larger share of them than `most`.
 
     Only the values' counts come to the driver; values are languages, so they are few."""
     counts = {r[0]: r[1] for r in docs.groupBy(by).agg(F.count("*")).collect()}
     if not counts:
         return docs
-    share = F.coalesce(*[F.when(F.col(by).eqNullSafe(F.lit(v)), F.lit(min(1.0, per_class / n))) for v, n in counts.items()], F.lit(0.0))
+    share = F.coalesce(*[F.when(F.col(by).eqNullSafe(F.lit(v)), F.lit(min(most, per_class / n))) for v, n in counts.items()], F.lit(0.0))
     return docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))

@@ -16,22 +16,35 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder; batches for Python are kept small from here on."""
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches for Python small in this session, unless it has a setting of its own. For callers; operators set nothing."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; without that setting (tests on one machine) a local one, which is then set."""
+    """The folder named in spark.checkpoint.dir. Without that setting a local one is set, on one machine only: a cluster's
+    executors would not see each other's files there."""
     found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "parlance-checkpoints"))
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator or pipeline has written in the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)

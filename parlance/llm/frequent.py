@@ -1,8 +1,8 @@
 """Frequent byte strings of a corpus, from summaries of bounded size.
 
-Each partition counts all of its strings and hands on those that make up at least 1 / limit of them. A string with such
-a share of the whole corpus has it in some partition, so none is missed, and no partition hands on more than `limit`.
-Without a limit every string is handed on by blocks, and the counts are exact.
+Each partition counts all of its strings and hands on those that make up at least 1 / limit of them, so that no more than
+`limit` of it are summed with others'. Which strings are found may depend on how the corpus is split, and one that never
+comes twice in a block is not found: the choice must serve for speed alone.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ class Counter:
         return [(self.examples[k], c) for k, c in zip(self.keys[pick].tolist(), self.counts[pick].tolist(), strict=True) if k in self.examples]
 
 
-def frequent(docs: DataFrame, split: Callable[[], Splitter], top: int, limit: int | None) -> list[tuple[bytes, int]]:
-    """The `top` most frequent strings that split() makes of docs.text; with a limit, those of the summaries, with at most their counts."""
+def frequent(docs: DataFrame, split: Callable[[], Splitter], top: int, limit: int) -> list[tuple[bytes, int]]:
+    """The `top` most frequent of the strings that split() makes of docs.text and partitions report, with at most their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = split(), Counter(limit)
@@ -67,15 +67,6 @@ def frequent(docs: DataFrame, split: Callable[[], Splitter], top: int, limit: in
         rows = seen.frequent()
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], ["w", "n"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = split()
-        for b in batches:
-            for _, _, data, offsets in vec.text_blocks(b.column(0)):
-                low, starts, ends = cut(data, offsets)
-                _, first, counts = np.unique(vec.span_hashes(low, starts, ends), return_index=True, return_counts=True)
-                words = [low[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["w", "n"])
-
-    sums = docs.where("text is not null").select("text").mapInArrow(exact if limit is None else count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    sums = docs.where("text is not null").select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     got = sums.orderBy(F.desc("n"), "w").limit(top).toArrow()
     return list(zip(got["w"].to_pylist(), got["n"].to_pylist(), strict=True))

@@ -165,7 +165,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """id, n_shingles, and for texts with words: node and check (hashes of the set), band, and sketches for the band's two groups."""
+    """id, th (the text's hash), n_shingles, and for texts with words: node and check (hashes of the set), band, and sketches for the band's two groups."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,13 +176,16 @@ def describe(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                 band = np.where(n > 0, bands.band(n), -1)
                 own, below = sketches(h, ptr, band, bands), sketches(h, ptr, band - 1, bands)
                 empty = n == 0
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(node.view(np.int64), mask=empty), _signed(check), pa.array(band.astype(np.int32)), pa.array(own, pa.binary()), pa.array(below, pa.binary())], ["id", "n", "node", "check", "band", "own", "below"])
+                columns = [pa.array(n), pa.array(node.view(np.int64), mask=empty), _signed(check), pa.array(band.astype(np.int32)), pa.array(own, pa.binary()), pa.array(below, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), *columns], ["id", "th", "n", "node", "check", "band", "own", "below"])
 
-    return docs.mapInArrow(scan, docs.select("id").schema.add("n", "long").add("node", "long").add("check", "long").add("band", "integer").add("own", "binary").add("below", "binary"))
+    docs = docs.select("id", "text", F.xxhash64("text").alias("th"))
+    return docs.mapInArrow(scan, docs.select("id", "th").schema.add("n", "long").add("node", "long").add("check", "long").add("band", "integer").add("own", "binary").add("below", "binary"))
 
 
 def keyed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """key, node, others: a row for each key of a partition's sets, with the smallest node and (if any) the others that have it."""
+    """part, key, node, others: for each key of a batch of sets, the smallest node that has it, at part = key; and if there are others,
+    they with that node in a row of its own, at a part of its own, so that a frequent key brings one node a batch to its part."""
 
     def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -196,12 +199,15 @@ def keyed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         first[1:] = keys[1:] != keys[:-1]
         start = np.flatnonzero(first)
         more = np.diff(np.append(start, len(keys))) - 1
-        offsets = np.zeros(len(start) + 1, np.int32)
-        np.cumsum(more, out=offsets[1:])
-        others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[~first]), mask=pa.array(more == 0))
-        out = pa.RecordBatch.from_arrays([_signed(keys[start]), pa.array(nodes[start]), others], ["key", "node", "others"])
-        for lo in range(0, len(start), 100_000):
-            yield out.slice(lo, 100_000)
+        some = np.flatnonzero(more)
+        offsets = np.append(0, np.cumsum(more[some])).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nodes[~first]))
+        key, node = keys[start], nodes[start]
+        own = vec.mix(key[some] ^ node[some].view(_U))
+        for part, k, n, o in ((key, pa.nulls(len(key), pa.int64()), node, pa.nulls(len(key), pa.list_(pa.int64()))), (own, _signed(key[some]), node[some], others)):
+            out = pa.RecordBatch.from_arrays([_signed(part), k, pa.array(n), o], ["part", "key", "node", "others"])
+            for lo in range(0, len(part), 100_000):
+                yield out.slice(lo, 100_000)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
@@ -232,7 +238,7 @@ def keyed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
         if held:
             yield from emit(parts)
 
-    return docs.select("text").mapInArrow(scan, "key long, node long, others array<long>")
+    return docs.select("text").mapInArrow(scan, "part long, key long, node long, others array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -283,9 +289,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFram
 def fetch(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of one document for each wanted node.
 
-    A filter of fixed size on the documents' ids is sent to all workers, so that few other texts are shuffled."""
-    need = wanted.join(nodes.select("node", F.col("rep").alias("id")), "node").select("id", "node")
-    need = cut(need)
+    A filter of fixed size on the documents' ids is sent to all workers, so that few other texts are shuffled. A document is
+    known by its id and its text's hash, as ids may repeat."""
+    need = cut(wanted.join(nodes.select("node", "rep.id", "rep.th"), "node").select("id", "th", "node"))
     spot = F.pmod(F.xxhash64("id"), F.lit(64 * FILTER_WORDS))
     words = need.select((spot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {64 * FILTER_WORDS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(FILTER_WORDS, np.int64)
@@ -301,7 +307,8 @@ def fetch(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(got.columns[1:], got.schema.names[1:])
 
     near = docs.where("id is not null").select(spot.alias("spot"), "id", "text").mapInArrow(scan, docs.select("id", "text").schema)
-    return near.join(need, "id").select("node", "text").dropDuplicates(["node"])
+    one = near.withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"])
+    return one.join(need, ["id", "th"]).select("node", "text")
 
 
 def second_look(members: DataFrame, nodes: DataFrame, failed: DataFrame, bands: Bands, forest: bool) -> DataFrame:
@@ -377,15 +384,15 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     bands = Bands(num, den)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     all_docs = cut(describe(docs, k, bands))
-    nodes = all_docs.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("own").alias("own"), F.first("below").alias("below"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    nodes = all_docs.where("node is not null and id is not null").groupBy("node").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("own").alias("own"), F.first("below").alias("below"), F.min("check").alias("c1"), F.max("check").alias("c2"))
     nodes = cut(nodes)
     if nodes.where("c1 <> c2").limit(1).count():
         raise ValueError("two shingle sets have one hash; change the seeds in vec")
-    over = Window.partitionBy("key")
+    over = Window.partitionBy("part")
     met = (
         keyed(docs.where("id is not null"), k, bands).withColumn("leader", F.min("node").over(over))
         .where("node <> leader or others is not null")
-        .select("key", F.explode(F.expr("filter(concat(array(struct(node as x, leader as y)), transform(coalesce(others, array()), o -> struct(o as x, node as y))), p -> p.x <> p.y)")).alias("p"))
+        .select(F.coalesce("key", "part").alias("key"), F.explode(F.expr("if(others is null, array(struct(node as x, leader as y)), transform(others, o -> struct(o as x, node as y)))")).alias("p"))
     )
     met = cut(met.select("key", "p.x", "p.y"))
     release(docs.sparkSession)  # the keys' shuffle is the largest by far
@@ -415,7 +422,7 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
             if not keys.limit(1).count():
                 break
             members = cut(members.join(keys, "key", "left_semi"))
-    rooted = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    rooted = nodes.select("node", F.col("rep.id").alias("rep")).join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    smallest = cut(rooted.groupBy("root").agg(F.min("rep").alias("component")))  # cut, so that Spark can split a large root's side of the join
     label = rooted.join(smallest, "root").select("node", "component")
     return all_docs.select("id", "n", "node").join(label, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

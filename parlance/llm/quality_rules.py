@@ -21,9 +21,11 @@ _U = np.uint64
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
-#: Character n-grams are taken over UTF-8 bytes.
-CHAR_N = 4
+#: Lengths of word n-grams and of character n-grams (code points); each length has 2 ** BITS places of its own.
+WORD_N, CHAR_N = (1, 2, 3), (4,)
 BITS = 18
+KINDS = len(WORD_N) + len(CHAR_N)
+PLACES = KINDS << BITS
 WINDOW = 8
 
 OUT_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_good double, kept boolean"
@@ -103,33 +105,28 @@ def base_counts(b: Block) -> dict[str, np.ndarray]:
     }
 
 
-def char_buckets(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of bytes, and for each text the place of its first."""
-    sizes = np.maximum(np.diff(b.offsets) - (CHAR_N - 1), 0)
-    ptr = np.zeros(len(b.offsets), np.int64)
-    np.cumsum(sizes, out=ptr[1:])
-    if not ptr[-1]:
-        return np.zeros(0, np.int64), ptr
-    code = np.zeros(len(b.data) - CHAR_N + 1, np.uint32)
-    for j in range(CHAR_N):
-        code = (code << np.uint32(8)) | b.data[j : len(b.data) - CHAR_N + 1 + j]
-    code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    return code[vec.ragged(b.offsets[:-1], sizes)].astype(np.int64), ptr
-
-
-def word_buckets(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    return (b.hashes >> _U(64 - BITS)).astype(np.int64), b.first
+def buckets(b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind of n-gram, the places of all of the block's, and each text's first."""
+    for k, n in enumerate(WORD_N):
+        h, ptr = vec.window_hashes(b.hashes, b.first, n)
+        yield (h >> _U(64 - BITS)).astype(np.int64) + (k << BITS), ptr
+    points = np.frombuffer(b.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(_U)
+    lead = np.zeros(len(b.data) + 1, np.int64)
+    np.cumsum((b.data & 0xC0) != 0x80, out=lead[1:])
+    for k, n in enumerate(CHAR_N, len(WORD_N)):
+        h, ptr = vec.window_hashes(points, lead[b.offsets], n)
+        yield (h >> _U(64 - BITS)).astype(np.int64) + (k << BITS), ptr
 
 
 def features(b: Block) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text, its feature places and values: shares among its word unigrams, and among its character n-grams."""
+    """For each text, its feature places and values: each n-gram's share among those of its kind in the text."""
     sides = []
-    for base, (buckets, ptr) in ((0, word_buckets(b)), (1 << BITS, char_buckets(b))):
+    for place, ptr in buckets(b):
         n = np.diff(ptr)
         doc = np.repeat(np.arange(len(n)), n)
-        key, count = np.unique((doc << (BITS + 1)) | (buckets + base), return_counts=True)
-        at = key >> (BITS + 1)
-        sides.append((np.searchsorted(at, np.arange(len(n) + 1)), key & ((1 << (BITS + 1)) - 1), count / n[at]))
+        key, count = np.unique(doc * PLACES + place, return_counts=True)
+        at = key // PLACES
+        sides.append((np.searchsorted(at, np.arange(len(n) + 1)), key % PLACES, count / n[at]))
     return [tuple(np.concatenate([s[k][s[0][i] : s[0][i + 1]] for s in sides]) for k in (1, 2)) for i in range(len(b.offsets) - 1)]
 
 
@@ -143,7 +140,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 @dataclass
 class Model:
-    """Weights of both kinds of n-gram, their intercept, and the line that turns a margin into a probability."""
+    """Weights of all kinds of n-grams, their intercept, and the line that turns a margin into a probability."""
 
     weights: np.ndarray
     intercept: float
@@ -152,8 +149,8 @@ class Model:
 
     def margins(self, b: Block) -> np.ndarray:
         out = np.full(len(b.offsets) - 1, self.intercept)
-        for base, (buckets, ptr) in ((0, word_buckets(b)), (1 << BITS, char_buckets(b))):
-            out += vec.group_sums(self.weights[base + buckets].astype(np.float64), ptr) / np.maximum(np.diff(ptr), 1)
+        for place, ptr in buckets(b):
+            out += vec.group_sums(self.weights[place].astype(np.float64), ptr) / np.maximum(np.diff(ptr), 1)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -163,7 +160,7 @@ class Model:
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 60, decay: float = 1e-6) -> Model:
     """Logistic regression by full-batch Adam on two thirds of the rows, and Platt's line on the rest. Classes weigh the same."""
     if len({y for y, _, _ in rows}) < 2:
-        return Model(np.zeros(2 << BITS, np.float32), 4.0 if not rows or rows[0][0] else -4.0)
+        return Model(np.zeros(PLACES, np.float32), 4.0 if not rows or rows[0][0] else -4.0)
     sides = [[r for i, r in enumerate(rows) if (i % 3 == 2) == held] for held in (False, True)]
     packed = []
     for side in sides:
@@ -184,7 +181,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 60, decay:
         step = 0.5 / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= 0.2 * step * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(2 << BITS, np.float32)
+    weights = np.zeros(PLACES, np.float32)
     weights[used] = w
     model = Model(weights, float(b))
     if len(held_y):
@@ -194,11 +191,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 60, decay:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, label_col: str = "quality") -> Model:
-    """Fits on at most `sample` labelled rows, those with the smallest hash of their id; whole texts are read."""
+    """Fits on at most `sample` labelled ids, those with the smallest hash; whole texts are read."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).select(F.col("doc_id").alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
     chosen = chosen.groupBy("_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "_id long, label int")
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("_id", "label", "text")
+    # of rows that share an id, the one with the least text is learned from, so that repeats add no rows to the sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     got = rows.select("label", "text").mapInArrow(_feature_batches, "label int, at binary, value binary").collect()
     keyed = sorted((bytes(r["at"]), r["label"], bytes(r["value"])) for r in got)
     return fit([(y, np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, y, v in keyed])

@@ -12,7 +12,8 @@ import public_tokenizers
 from . import jaccard, katz, langid, privacy, quality_kn, quality_rules
 from .ann import nearest
 from .bpe import Codec
-from .common import fold, table
+from .common import fold, small_batches
+from .common import table as _table
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -21,6 +22,11 @@ from .token_counts import count_tokens
 PSEUDONYM_KEY = "parlance-test-key"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return _table(spark, sf_dir, name)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -37,7 +43,7 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = langid.train(docs.where(~F.col("held_out")))
-    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 No piece of the model has a space mark after another character, so a text's pieces are those of its parts, each a run of
 spaces with what follows. Lengths of frequent parts are looked up in a broadcast hash table; other parts are encoded by the
-library through a cache in each worker. Parts are never shuffled.
+library through a cache in each worker. No occurrence of a part is ever shuffled: to choose the table's parts, each
+partition's counts of its own heaviest ones are summed, and the choice changes no count.
 """
 
 from __future__ import annotations
