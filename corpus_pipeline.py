@@ -1,4 +1,10 @@
-"""From raw documents to packed batches: quality, language, near duplicates, privacy, packing."""
+"""From raw documents to packed batches: quality, language, near duplicates, privacy, packing.
+
+Defined cases, for every stage: null and empty texts, and those without letters, are rejected by the first two stages; repeated
+rows are judged alike, and near_duplicates leaves one of them; ties go to the smaller id; very long texts are read whole; an empty
+table gives an empty result; columns beside doc_id, text and lang are handed on untouched, but for the names that a
+stage's operator gives its verdict (perplexity, kept, lang_pred, score, accepted), which must not come in.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import jaccard, langid, packing, privacy, quality_kn
-from parlance.llm.common import shared_dir, table
-from parlance.llm.queries import PSEUDONYM_KEY
+from parlance.llm.common import remove, shared_dir
+from parlance.llm.queries import PSEUDONYM_KEY, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +49,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("private", private), ("packed", packed)]
 
-#: The models of the first stages have no SQL. Tests hold the operators against brute force; the stages and run() have none of their own.
+#: The models of the first stages have no SQL. Tests hold each stage and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
+    """All stages over documents; what each returns is written to the shared folder and read again. Each stage's input goes when its output is there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
