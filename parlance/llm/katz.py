@@ -42,6 +42,8 @@ TYPES = {WORD: (np.int32, _U, _U), BOTH: (np.int32, np.int32), AFTER: (np.int32,
 REPORT = 200_000
 #: Occurrences that a worker packs at once.
 PACKED = 1_000_000
+#: Row numbers alike but for so many last bits make a range.
+RANGE = 10
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,19 +127,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _row_batch(b: pa.RecordBatch, count: int) -> pa.RecordBatch:
-    """Numbers, folds and ids of a batch's rows, for a part that the first number names."""
+    """Numbers, folds and ids of a batch's rows, each range for a part that its number names."""
     own = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3)], ["row", "held_out", "id"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(own)
-    part = int(vec.mix(np.array([b.column(0)[0].as_py()], _U))[0] % _U(count))
-    return _batch([(part, ROWS, b.num_rows, 0, None, None, None, sink.getvalue().to_pybytes(), None, None)])
+    ranges = b.column(0).to_numpy() >> RANGE
+    borders = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), b.num_rows]
+    rows = []
+    for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(own.slice(lo, hi - lo))
+        part = int(vec.mix(ranges[lo : lo + 1].astype(_U))[0] % _U(count))
+        rows.append((part, ROWS, hi - lo, 0, None, None, None, sink.getvalue().to_pybytes(), None, None))
+    return _batch(rows)
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges of packed rows' ids."""
     for b in batches:
         for packed in b.column(0).to_pylist():
-            yield from pa.ipc.open_stream(packed)
+            first = pa.ipc.open_stream(packed).read_next_batch()["row"][0].as_py()
+            yield pa.RecordBatch.from_pylist([{"range": first >> RANGE, "ids": packed}], pa.schema([("range", pa.int64()), ("ids", pa.binary())]))
 
 
 def deal(docs: DataFrame, shared, count: int) -> DataFrame:
@@ -365,10 +374,12 @@ def _count_rare(shared):
 
 
 PAIRS = "history long, " + ", ".join(f"n{r} long" for r in range(1, K + 2)) + ", more long, seen double"
-SUMS = "row long, n_tokens long, n_known long, base double, score double"
+#: Types of a document's partial sums; the sums of all documents of a range of row numbers travel as one row of packed arrays.
+SUMMED_AS = {"n_tokens": np.int64, "n_known": np.int64, "base": np.float64, "score": np.float64}
+SUMS = "range long, rows binary, " + ", ".join(f"{c} binary" for c in SUMMED_AS)
 
 
-#: Rows of partial sums that a worker adds up before it hands them on.
+#: Documents' partial sums that a worker adds up before it hands them on.
 SUMMED = 1_000_000
 
 
@@ -386,9 +397,12 @@ def _score(shared, rare: bool):
         m, parts, held = shared.value, [], 0
 
         def out() -> pa.RecordBatch:
-            ids, tokens, known, base, value = _merged(parts)
-            cols = [ids, tokens.astype(np.int64), known.astype(np.int64), base, value]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "n_tokens", "n_known", "base", "score"])
+            ids, *sums = _merged(parts)
+            ranges = ids >> RANGE
+            border = np.append(np.flatnonzero(np.append(True, np.diff(ranges) != 0)), len(ids))
+            cuts = lambda x: [x[a:b].tobytes() for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True)]
+            packed = [pa.array(cuts(x.astype(t)), pa.binary()) for x, t in zip(sums, SUMMED_AS.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ranges[border[:-1]]), pa.array(cuts((ids & ((1 << RANGE) - 1)).astype(np.uint16)), pa.binary()), *packed], ["range", "rows", *SUMMED_AS])
 
         for rows in _per_part(batches):
             for p in [_after_rare(m, rows)] if rare else _after_common(m, rows):
@@ -422,6 +436,19 @@ def _score(shared, rare: bool):
     return scan
 
 
+def _total(t: pa.Table) -> pa.Table:
+    """One row for each document of a range: its id, fold, and sums."""
+    ids = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in t["ids"].to_pylist() if x is not None)
+    total = {c: np.zeros(1 << RANGE, kind) for c, kind in SUMMED_AS.items()}
+    for r in t.select(["rows", *SUMMED_AS]).to_pylist():
+        if r["rows"] is not None:
+            at = np.frombuffer(r["rows"], np.uint16)  # no document twice
+            for c, kind in SUMMED_AS.items():
+                total[c][at] += np.frombuffer(r[c], kind)
+    own = ids["row"].to_numpy() & ((1 << RANGE) - 1)
+    return pa.table({"id": ids["id"], "held_out": ids["held_out"], **{c: x[own] for c, x in total.items()}})
+
+
 def fit(dealt: DataFrame, crossed: DataFrame, size: int) -> Numbers:
     """Totals, discounts and common words' back-off weights from the dealt occurrences of training texts."""
     spark = dealt.sparkSession
@@ -480,15 +507,16 @@ def score(docs: DataFrame, *, common: int = 65000, id_col: str = "doc_id", text_
     sort = lambda df: cut(df.repartition(few, "part").sortWithinPartitions("part"))
     dealt = sort(deal(source, spark.sparkContext.broadcast(table), 8 * few))
     release(spark)
-    rows = dealt.where(F.col("kind") == ROWS).select("a").mapInArrow(_read_rows, source.select("row", F.col("held").alias("held_out"), "id").schema)
+    rows = dealt.where(F.col("kind") == ROWS).select("a").mapInArrow(_read_rows, "range long, ids binary")
     dealt = dealt.where(F.col("kind") != ROWS)
     crossed = sort(dealt.where(F.col("kind") != BOTH).mapInArrow(_cross(8 * few), DEALT))
     release(spark)
     m = spark.sparkContext.broadcast(fitted := fit(dealt, crossed, len(top) + RESERVED))
     parts = dealt.mapInArrow(_score(m, False), SUMS).unionByName(crossed.mapInArrow(_score(m, True), SUMS))
-    sums = parts.unionByName(rows, allowMissingColumns=True).groupBy("row").agg(
-        F.first("id", True).alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
-    )
+    schema = source.select("id", F.col("held").alias("held_out")).schema
+    for c, kind in SUMMED_AS.items():
+        schema = schema.add(c, "long" if kind is np.int64 else "double")
+    sums = parts.unionByName(rows, allowMissingColumns=True).groupBy("range").applyInArrow(_total, schema)
     norm = float(np.log10(fitted.tokens + fitted.distinct + 1))
     return sums.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"),
