@@ -375,7 +375,7 @@ def _count_rare(shared):
 
 PAIRS = "history long, " + ", ".join(f"n{r} long" for r in range(1, K + 2)) + ", more long, seen double"
 #: Types of a document's partial sums; the sums of all documents of a range of row numbers travel as one row of packed arrays.
-SUMMED_AS = {"n_tokens": np.int64, "n_known": np.int64, "base": np.float64, "score": np.float64}
+SUMMED_AS = {"n_tokens": np.uint32, "n_known": np.uint32, "base": np.float64, "score": np.float64}
 SUMS = "range long, rows binary, " + ", ".join(f"{c} binary" for c in SUMMED_AS)
 
 
@@ -439,7 +439,7 @@ def _score(shared, rare: bool):
 def _total(t: pa.Table) -> pa.Table:
     """One row for each document of a range: its id, fold, and sums."""
     ids = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in t["ids"].to_pylist() if x is not None)
-    total = {c: np.zeros(1 << RANGE, kind) for c, kind in SUMMED_AS.items()}
+    total = {c: np.zeros(1 << RANGE, np.float64 if kind is np.float64 else np.int64) for c, kind in SUMMED_AS.items()}
     for r in t.select(["rows", *SUMMED_AS]).to_pylist():
         if r["rows"] is not None:
             at = np.frombuffer(r["rows"], np.uint16)  # no document twice
@@ -503,7 +503,7 @@ def score(docs: DataFrame, *, common: int = 65000, id_col: str = "doc_id", text_
     keys = vec.span_hashes(joined, ptr[:-1], ptr[1:])
     order = np.argsort(keys)
     table = vec.HashIndex(keys[order]), np.append(order + RESERVED, 0)
-    few = max(4, partitions(spark) // 4)  # in proportion to the data; a document has a row of sums in each that has a word of it
+    few = max(4, partitions(spark) // 2)  # in proportion to the data; a document has sums in each that has a word of it
     sort = lambda df: cut(df.repartition(few, "part").sortWithinPartitions("part"))
     dealt = sort(deal(source, spark.sparkContext.broadcast(table), 8 * few))
     release(spark)
@@ -515,7 +515,7 @@ def score(docs: DataFrame, *, common: int = 65000, id_col: str = "doc_id", text_
     parts = dealt.mapInArrow(_score(m, False), SUMS).unionByName(crossed.mapInArrow(_score(m, True), SUMS))
     schema = source.select("id", F.col("held").alias("held_out")).schema
     for c, kind in SUMMED_AS.items():
-        schema = schema.add(c, "long" if kind is np.int64 else "double")
+        schema = schema.add(c, "double" if kind is np.float64 else "long")
     sums = parts.unionByName(rows, allowMissingColumns=True).groupBy("range").applyInArrow(_total, schema)
     norm = float(np.log10(fitted.tokens + fitted.distinct + 1))
     return sums.select(
