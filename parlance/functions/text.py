@@ -40,8 +40,8 @@ def basename_of(path: Column) -> Column:
 
 
 def extension_of(path: Column) -> Column:
-    """Lower-cased extension without its dot; empty if there is none."""
-    return F.lower(F.regexp_extract(basename_of(path), r"\.([^.]*)\z", 1))
+    """Lower-cased extension without its dot; empty if there is none. A name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(basename_of(path), r"(?s)^.+\.([^.]*)\z", 1))
 
 
 def detect_kind(path: Column) -> Column:
@@ -110,7 +110,10 @@ def escape_html(c: Column) -> Column:
 def escape_attribute(c: Column, quote: Column) -> Column:
     """For a value between these quotes; a value without quotes gets its white space as character references."""
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))
-    bare = F.regexp_replace(F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), r"\s", "&#32;")
+    bare = out
+    for char, to in (('"', "&quot;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;")):
+        bare = F.replace(bare, F.lit(char), F.lit(to))
+    bare = F.regexp_replace(bare, r"\s", "&#32;")
     return F.when(quote == '"', F.replace(out, F.lit('"'), F.lit("&quot;"))).when(quote == "'", F.replace(out, F.lit("'"), F.lit("&#39;"))).otherwise(bare)
 
 
@@ -134,12 +137,25 @@ def strip_separators(c: Column) -> Column:
     return js_trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
+#: What makes plain text of markdown, in this order: fences, headings, images, links, two kinds of emphasis, code,
+#: quotes, rules, blank lines.
+MARKDOWN_REWRITES = (
+    (r"(?m)^```[^\n]*\n([\s\S]*?)```$", "$1"),
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(\*\*|__)(.*?)\1", "$2"),
+    (r"(\*|_)(.*?)\1", "$2"),
+    (r"`([^`]+)`", "$1"),
+    (r"(?m)^\s{0,3}>\s?", ""),
+    (r"(?m)^\s*[-*_]{3,}\s*$", ""),
+    (r"\n{3,}", "\n\n"),
+)
+
+
 def strip_markdown(c: Column) -> Column:
-    """Plain text of markdown, by ten rewrites in this order."""
-    for pattern, to in (
-        (r"```[^\n]*\n([\s\S]*?)```", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(\*\*|__)(.*?)\1", "$2"),
-        (r"(\*|_)(.*?)\1", "$2"), (r"`([^`]+)`", "$1"), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"),
-    ):
+    """Plain text of markdown."""
+    for pattern, to in MARKDOWN_REWRITES:
         c = F.regexp_replace(c, pattern, to)
     return js_trim(c)
 

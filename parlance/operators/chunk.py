@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import js_trim as text_trim
 from .pack import fill_bins
 
 HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*\Z")
@@ -27,6 +28,12 @@ def js_length(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
+def bin_slices(costs: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """Where each bin begins and ends."""
+    edges = np.flatnonzero(np.diff(fill_bins(costs, budget), prepend=-1, append=-1)).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def headings(lines: list[str]) -> list[tuple[int, int, str]]:
     """(line, level, title) of the headings outside fenced code; an open fence hides all that follow."""
     out, fenced = [], False
@@ -68,9 +75,7 @@ def text_blocks(text: str) -> list[str]:
 def split_lines(text: str, budget: int) -> list[str]:
     """Runs of lines within the budget; a longer line is a run of its own."""
     lines = text.split("\n")
-    bins = fill_bins(np.array([js_length(x) + 1 for x in lines]), budget)
-    edges = np.flatnonzero(np.diff(bins, prepend=-1, append=-1))
-    runs = ["\n".join(lines[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    runs = ["\n".join(lines[a:b]) for a, b in bin_slices(np.array([js_length(x) + 1 for x in lines]), budget)]
     return [t for t in map(js_trim, runs) if t]
 
 
@@ -81,9 +86,8 @@ def pack_blocks(text: str, budget: int) -> list[str]:
 
     def flush() -> None:
         if held:
-            bins = fill_bins(np.array([js_length(b) + 2 for b in held]), budget)
-            for k in range(int(bins[-1]) + 1):
-                out.append("\n\n".join(b for b, i in zip(held, bins, strict=True) if i == k))
+            for a, b in bin_slices(np.array([js_length(b) + 2 for b in held]), budget):
+                out.append("\n\n".join(held[a:b]))
             held.clear()
 
     for b in text_blocks(text):
@@ -123,10 +127,9 @@ def chunk_text(content: str, budget: int) -> list[tuple[str | None, str]]:
     pieces = [p for t, part in sections for p in expand(t, part, budget)]
     if not pieces:
         return []
-    bins = fill_bins(np.array([js_length(x) + 2 for _, x in pieces]), budget + 2)
     out: list[tuple[str | None, str]] = []
-    for k in range(int(bins[-1]) + 1):
-        own = [p for p, i in zip(pieces, bins, strict=True) if i == k]
+    for a, b in bin_slices(np.array([js_length(x) + 2 for _, x in pieces]), budget + 2):
+        own = pieces[a:b]
         out.append((next((t for t, _ in own if t), None), "\n\n".join(x for _, x in own)))
     return out
 
@@ -153,13 +156,9 @@ def paginated_pages(docs: DataFrame, id_col: str = "doc_id", content_col: str =
     """id, page, content of markdown whose pages begin with lines as {12}------; before the first such line is page 0. Blank pages are dropped."""
     mark = r"^[ \t]*\{(\d+)\}[ \t]*-{6,}[ \t]*\z"
     lines = docs.select(id_col, F.posexplode(F.split(F.replace(F.col(content_col), F.lit("\r\n"), F.lit("\n")), "\n")).alias("line_no", "line"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy(id_col).orderBy("line_no")
     is_mark = F.col("line").rlike(mark)
     marked = lines.withColumn("page", F.coalesce(F.last(F.when(is_mark, F.regexp_extract("line", mark, 1).cast("int")), ignorenulls=True).over(order), F.lit(0))).withColumn("mark", is_mark)
     rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     text = marked.where("not mark").groupBy(id_col, "page").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("content"))
-    from ..functions.text import js_trim as trim
-
-    return text.withColumn("content", trim(F.col("content"))).where("content <> ''")
+    return text.withColumn("content", text_trim(F.col("content"))).where("content <> ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from ..functions.text import basename_of, detect_kind, extension_of
 SKIPPED_FOLDERS = ("translation", "localization", "node_modules", ".git", ".mastra")
 #: Which kind wins among equally many files.
 KIND_ORDER = ("pdf", "doc", "docx", "epub", "odt", "rtf", "srt", "ass", "html", "json", "markdown", "text")
+#: Names that win among several glossaries, and among several style guides, best first.
+GLOSSARY_NAMES = ("glossary.csv", "glossary.json", "glossary.md", "glossary.txt", "terms.csv", "terminology.csv", "terms.json")
+STYLE_NAMES = (
+    "guide.md", "guide.txt", "instruction.md", "instruction.txt", "style_guide.md", "style-guide.md", "style.md", "style.txt", "styleguide.md", "tone.md",
+)
 _GLOSSARY = r"(?i)(^|[-_. ])(glossary|terminology|terminologies|terms|vocab|vocabulary)([-_. ]|\z)"
 _STYLE = r"(?i)(^|[-_. ])(style-guide|guide|instruction|styleguide|style|tone|voice)([-_. ]|\z)"
 
@@ -28,7 +35,7 @@ def is_style_guide(path: Column) -> Column:
     return ~is_glossary(path) & extension_of(path).isin("md", "markdown", "txt") & basename_of(path).rlike(_STYLE)
 
 
-def pick_preferred(files: DataFrame, names: list[str], group: str = "project") -> DataFrame:
+def pick_preferred(files: DataFrame, names: Sequence[str], group: str = "project") -> DataFrame:
     """One file of each group: the best ranked exact name (of one name, the last path), else the first path."""
     name = F.lower(basename_of(F.col("path")))
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), name)
@@ -52,3 +59,35 @@ def pick_source_kind(classified: DataFrame, group: str = "project") -> DataFrame
     order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
     best = F.min_by(F.struct("kind", "files"), F.struct((-F.col("files")).alias("a"), order.alias("b")))
     return counts.groupBy(group).agg(best.alias("b")).select(group, "b.kind", "b.files")
+
+
+def discover_projects(projects: DataFrame, files: DataFrame, group: str = "project") -> DataFrame:
+    """What each project (projects: project) holds among its files (project, path): project, source_kind, source_paths, glossary_path,
+    glossary_candidates, style_path, style_candidates, other_kinds (kind and number of files), notes (codes).
+
+    Paths are sorted. Notes: no_sources, other_kinds_left_out, no_glossary, several_glossaries, no_style_guide, several_style_guides.
+    A project's listing is one row by its nature; files of all projects are classified where they are.
+    """
+    roles = classify_files(files)
+    paths = lambda role, name: roles.where(F.col("role") == role).groupBy(group).agg(F.array_sort(F.collect_list("path")).alias(name))
+    best = lambda role, names, name: pick_preferred(roles.where(F.col("role") == role), names, group).withColumnRenamed("path", name)
+    kinds = roles.where("role = 'source'").groupBy(group, "kind").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    by_kind = kinds.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("kind", "p"))).alias("_kinds"))
+    all_ = projects.select(group).distinct()
+    for part in (
+        pick_source_kind(roles, group).select(group, F.col("kind").alias("source_kind")), by_kind, paths("glossary", "glossary_candidates"), paths("style", "style_candidates"),
+        best("glossary", GLOSSARY_NAMES, "glossary_path"), best("style", STYLE_NAMES, "style_path"),
+    ):
+        all_ = all_.join(part, group, "left")
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    own = F.element_at(F.filter("_kinds", lambda k: k["kind"] == F.col("source_kind")), 1)["p"]
+    others = F.transform(F.filter(F.coalesce("_kinds", F.array().cast("array<struct<kind: string, p: array<string>>>")), lambda k: k["kind"] != F.col("source_kind")), lambda k: F.struct(k["kind"].alias("kind"), F.size(k["p"]).alias("files")))
+    got = all_.select(
+        group, "source_kind", listed(own).alias("source_paths"), "glossary_path", listed(F.col("glossary_candidates")).alias("glossary_candidates"),
+        "style_path", listed(F.col("style_candidates")).alias("style_candidates"), others.alias("other_kinds"),
+    )
+    notes = [
+        (F.size("source_paths") == 0, "no_sources"), ((F.size("source_paths") > 0) & (F.size("other_kinds") > 0), "other_kinds_left_out"), (F.col("glossary_path").isNull(), "no_glossary"),
+        (F.size("glossary_candidates") > 1, "several_glossaries"), (F.col("style_path").isNull(), "no_style_guide"), (F.size("style_candidates") > 1, "several_style_guides"),
+    ]
+    return got.withColumn("notes", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in notes])))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import js_trim
+from ..functions.text import glossary_format, js_trim
 from .chunk import js_trim as trim
 
 #: Header names of the three columns.
@@ -50,13 +50,17 @@ def parse_json(content: str) -> list[Term]:
     return out
 
 
+def lines_of(content: str) -> list[str]:
+    return re.split(r"\r?\n", content)
+
+
 def split_csv(line: str) -> list[str]:
     """Fields of a line; commas and semicolons part them, quotes enclose them and double inside."""
     return [trim(m[1].replace('""', '"') if m[1] is not None else m[2]) for m in re.finditer(r'(?:^|[,;])\s*(?:"((?:[^"]|"")*)"[^,;]*|([^,;]*))', line)]
 
 
 def parse_csv(content: str) -> list[Term]:
-    rows = [split_csv(x) for x in content.splitlines() if trim(x) and not trim(x).startswith("#")]
+    rows = [split_csv(x) for x in lines_of(content) if trim(x) and not trim(x).startswith("#")]
     if not rows:
         return []
     at: list[int | None] = [0, 1, 2]
@@ -75,17 +79,17 @@ def parse_line(line: str) -> Term | None:
 
 
 def parse_text(content: str) -> list[Term]:
-    return [t for x in content.splitlines() if (t := parse_line(x))]
+    return [t for x in lines_of(content) if (t := parse_line(x))]
 
 
 def parse_markdown(content: str) -> list[Term]:
     """Table rows first, then the other lines; rule rows and header rows are no terms."""
     rows, rest = [], []
-    for line in map(trim, content.splitlines()):
+    for line in map(trim, lines_of(content)):
         if not line.startswith("|"):
             rest.append(line)
             continue
-        cells = [trim(c) for c in line.strip("|").split("|")]
+        cells = [trim(c) for c in re.sub(r"^\||\|$", "", line).split("|")]
         if not all(re.fullmatch(r":?-{2,}:?", c) for c in cells) and _column(cells, "source") is None and len(cells) > 1 and (t := make_term(*cells[:3])):
             rows.append(t)
     return rows + [t for x in rest if (t := parse_line(x))]
@@ -120,6 +124,25 @@ def merge_terms(terms: DataFrame, group: list[str], order: str = "ord") -> DataF
     return got.select(*group, order, "t.*")
 
 
+def load_glossaries(files: DataFrame) -> DataFrame:
+    """path, ord, source, target, notes, origin of the canonical glossary of each file (path, content), read by its extension's format."""
+    return merge_terms(parse_glossaries(files.withColumn("format", glossary_format(F.col("path")))), ["path"])
+
+
+def append_terms(known: DataFrame, added: DataFrame, group: str, order: str = "ord") -> DataFrame:
+    """known (group, ord, source, target, notes, origin) with the terms of `added` (group, ord, source, target, notes) as a translator's,
+    after them; terms that are known stay as they are."""
+    last = known.groupBy(group).agg(F.max(order).alias("_last"))
+    new = added.join(last, group, "left").select(group, (F.col(order) + F.coalesce(F.col("_last") + 1, F.lit(0))).alias(order), "source", "target", "notes", F.lit("translator").alias("origin"))
+    return merge_terms(known.select(group, order, "source", "target", "notes", "origin").unionByName(new), [group], order)
+
+
+def term_counts(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
+    """group, term_count and added_count: each glossary's terms after an addition, and how many of them are new."""
+    n, m = (t.groupBy(group).agg(F.count("*").alias(c)) for t, c in ((after, "term_count"), (before, "_before")))
+    return n.join(m, group, "left").select(group, "term_count", (F.col("term_count") - F.coalesce("_before", F.lit(0))).alias("added_count"))
+
+
 def glossary_as_of(terms: DataFrame, parts: DataFrame, group: str, part: str = "part_index", order: str = "ord") -> DataFrame:
     """For each part, the merged terms that seeds and earlier parts have proposed; a seed's part is null.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,16 +22,21 @@ def fill_bins(costs: np.ndarray, budget: int, cap: int | None = None) -> np.ndar
     return out
 
 
-def greedy_pack(items: DataFrame, group: str, order: str, cost: str, *, budget: int, cap: int | None = None, out: str = "batch") -> DataFrame:
-    """items with the number of each one's bin inside its group, from 0 in the items' order.
-
-    A group is one document's items. Only their costs go to Python, as one array a group in Arrow batches."""
+def pack_array(costs: Column, budget: int, cap: int | None = None) -> Column:
+    """Bins of a row's own array of costs: no shuffle, one Arrow pass."""
 
     @F.pandas_udf("array<int>")
     def bins(s):
-        return s.map(lambda c: fill_bins(np.asarray(c, dtype=np.int64), budget, cap))
+        return s.map(lambda c: None if c is None else fill_bins(np.asarray(c, dtype=np.int64), budget, cap))
+
+    return bins(costs.cast("array<bigint>"))
+
+
+def greedy_pack(items: DataFrame, group: str, order: str, cost: str, *, budget: int, cap: int | None = None, out: str = "batch") -> DataFrame:
+    """items with the number of each one's bin inside its group, from 0 in the items' order.
 
+    A group is one document's items, already apart from one another; where they are still an array, use pack_array."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in items.columns if c != group]).alias("_r"))), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0))
     grouped = items.groupBy(group).agg(rows.alias("rows"))
-    packed = grouped.withColumn("bins", bins(F.transform("rows", lambda r: r["_r"][cost].cast("long"))))
+    packed = grouped.withColumn("bins", pack_array(F.transform("rows", lambda r: r["_r"][cost].cast("long")), budget, cap))
     return packed.select(group, F.explode(F.arrays_zip("rows", "bins")).alias("z")).select(group, "z.rows._r.*", F.col("z.bins").alias(out))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_title
+from ..functions.text import js_trim, normalise_title, utf16_length
 
 FRONT = "Front matter"
-_TOC = r"^(.*?)[\s.·:_–—-]{2,}(\d{1,4})\s*\z"
+#: A line of a table of contents, what is cut off after its title, and the least length of a title.
+_TOC = r"^(.+?)[\s.·:_–—-]{2,}(\d{1,4})\z"
+_TOC_TAIL = r"[\s.·:_–—-]+\z"
+_TITLE_LENGTH = 3
+#: Entries that make a page one of contents, entries that make a table, entries that are verified, pages that are searched.
+_ON_PAGE, _IN_TABLE, _VERIFIED, _SEARCHED = 2, 3, 8, 26
 
 
 def ranges_from_starts(starts: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -39,50 +41,101 @@ def split_oversized(ranges: DataFrame, most: int, id_col: str = "doc_id") -> Dat
     )
 
 
-def fold_small(ranges: list[tuple[str | None, int, int]], least: int, most: int) -> list[tuple[str | None, int, int]]:
-    """A range under `least` pages takes in the next while both make at most `most`; a small last one joins the one before."""
-    out: list[tuple[str | None, int, int]] = []
-    for title, a, b in ranges:
-        if out:
-            t, x, y = out[-1]
-            if y - x + 1 < least and (y - x + 1) + (b - a + 1) <= most:
-                out[-1] = (t, x, b)
-                continue
-        out.append((title, a, b))
-    if len(out) > 1:
-        (t, x, y), (_, a, b) = out[-2:]
-        if b - a + 1 < least and (y - x + 1) + (b - a + 1) <= most:
-            out[-2:] = [(t, x, b)]
-    return out
+def _joined(a: Column, b: Column) -> Column:
+    """Two neighbours as one range, under the first one's title."""
+    return F.struct(a["start_page"].alias("start_page"), b["end_page"].alias("end_page"), a["title"].alias("title"))
 
 
 def merge_undersized(ranges: DataFrame, least: int, most: int, id_col: str = "doc_id") -> DataFrame:
-    """The fold over each document's ranges in page order; one small array a document goes to Python."""
-    rows = F.array_sort(F.collect_list(F.struct("start_page", "end_page", "title")))
-    schema = ranges.select(id_col).schema.add("title", "string").add("start_page", "long").add("end_page", "long")
+    """A range under `least` pages takes in the next while both make at most `most`; a small last one joins the one before.
+
+    One fold over each document's array of ranges in page order."""
+    row = F.struct(F.col("start_page").cast("long").alias("start_page"), F.col("end_page").cast("long").alias("end_page"), F.col("title").cast("string").alias("title"))
+    pages = lambda r: r["end_page"] - r["start_page"] + 1
+    fits = lambda a, b, small: (pages(small) < least) & (pages(a) + pages(b) <= most)
+    less = lambda out, n: F.slice(out, 1, F.size(out) - n)
+    last = lambda out, i: F.element_at(out, -i)
+
+    def take(out: Column, r: Column) -> Column:
+        return F.when(F.size(out) == 0, F.array(r)).when(fits(last(out, 1), r, last(out, 1)), F.concat(less(out, 1), F.array(_joined(last(out, 1), r)))).otherwise(F.concat(out, F.array(r)))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(i, *r) for i, own in enumerate(b.column(1).to_pylist()) for r in fold_small([(r["title"], r["start_page"], r["end_page"]) for r in own], least, most)]
-            at, title, start, end = zip(*got, strict=True) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(title, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], schema.names)
+    def close(out: Column) -> Column:
+        tail = F.when(F.size(out) > 1, fits(last(out, 2), last(out, 1), last(out, 1))).otherwise(False)
+        return F.when(tail, F.concat(less(out, 2), F.array(_joined(last(out, 2), last(out, 1))))).otherwise(out)
 
-    return ranges.groupBy(id_col).agg(rows.alias("rows")).mapInArrow(scan, schema)
+    rows = ranges.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    empty = F.array().cast("array<struct<start_page: bigint, end_page: bigint, title: string>>")
+    return rows.select(id_col, F.explode(F.aggregate("rows", empty, take, close)).alias("r")).select(id_col, "r.title", "r.start_page", "r.end_page")
 
 
 def normalise_ranges(ranges: DataFrame, least: int, most: int, id_col: str = "doc_id") -> DataFrame:
     return split_oversized(merge_undersized(ranges, least, most, id_col), most, id_col)
 
 
+def _toc_lines(pages: DataFrame, id_col: str) -> DataFrame:
+    """id, page_no, ord, title, printed_page of the lines that look like a table of contents."""
+    lines = pages.select(id_col, "page_no", F.posexplode(F.split("text", "\r?\n")).alias("ord", "line")).withColumn("line", js_trim(F.col("line")))
+    title = js_trim(F.regexp_replace(F.regexp_extract("line", _TOC, 1), _TOC_TAIL, ""))
+    found = lines.where(F.col("line").rlike(_TOC)).withColumn("title", title).withColumn("printed_page", F.regexp_extract("line", _TOC, 2).cast("int"))
+    return found.where((utf16_length(F.col("title")) >= _TITLE_LENGTH) & ~F.col("title").rlike(r"^\d+\z") & (F.col("printed_page") >= 1)).drop("line")
+
+
+def _first_of_title(found: DataFrame, within: list[str]) -> DataFrame:
+    first = Window.partitionBy(*within, normalise_title(F.col("title"))).orderBy("page_no", "ord")
+    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
 def toc_candidates(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, page_no, ord, title, printed_page of the lines of (id, page_no, text) that look like a table of contents; the first of a title stays."""
-    lines = pages.select(id_col, "page_no", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    line = F.trim("line")
-    title = F.regexp_replace(F.regexp_extract(line, _TOC, 1), r"[\s.·:_–—-]+\z", "")
-    found = lines.where(line.rlike(_TOC)).withColumn("title", title).withColumn("printed_page", F.regexp_extract(line, _TOC, 2).cast("int"))
-    found = found.where((F.length("title") >= 3) & ~F.col("title").rlike(r"^\d+\z") & (F.col("printed_page") >= 1))
-    first = Window.partitionBy(id_col, normalise_title(F.col("title"))).orderBy("page_no", "line_no")
-    return found.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(id_col, "page_no", F.col("line_no").alias("ord"), "title", "printed_page")
+    return _first_of_title(_toc_lines(pages, id_col), [id_col]).select(id_col, "page_no", "ord", "title", "printed_page")
+
+
+def scan_toc(pages: DataFrame, scanned: int, id_col: str = "doc_id") -> DataFrame:
+    """The contents entries among each document's first `scanned` pages: id, page_no, ord, title, printed_page, toc_end_page.
+
+    Only pages with two entries or more count as contents, of which the last is toc_end_page; a document with under three
+    entries of different titles has none."""
+    own = _first_of_title(_toc_lines(pages.where(F.col("page_no") <= scanned), id_col), [id_col, "page_no"])
+    on_page = own.withColumn("_n", F.count("*").over(Window.partitionBy(id_col, "page_no"))).where(F.col("_n") >= _ON_PAGE).drop("_n")
+    ends = on_page.withColumn("toc_end_page", F.max("page_no").over(Window.partitionBy(id_col)))
+    single = _first_of_title(ends, [id_col])
+    enough = single.withColumn("_n", F.count("*").over(Window.partitionBy(id_col))).where(F.col("_n") >= _IN_TABLE)
+    return enough.select(id_col, "page_no", "ord", "title", "printed_page", "toc_end_page")
+
+
+def sample_evenly(rows: DataFrame, count: int, order: list[str], id_col: str = "doc_id") -> DataFrame:
+    """Of each document's rows in order, `count` at even steps; all, if there are no more."""
+    own = Window.partitionBy(id_col)
+    numbered = rows.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(own))
+    k = F.ceil(F.col("_i") * count / F.col("_n"))  # the first step that is not before this row
+    chosen = (F.col("_n") <= count) | ((k < count) & (F.floor(k * F.col("_n") / count) == F.col("_i")))
+    return numbered.where(chosen).drop("_i", "_n")
+
+
+def toc_to_starts(candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, ord, title, start_page, total_pages of the candidates (with page_offset and total_pages) that lie inside the document."""
+    moved = candidates.withColumn("start_page", F.col("printed_page") + F.col("page_offset"))
+    order = F.row_number().over(Window.partitionBy(id_col).orderBy("page_no", "ord"))
+    return moved.where(F.col("start_page").between(1, F.col("total_pages"))).select(id_col, order.alias("ord"), "title", "start_page", "total_pages")
+
+
+def find_toc_starts(pages: DataFrame, totals: DataFrame, scanned: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """id, ord, title, start_page, total_pages, page_offset from printed contents that the pages confirm.
+
+    pages: id, page_no, text; totals: id, total_pages. The offset between printed and real pages comes from the first
+    entries that a page shows. Of eight entries, evenly chosen, at least half of those whose page lies behind the contents
+    and inside the document must be shown there; at least two starts must be left. Documents that fail have no rows.
+    """
+    found = scan_toc(pages, scanned, id_col)
+    sized = found.join(page_offset(found, pages, id_col), id_col).join(totals.select(id_col, "total_pages"), id_col)
+    sample = sample_evenly(sized, _VERIFIED, ["page_no", "ord"], id_col).withColumn("at", F.col("printed_page") + F.col("page_offset"))
+    sample = sample.where((F.col("at") > F.col("toc_end_page")) & (F.col("at") <= F.col("total_pages")))
+    shown = sample.join(pages.select(id_col, F.col("page_no").alias("at"), "text"), [id_col, "at"], "left")
+    hit = F.coalesce(title_appears(F.col("title"), F.col("text")), F.lit(False))
+    good = shown.groupBy(id_col).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).where("hits * 2 >= n").select(id_col)
+    body = sized.join(good, id_col, "left_semi").where(F.col("printed_page") + F.col("page_offset") > F.col("toc_end_page"))
+    starts = toc_to_starts(body, id_col).join(sized.select(id_col, "page_offset").distinct(), id_col)
+    return starts.withColumn("_n", F.count("*").over(Window.partitionBy(id_col))).where("_n >= 2").drop("_n")
 
 
 def title_appears(title, page):
@@ -92,10 +145,11 @@ def title_appears(title, page):
     return ((t != "") & F.contains(p, t)) | ((F.length(words) >= 3) & F.contains(p, words))
 
 
-def page_offset(candidates: DataFrame, pages: DataFrame, id_col: str = "doc_id", reach: int = 26) -> DataFrame:
+def page_offset(candidates: DataFrame, pages: DataFrame, id_col: str = "doc_id", reach: int = _SEARCHED) -> DataFrame:
     """id, page_offset: from the first of three candidates that a page within reach shows; a range join inside each document."""
     order = Window.partitionBy(id_col).orderBy("page_no", "ord")
-    few = candidates.withColumn("nth", F.row_number().over(order)).where("nth <= 3").withColumn("body", F.max("page_no").over(Window.partitionBy(id_col)) + 1)
+    end = F.col("toc_end_page") if "toc_end_page" in candidates.columns else F.max("page_no").over(Window.partitionBy(id_col))
+    few = candidates.withColumn("nth", F.row_number().over(order)).withColumn("body", end + 1).where("nth <= 3")
     low = F.greatest("printed_page", "body")
     p = pages.select(id_col, F.col("page_no").alias("at"), "text")
     hits = few.join(p, id_col).where((F.col("at") >= low) & (F.col("at") < low + reach) & title_appears(F.col("title"), F.col("text")))

@@ -48,18 +48,34 @@ def walk_strings(node: object, pointer: str = "") -> Iterator[tuple[str, str]]:
             stack.extend((f"{at}/{i}", x[i]) for i in range(len(x) - 1, -1, -1))
 
 
-def replace_strings(node: object, translations: dict[str, str], pointer: str = "") -> object:
-    if isinstance(node, str):
-        return translations.get(pointer, node) if js_trim(node) else node
-    if isinstance(node, dict):
-        return {k: replace_strings(v, translations, f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}") for k, v in _ordered(node)}
-    if isinstance(node, list):
-        return [replace_strings(v, translations, f"{pointer}/{i}") for i, v in enumerate(node)]
-    return node
-
-
 def rebuild_json(raw: str, translations: dict[str, str]) -> str:
-    return json.dumps(replace_strings(json.loads(raw), translations), ensure_ascii=False, indent=2) + "\n"
+    """raw written anew, indented by two, with the translated strings in place. Without recursion, as bundles may be deep."""
+    out: list[str] = []
+    stack: list[tuple] = [("", "", "", json.loads(raw))]
+    while stack:
+        before, pointer, indent, x = stack.pop()
+        out.append(before)
+        if isinstance(x, str):
+            out.append(json.dumps(translations.get(pointer, x) if js_trim(x) else x, ensure_ascii=False))
+        elif isinstance(x, (dict, list)) and x:
+            inner = indent + "  "
+            if isinstance(x, dict):
+                rows = [(f"{json.dumps(k, ensure_ascii=False)}: ", f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in _ordered(x)]
+            else:
+                rows = [("", f"{pointer}/{i}", v) for i, v in enumerate(x)]
+            ends = "{}" if isinstance(x, dict) else "[]"
+            out.append(f"{ends[0]}\n{inner}")
+            stack.append((f"\n{indent}{ends[1]}", "", "", None))
+            stack.extend((f",\n{inner}{key}" if n else key, at, inner, v) for n, (key, at, v) in reversed(list(enumerate(rows))))
+        elif pointer or before == "" or x is not None:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out) + "\n"
+
+
+def is_translatable(raw: str) -> bool:
+    """Whether raw is a JSON object or list with a string that is not blank."""
+    node = json.loads(raw)
+    return isinstance(node, (dict, list)) and next(walk_strings(node), None) is not None
 
 
 # HTML
@@ -92,8 +108,8 @@ class _Finder(HTMLParser):
             start, end = self.run[0][0], self.run[-1][1]
             value = html.unescape("".join(self.raw[a:b] for a, b in self.run))
             if js_trim(value):
-                self.found.append((f"t-{self.texts}", value, start, end, None))
                 self.texts += 1
+                self.found.append((f"t-{self.texts}", value, start, end, None))
             self.run = []
 
     def text(self, length: int) -> None:
@@ -138,7 +154,8 @@ class _Finder(HTMLParser):
                 break
 
     def attributes(self, tag: str, attrs: dict[str, str | None]) -> None:
-        meta = tag == "meta" and ((attrs.get("name") or "").lower() in META_NAMES or (attrs.get("property") or "").lower() in META_PROPERTIES)
+        named = lambda key: js_trim(attrs.get(key) or "").lower()
+        meta = tag == "meta" and (named("name") in META_NAMES or named("property") in META_PROPERTIES)
         source, at = self.get_starttag_text() or "", self.here()
         seen = set()
         for m in re.finditer(r"""[\s/]([^\s/>=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", source[len(tag) + 1 :]):
@@ -150,8 +167,8 @@ class _Finder(HTMLParser):
                 k = next((k for k in (2, 3, 4) if m[k] is not None), None)
                 if k and js_trim(value := html.unescape(m[k])):
                     base = at + len(tag) + 1
-                    self.found.append((f"a-{self.attrs}", value, base + m.start(k), base + m.end(k), {2: '"', 3: "'", 4: ""}[k]))
                     self.attrs += 1
+                    self.found.append((f"a-{self.attrs}", value, base + m.start(k), base + m.end(k), {2: '"', 3: "'", 4: ""}[k]))
 
 
 def walk_html(raw: str) -> list[tuple[str, str]]:
@@ -165,7 +182,7 @@ def _escaped(value: str, quote: str | None) -> str:
     if quote == "'":
         return out.replace("'", "&#39;")
     out = out.replace("<", "&lt;").replace(">", "&gt;")
-    return re.sub(r"\s", "&#32;", out) if quote == "" else out
+    return re.sub(r"\s", "&#32;", out.replace('"', "&quot;").replace("'", "&#39;")) if quote == "" else out
 
 
 def rebuild_html(raw: str, translations: dict[str, str]) -> str:
@@ -199,12 +216,12 @@ def flatten_json(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw")
 
 
 def flatten_html(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """id, ord, pointer (t-N for text, a-N for attributes), value, in the order of the page."""
+    """id, ord, pointer (t-N for text, a-N for attributes, each from 1), value, in the order of the page."""
     return _entries(docs, walk_html, id_col, raw_col)
 
 
 def _rebuilt(docs: DataFrame, translations: DataFrame, build: Callable[[str, dict[str, str]], str], id_col: str, raw_col: str) -> DataFrame:
-    last = translations.groupBy(id_col, "pointer").agg(F.max_by("translation", "ord").alias("translation"))
+    last = translations.where("pointer is not null and translation is not null").groupBy(id_col, "pointer").agg(F.max_by("translation", "ord").alias("translation"))
     by_doc = last.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("pointer", "translation"))).alias("_t"))
 
     @F.pandas_udf("string")
@@ -217,7 +234,8 @@ def _rebuilt(docs: DataFrame, translations: DataFrame, build: Callable[[str, dic
 
 
 def rebuild_json_docs(docs: DataFrame, translations: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """docs with translations (id, pointer, translation, ord) in place; of several for a pointer the last holds, unknown pointers are ignored."""
+    """docs with translations (id, pointer, translation, ord) in place; of several for a pointer the last holds. Unknown and null
+    pointers and null translations are ignored."""
     return _rebuilt(docs, translations, rebuild_json, id_col, raw_col)
 
 
@@ -225,6 +243,16 @@ def rebuild_html_docs(docs: DataFrame, translations: DataFrame, id_col: str = "d
     return _rebuilt(docs, translations, rebuild_html, id_col, raw_col)
 
 
+def translatable_json(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
+    """id and translatable: whether the bundle has a string to translate. Invalid JSON raises."""
+
+    @F.pandas_udf("boolean")
+    def found(raw):
+        return raw.map(lambda r: None if r is None else is_translatable(r))
+
+    return docs.select(id_col, found(F.col(raw_col)).alias("translatable"))
+
+
 def inspect_html(entries: DataFrame, id_col: str = "doc_id", sample: int = 8) -> DataFrame:
     """Counts of entries, texts and attributes of each page, and its first values."""
     first = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda r: r["value"]), 1, sample)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ass_drawing, ass_visible, js_trim
+from ..functions.text import ass_drawing, ass_visible, js_trim, utf16_length
 
-_TIMING = r"(\S+)[ \t]*-->[ \t]*(\S+)"
+#: The timing line of an SRT cue.
+_TIMING = r"^(\S+)\s+-->\s+(\S+)(.*)\z"
 #: The fields of a dialogue line where the file names none.
 ASS_FIELDS = ["layer", "start", "end", "style", "name", "marginl", "marginr", "marginv", "effect", "text"]
 
@@ -22,7 +23,7 @@ def uses_crlf(raw: Column) -> Column:
 
 def srt_blocks(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """id, block_no, is_cue, id of the cue (cue-N counts timed blocks), number, timing, text, raw; native expressions only."""
-    body = js_trim(F.array_join(to_lines(F.col(raw_col)), "\n"))
+    body = F.array_join(to_lines(F.col(raw_col)), "\n")
     blocks = docs.select(id_col, F.posexplode(F.split(body, r"\n\s*\n")).alias("block_no", "raw")).where(js_trim(F.col("raw")) != "")
     lines = F.split("raw", "\n")
     at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("-->"))), True).cast("int")
@@ -45,9 +46,16 @@ def srt_cues(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> D
     return got.select(id_col, F.col("block_no").alias("ord"), "cue", "text", part(1).alias("start"), part(2).alias("end"))
 
 
+def last_translations(translations: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One translation for each cue: the last by ord, where the table has that column; null cues and translations do not count."""
+    order = F.col("ord") if "ord" in translations.columns else F.lit(0)
+    return translations.where("cue is not null and translation is not null").groupBy(id_col, "cue").agg(F.max_by("translation", F.struct(order, "translation")).alias("translation"))
+
+
 def rebuild_srt(docs: DataFrame, translations: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """docs with translations (id, cue, translation) in place of texts; what has none keeps its own."""
-    blocks = srt_blocks(docs, id_col, raw_col).join(translations.select(id_col, "cue", "translation"), [id_col, "cue"], "left")
+    """docs with translations (id, cue, translation, ord) in place of texts; of several for a cue the last holds; what has none keeps
+    its own."""
+    blocks = srt_blocks(docs, id_col, raw_col).join(last_translations(translations, id_col), [id_col, "cue"], "left")
     shown = F.when(F.col("is_cue"), F.concat_ws("\n", "number", "timing", F.coalesce("translation", "text"))).otherwise(F.col("raw"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", shown.alias("s")))), lambda r: r["s"]), "\n\n")
     built = blocks.groupBy(id_col).agg(F.concat(joined, F.lit("\n")).alias("_built"))
@@ -61,11 +69,13 @@ def ass_lines(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") ->
     Section and field names carry forward over a document's lines."""
     lines = docs.select(id_col, F.posexplode(to_lines(F.col(raw_col))).alias("line_no", "line"))
     order = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.lower(F.nullif(F.regexp_extract(js_trim(F.col("line")), r"^\[(.+)\]\z", 1), F.lit("")))
+    header = F.regexp_extract(js_trim(F.col("line")), r"^\[(.+)\]\z", 1)
+    section = F.when(header != "", F.lower(js_trim(header)))
     lines = lines.withColumn("section", F.last(section, ignorenulls=True).over(order))
     named = F.transform(F.split(F.regexp_replace("line", r"(?i)^\s*format\s*:", ""), ","), lambda x: F.lower(js_trim(x)))
     default = F.array(*[F.lit(x) for x in ASS_FIELDS])
-    fields = F.when((F.col("section") == "events") & F.col("line").rlike(r"(?i)^\s*format\s*:"), F.when(F.array_contains(named, "text"), named).otherwise(default))
+    own = F.when((F.col("section") == "events") & F.col("line").rlike(r"(?i)^\s*format\s*:"), F.when(F.array_contains(named, "text"), named).otherwise(default))
+    fields = F.when(section == "events", default).otherwise(own)  # each events section begins with the usual fields
     lines = lines.withColumn("fields", F.coalesce(F.last(fields, ignorenulls=True).over(order), default))
     n = F.array_position("fields", "text").cast("int")
     lead = F.regexp_extract("line", r"(?i)^(\s*dialogue\s*:)", 1)
@@ -87,8 +97,8 @@ def ass_cues(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> D
 
 
 def rebuild_ass(docs: DataFrame, translations: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """docs with translations (id, cue, translation) in place of texts; their line breaks become the format's own."""
-    lines = ass_lines(docs, id_col, raw_col).withColumn("cue", F.concat(F.lit("line-"), F.col("line_no"))).join(translations.select(id_col, "cue", "translation"), [id_col, "cue"], "left")
+    """docs with translations (id, cue, translation, ord) in place of texts, the last of a cue; their line breaks become the format's own."""
+    lines = ass_lines(docs, id_col, raw_col).withColumn("cue", F.concat(F.lit("line-"), F.col("line_no"))).join(last_translations(translations, id_col), [id_col, "cue"], "left")
     put = F.regexp_replace("translation", r"\r\n|\n", r"\\N")
     shown = F.when(F.col("head").isNotNull() & F.col("translation").isNotNull(), F.concat("head", put)).otherwise(F.col("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", shown.alias("s")))), lambda r: r["s"]), "\n")
@@ -97,11 +107,30 @@ def rebuild_ass(docs: DataFrame, translations: DataFrame, id_col: str = "doc_id"
     return docs.join(built, id_col, "left").withColumn(raw_col, F.coalesce(out, F.col(raw_col))).drop("_built")
 
 
+def cues_of(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw", format_col: str = "format") -> DataFrame:
+    """The cues of docs of both formats (srt, ass): id, ord, cue, text, start, end, style (null in SRT)."""
+    part = lambda name: docs.where(F.col(format_col) == name)
+    return srt_cues(part("srt"), id_col, raw_col).unionByName(ass_cues(part("ass"), id_col, raw_col), allowMissingColumns=True)
+
+
+def rebuild_subtitles(docs: DataFrame, translations: DataFrame, id_col: str = "doc_id", raw_col: str = "raw", format_col: str = "format") -> DataFrame:
+    """docs of both formats with translations in place, each by its own format's rules."""
+    part = lambda name: docs.where(F.col(format_col) == name)
+    return rebuild_srt(part("srt"), translations, id_col, raw_col).unionByName(rebuild_ass(part("ass"), translations, id_col, raw_col))
+
+
+def styles_of(cues: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id and styles: the cues' styles, each once, in the order in which they first come; empty for documents with none."""
+    first = cues.groupBy(id_col, "style").agg(F.min("ord").alias("o"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("style") != "", F.struct("o", "style"))))
+    return first.groupBy(id_col).agg(F.transform(listed, lambda r: r["style"]).alias("styles"))
+
+
 def inspect_cues(cues: DataFrame, id_col: str = "doc_id", sample: int = 5) -> DataFrame:
     """Per document: number of cues, characters, first start, last end, and the first cues' texts."""
     texts = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), 1, sample)
     return cues.groupBy(id_col).agg(
-        F.count("*").alias("cue_count"), F.sum(F.length("text")).alias("characters"), F.min_by("start", "ord").alias("first_start"), F.max_by("end", "ord").alias("last_end"), texts.alias("sample")
+        F.count("*").alias("cue_count"), F.sum(utf16_length(F.col("text"))).alias("characters"), F.min_by("start", "ord").alias("first_start"), F.max_by("end", "ord").alias("last_end"), texts.alias("sample")
     )
 
 

@@ -31,6 +31,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def greedy_sql(items: str, group: str, budget: int, cap: int | None, result: str) -> str:
+    """SQL with `bins` (group, ord, bin) of items (group, ord, cost) filled in order under a budget and a cap, and a result from it."""
+    over = f"a.used + x.cost > {budget}" + (f" OR a.n >= {cap}" if cap else "")
+    first = "{{'ord': x.ord, 'cost': x.cost, 'bin': {0}, 'used': {1}, 'n': {2}}}"
+    step = f"CASE WHEN {over} THEN {first.format('a.bin + 1', 'x.cost', '1')} ELSE {first.format('a.bin', 'a.used + x.cost', 'a.n + 1')} END"
+    step = step.replace("a.", "acc[len(acc)].").replace("x.", "x[1].")
+    return f"""
+    WITH items AS ({items}),
+    folded AS (SELECT {group}, list_reduce(list([{{'ord': CAST(ord AS BIGINT), 'cost': CAST(cost AS BIGINT), 'bin': CAST(0 AS BIGINT), 'used': CAST(cost AS BIGINT), 'n': CAST(1 AS BIGINT)}}] ORDER BY ord), lambda acc, x: list_append(acc, {step})) AS l FROM items GROUP BY {group}),
+    bins AS (SELECT {group}, u.ord AS ord, CAST(u.bin AS INTEGER) AS bin FROM (SELECT {group}, unnest(l) AS u FROM folded))
+    {result}"""
+
+
 _LINES = "SELECT doc_id, i - 1 AS line_no, l[i] AS line, len(l[i]) + 1 AS cost FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS s, unnest(range(1, len(l) + 1)) AS u(i)"
 
 
@@ -42,8 +55,10 @@ _LINES = "SELECT doc_id, i - 1 AS line_no, l[i] AS line, len(l[i]) + 1 AS cost F
     FROM r JOIN c ON c.doc_id = r.doc_id AND c.line_no >= r.line_no AND (r.next IS NULL OR c.line_no < r.next) GROUP BY ALL""")
 def line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").where(T.js_trim(F.col("text")) != "")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", (T.utf16_length(F.col("line")) + 1).alias("cost"))
-    return pack.greedy_pack(lines, "doc_id", "line_no", "cost", budget=2000).groupBy("doc_id", "batch").agg(F.count("*").alias("lines"), F.sum("cost").cast("long").alias("chars"))
+    costs = F.transform(F.split("text", "\n"), lambda x: T.utf16_length(x) + 1)
+    packed = docs.select("doc_id", costs.alias("costs")).withColumn("bins", pack.pack_array(F.col("costs"), 2000))
+    lines = packed.select("doc_id", F.explode(F.arrays_zip("costs", "bins")).alias("z"))
+    return lines.groupBy("doc_id", F.col("z.bins").alias("batch")).agg(F.count("*").alias("lines"), F.sum("z.costs").cast("long").alias("chars"))
 
 
 @query()
@@ -88,7 +103,20 @@ def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_RANGES = f"""SELECT doc_id, title, start_page, end_page FROM (
+    WITH f AS (SELECT doc_id, start_page, min_by(title, ord) AS title, max(total_pages) AS total FROM ({_STARTS}) GROUP BY ALL),
+    e AS (SELECT *, coalesce(lead(start_page) OVER w - 1, total) AS end_page, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY start_page))
+    SELECT doc_id, title, start_page, end_page FROM e UNION ALL SELECT doc_id, 'Front matter', 1, start_page - 1 FROM e WHERE k = 1 AND start_page > 1)"""
+
+
+@query(f"""
+    WITH g AS (SELECT doc_id, list([{{'s': CAST(start_page AS BIGINT), 'e': CAST(end_page AS BIGINT), 't': title}}] ORDER BY start_page) AS l FROM ({_RANGES}) GROUP BY doc_id),
+    m AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN a[len(a)].e - a[len(a)].s + 1 < 2 AND x[1].e - a[len(a)].s + 1 <= 20
+        THEN list_append(a[:len(a) - 1], {{'s': a[len(a)].s, 'e': x[1].e, 't': a[len(a)].t}}) ELSE list_append(a, x[1]) END) AS l FROM g),
+    c AS (SELECT doc_id, CASE WHEN len(l) > 1 AND l[len(l)].e - l[len(l)].s + 1 < 2 AND l[len(l)].e - l[len(l) - 1].s + 1 <= 20
+        THEN list_append(l[:len(l) - 2], {{'s': l[len(l) - 1].s, 'e': l[len(l)].e, 't': l[len(l) - 1].t}}) ELSE l END AS l FROM m),
+    u AS (SELECT doc_id, unnest(l) AS r FROM c)
+    SELECT doc_id, r.t AS title, p AS start_page, least(p + 19, r.e) AS end_page FROM u, unnest(range(r.s, r.e + 1, 20)) AS v(p)""")
 def normalised_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.normalise_ranges(ranges.ranges_from_starts(_starts(spark, sf_dir)), 2, 20)
 
@@ -126,17 +154,25 @@ def glossary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.parse_glossaries(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.lit("csv").alias("format"), row.alias("content")))
 
 
-@query()
+#: The texts of the test pages, which hold neither translated attributes nor entities but these: what lies between tags outside
+#: script, style and comments.
+_HTML = r"""SELECT page_id AS doc_id, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, 't-' || row_number() OVER w AS pointer,
+        replace(replace(replace(replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '&amp', '&') AS value
+    FROM (SELECT page_id, i, l[i] AS v FROM (SELECT page_id, string_split(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', chr(1), 'g'), chr(1)) AS l FROM pages) AS s, unnest(range(1, len(l) + 1)) AS u(i))
+    WHERE trim(v, ' ' || chr(9) || chr(10) || chr(13)) <> '' WINDOW w AS (PARTITION BY page_id ORDER BY i)"""
+
+
+@query(_HTML)
 def html_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structured.flatten_html(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("raw")))
 
 
-@query()
+@query(f"SELECT doc_id, count(*) AS entry_count, count(*) AS text_count, CAST(0 AS BIGINT) AS attribute_count, array_to_string(list(value ORDER BY ord)[:8], ' | ') AS sample FROM ({_HTML}) GROUP BY doc_id")
 def html_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.inspect_html(html_entries(spark, sf_dir))
+    return structured.inspect_html(html_entries(spark, sf_dir)).withColumn("sample", F.array_join("sample", " | "))
 
 
-@query()
+@query(greedy_sql(f"SELECT doc_id, ord, len(pointer) + len(value) AS cost FROM ({_HTML})", "doc_id", 2000, 100, f"SELECT h.doc_id, h.ord, pointer, value, CAST(len(pointer) + len(value) AS INTEGER) AS cost, bin AS batch FROM ({_HTML}) h JOIN bins USING (doc_id, ord)"))
 def html_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = html_entries(spark, sf_dir).withColumn("cost", T.utf16_length(F.col("pointer")) + T.utf16_length(F.col("value")))
     return pack.greedy_pack(entries, "doc_id", "ord", "cost", budget=2000, cap=100)
@@ -162,10 +198,18 @@ def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structured.flatten_json(_bundles(spark, sf_dir))
 
 
-@query()
+@query("""
+    SELECT n_nationkey AS doc_id, '{' || chr(10) || '  "a/b": "' || CASE WHEN n_nationkey % 5 = 0 THEN n_name ELSE lower(n_name) END || '",' || chr(10) || '  "n": 1,' || chr(10) || '  "list": [' || chr(10)
+        || '    "' || lower(r_name) || '",' || chr(10) || '    " ",' || chr(10) || '    {' || chr(10) || '      "x~y": "z"' || chr(10) || '    }' || chr(10) || '  ]' || chr(10) || '}' || chr(10) AS raw
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def json_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two replies for a pointer the later holds; null replies and unknown or null pointers are nothing."""
     bundles = _bundles(spark, sf_dir)
-    return structured.rebuild_json_docs(bundles, structured.flatten_json(bundles).withColumn("translation", F.upper("value")))
+    entries = structured.flatten_json(bundles).where("doc_id % 5 <> 0 or ord > 0")
+    late = entries.select("doc_id", "pointer", F.lower("value").alias("translation"), F.lit(1).alias("ord"))
+    early = entries.select("doc_id", "pointer", F.upper("value").alias("translation"), F.lit(0).alias("ord"))
+    odd = bundles.select("doc_id", F.explode(F.array(F.lit("/none"), F.lit(None), F.lit("/a~1b"))).alias("pointer")).withColumn("translation", F.when(F.col("pointer") == "/none", "x")).withColumn("ord", F.lit(2))
+    return structured.rebuild_json_docs(bundles, early.unionByName(late).unionByName(odd))
 
 
 def _srt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +237,13 @@ def cue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.cue_page(srt_cues(spark, sf_dir), 1, 3)
 
 
-@query()
+@query(f"SELECT doc_id, string_agg((CAST(split_part(start, ':', 3)[:2] AS INTEGER)) || chr(10) || start || ' --> ' || \"end\" || chr(10) || CASE WHEN ord % 3 = 2 THEN text ELSE '> ' || text END, chr(10) || chr(10) ORDER BY ord) || chr(10) AS raw FROM ({_CUES}) GROUP BY doc_id")
 def srt_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two replies for a cue the later holds; every third cue has none."""
     docs = _srt(spark, sf_dir)
-    return subtitles.rebuild_srt(docs, subtitles.srt_cues(docs).select("doc_id", "cue", F.upper("text").alias("translation")))
+    cues = subtitles.srt_cues(docs).where("ord % 3 <> 2")
+    reply = lambda text, ord_: cues.select("doc_id", "cue", text.alias("translation"), F.lit(ord_).alias("ord"))
+    return subtitles.rebuild_srt(docs, reply(F.concat(F.lit("> "), "text"), 2).unionByName(reply(F.lit("first try"), 1)))
 
 
 @query(f"SELECT doc_id, count(*) AS cue_count, CAST(sum(len(text)) AS BIGINT) AS characters, min_by(start, ord) AS first_start, max_by(\"end\", ord) AS last_end FROM ({_CUES}) GROUP BY doc_id")
@@ -255,10 +302,16 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localize.report(docs.select(F.col("source").alias("run_id"), F.col("lang").alias("source_index")), none, issues)
 
 
-@query()
+@query(r"""
+    SELECT n_nationkey AS doc_id, n_name || chr(10) || chr(10) || 'see ' || r_name || ' or picture, a ``js' || chr(10) || 'b` c' || chr(10) || 'x = 1' || chr(10) || chr(10) || 'said ' || n_name || '`' || chr(10) || 'twice' || chr(10) || chr(10) || 'end > here' AS text
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.strip_markdown(F.concat(F.lit("# *"), "source", F.lit("*\n\n"), "text")).alias("text"))
+    """Fences count at the start and end of a line alone, quotes after up to three spaces."""
+    n = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(
+        F.lit("## **"), "n_name", F.lit("**\n\nsee [_"), "r_name", F.lit("_](http://x/y) or ![picture](p.png), a ```js\nb``` c\n```js\nx = 1\n```\n---\n\n  > said `"), "n_name", F.lit("`\n   > twice\n\n\n\nend > here\n"),
+    )
+    return n.select(F.col("n_nationkey").alias("doc_id"), T.strip_markdown(text).alias("text"))
 
 
 @query("SELECT p_partkey AS doc_id, CAST(i AS INTEGER) AS page_no FROM part, unnest(range(1, p_size + 1)) AS u(i) WHERE i > p_size - 3")

@@ -72,7 +72,8 @@ def list_tree(spark: SparkSession, root: str, path: str = ".", recursive: bool =
 
 
 def read_bytes(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFrame:
-    """path, length and content of these files. Spark passes over names that begin with a dot or an underscore, so they are refused."""
+    """path, length and content of these files. Spark's reader passes over empty files, which are added, and over names that begin
+    with a dot or an underscore, which are refused."""
     names = [contained(p) for p in paths]
     for n in names:
         if posixpath.basename(n).startswith(("_", ".")):
@@ -81,8 +82,13 @@ def read_bytes(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFram
     if not names:
         return spark.createDataFrame([], "path string, length long, content binary")
     literal = [f"{base}/" + "".join("\\" + c if c in "*?[]{}\\" else c for c in n) for n in names]
-    files = spark.read.format("binaryFile").load(literal)
-    return files.select(F.substr("path", F.lit(len(base) + 2)).alias("path"), "length", "content")
+    found = spark.read.format("binaryFile").load(literal).select(F.substr("path", F.lit(len(base) + 2)).alias("path"), "length", "content")
+    empty = []
+    for n in names:
+        fs, p = _open(spark, f"{base}/{n}")
+        if fs.getFileStatus(p).getLen() == 0:
+            empty.append((n, 0, b""))
+    return found.unionByName(spark.createDataFrame(empty, "path string, length long, content binary"))
 
 
 def read_documents(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFrame:
