@@ -19,7 +19,7 @@ from . import vec
 
 _U = np.uint64
 _STEPS = [_U(pow(0x9FB21C651E98DF25, k, 1 << 64)) for k in range(16)]
-_SALTS = [_U(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(16)]
+SALTS = [_U(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(16)]
 SPACE = 32
 
 
@@ -58,7 +58,7 @@ def sequences(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, order: i
     return Sequences(symbols, out_first, order)
 
 
-def _rolling(s: np.ndarray, order: int) -> list[np.ndarray]:
+def rolling(s: np.ndarray, order: int) -> list[np.ndarray]:
     """For k from 1 to order, a polynomial over the k last symbols at every place (places before have none)."""
     out, acc = [], np.zeros(len(s), _U)
     wide = s.astype(_U)
@@ -69,13 +69,13 @@ def _rolling(s: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _gram_keys(grams: np.ndarray) -> np.ndarray:
+def gram_keys(grams: np.ndarray) -> np.ndarray:
     """Hashes of n-grams given as rows of symbols; those of a text's places are the same."""
     n, k = grams.shape
     acc = np.zeros(n, _U)
     for j in range(k):
         acc += grams[:, k - 1 - j].astype(_U) * _STEPS[j]
-    return vec.mix(acc + _SALTS[k])
+    return vec.mix(acc + SALTS[k])
 
 
 class CharModel:
@@ -95,14 +95,14 @@ class CharModel:
         if not count.sum():
             return out
         at = vec.ragged(s.first[:-1] + n - 1, count)
-        rolling = _rolling(s.symbols, n)
+        sums = rolling(s.symbols, n)
         ptr = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=ptr[1:])
         todo = np.arange(len(at))
         value = np.zeros((len(self.classes), len(at)), np.float32)
         for k in range(n, 0, -1):
             index, logs = self.grams[k - 1]
-            key = vec.mix(rolling[k - 1][at[todo]] + _SALTS[k])
+            key = vec.mix(sums[k - 1][at[todo]] + SALTS[k])
             found = index.find(key)
             hit = found >= 0
             for c in range(len(out)):
@@ -112,7 +112,7 @@ class CharModel:
                 break
             if k > 1:
                 index, weights = self.contexts[k - 1]
-                found = index.find(vec.mix(rolling[k - 2][at[todo] - 1] + _SALTS[k - 1]))
+                found = index.find(vec.mix(sums[k - 2][at[todo] - 1] + SALTS[k - 1]))
                 hit = found >= 0
                 for c in range(len(out)):
                     value[c, todo[hit]] += weights[c, found[hit]]
@@ -148,18 +148,18 @@ def build(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int, symbol_t
     lower_keys = lower = None
     for k in range(1, order + 1):
         union = np.unique(np.concatenate([levels[k][c][0] for c in classes]), axis=0)
-        keys = _gram_keys(union)
+        keys = gram_keys(union)
         sort = np.argsort(keys)
         keys, union = keys[sort], union[sort]
-        context_keys = _gram_keys(union[:, :-1]) if k > 1 else np.zeros(len(union), _U)
+        context_keys = gram_keys(union[:, :-1]) if k > 1 else np.zeros(len(union), _U)
         contexts, context_at = np.unique(context_keys, return_inverse=True)
         logs = np.zeros((len(classes), len(keys)), np.float32)
         weights = np.zeros((len(classes), len(contexts)), np.float32)
-        below = np.full((len(classes), len(keys)), 1.0 / (len(keys) + 1)) if k == 1 else 10.0 ** lower[:, np.searchsorted(lower_keys, _gram_keys(union[:, 1:]))].astype(np.float64)
+        below = np.full((len(classes), len(keys)), 1.0 / (len(keys) + 1)) if k == 1 else 10.0 ** lower[:, np.searchsorted(lower_keys, gram_keys(union[:, 1:]))].astype(np.float64)
         for i, c in enumerate(classes):
             grams, got = levels[k][c]
             count = np.zeros(len(keys), np.int64)
-            count[np.searchsorted(keys, _gram_keys(grams))] = got
+            count[np.searchsorted(keys, gram_keys(grams))] = got
             off = _discounts(got, modified)[np.minimum(count, 3)]
             off = np.minimum(off, count)
             total = np.bincount(context_at, count, len(contexts))

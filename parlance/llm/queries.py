@@ -53,7 +53,7 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_kn.train(docs, table(spark, sf_dir, "labels"))
-    return quality_kn.classify(docs.select("doc_id", "lang", "text"), model).select("doc_id", "perplexity", "kept")
+    return quality_kn.classify(docs.select("doc_id", "lang", "text"), model, keep_text=False).select("doc_id", "perplexity", "kept")
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
