@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import discover, glossary, ranges
-from ..sources import files, sinks
+from ..sources import files, office, sinks
 from . import localize, parts, prepare, prompts, replies
 from .queries import _bundles, _read, _srt, query
 
@@ -424,3 +425,44 @@ def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts come back as they were; kinds that are no text come as null."""
     root, wrote = _written(spark, sf_dir)
     return files.read_documents(spark, root, [r.path for r in wrote.select("path").collect()]).select("path", "kind", "content")
+
+
+def zipped_documents(kind: str, name: str) -> bytes:
+    """A small office document of a kind: a heading, a paragraph with the name, a list of two, and a table of two rows."""
+    head, items, rows = f"About {name}", ("one", "two"), (("a", "b"), (name, "d|e"))
+    if kind == "docx":
+        p = lambda text, style="": f"<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+        table = "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
+        body = p(head, '<w:pStyle w:val="Heading2"/>') + p("Hello ") + "".join(p(i, "<w:numPr/>") for i in items) + f"<w:tbl>{table}</w:tbl>"
+        parts_ = {"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'}
+    elif kind == "odt":
+        table = "".join("<t:table-row>" + "".join(f"<t:table-cell><x:p>{c}</x:p></t:table-cell>" for c in r) + "</t:table-row>" for r in rows)
+        body = f'<x:h x:outline-level="2">{head}</x:h><x:p>Hello</x:p><x:list>{"".join(f"<x:list-item><x:p>{i}</x:p></x:list-item>" for i in items)}</x:list><t:table>{table}</t:table>'
+        parts_ = {"content.xml": f'<o xmlns:x="x" xmlns:t="t"><body>{body}</body></o>'}
+    else:
+        table = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
+        parts_ = {
+            "META-INF/container.xml": '<container><rootfile full-path="in/book.opf"/></container>',
+            "in/book.opf": '<package><item id="b" href="two.html"/><item id="a" href="one.html"/><itemref idref="a"/><itemref idref="b"/></package>',
+            "in/one.html": f"<html><head><title>no</title></head><body><h2>{head}</h2><p>Hello</p></body></html>", "in/two.html": f"<html><body><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul><table>{table}</table></body></html>",
+        }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for path, content in parts_.items():
+            z.writestr(path, content)
+    return out.getvalue()
+
+
+@query("""
+    SELECT n_nationkey || '.' || ['docx', 'odt', 'epub', 'rtf'][n_nationkey % 4 + 1] AS path, ['docx', 'odt', 'epub', 'rtf'][n_nationkey % 4 + 1] AS kind, CASE WHEN n_nationkey % 4 < 3 THEN '## About ' || n_name || chr(10) || chr(10) || 'Hello' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10)
+        || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || n_name || ' | d\\|e |' || chr(10) END AS content FROM nation""")
+def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three zipped formats to markdown; a kind that is not read comes out as null."""
+
+    @F.pandas_udf("binary")
+    def made(kind, name):
+        return kind.combine(name, zipped_documents)
+
+    kind = F.element_at(F.array(*map(F.lit, ("docx", "odt", "epub", "rtf"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    docs = _read(spark, sf_dir, "nation").select(F.concat_ws(".", "n_nationkey", kind).alias("path"), kind.alias("kind"), "n_name")
+    return office.office_markdown(docs.withColumn("content", made("kind", "n_name")))
