@@ -378,8 +378,8 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
 
     Defined cases: null and empty texts, and those of white space only, have no shingles and link with nothing, so
     their component is their own id; a text of fewer than k words is one shingle; very long texts are read whole; rows with
-    one id are joined by their texts only; a row with a null id links with nothing; an empty table
-    gives an empty result; columns besides id and text are not read, whatever their names.
+    one id are joined by their texts only; a row with a null id makes no links of its own, and has the component of the rows
+    with its shingle set, if there are any, else a null one; an empty table gives an empty result; columns besides id and text are not read, whatever their names.
     """
     bands = Bands(num, den)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
