@@ -8,7 +8,8 @@ All occurrences of training and scored texts are dealt once, in packed arrays, i
 each partition is counted, then discounted, then scored. Words are either common, with an id and figures that the driver
 knows, or rare, known by hash to the part that the hash names; which are which never changes a result. Pairs of common
 words are dealt by the hash of the pair, a rare word after a common one by the word, a common word after a rare one by
-the history. A pair of rare words goes first to the part of its word, which knows that word's count, and from there to
+the history. A few hot pairs, of which any could fill a part, are summed for each document where they are read and
+dealt with it. A pair of rare words goes first to the part of its word, which knows that word's count, and from there to
 the part of its history, which knows the back-off weight. Only counts of counts and one row per common word come to the
 driver.
 """
@@ -32,12 +33,16 @@ _U = np.uint64
 END, START, OUTSIDE, RESERVED = 0, 1, 2, 3
 #: Counts up to K are discounted.
 K = 5
-#: Kinds of dealt rows: a rare word after any history, two common ones, a common word after a rare one, two rare ones; and the
-#: scored rows' own ids and folds, by number.
-WORD, BOTH, AFTER, RARE, ROWS = 0, 1, 2, 3, 4
+#: Kinds of dealt rows: a rare word after any history, two common ones, a common word after a rare one, two rare ones; the
+#: scored rows' own ids and folds, by number; and hot pairs of common words, with how often each document has them.
+WORD, BOTH, AFTER, RARE, ROWS, HOT = 0, 1, 2, 3, 4, 5
+#: Hot pairs make up at least 1 / MOST_HOT of a partition's tokens; there are no more than so many.
+MOST_HOT = 1000
+#: Keys of counts that are no common word's: those of hot pairs lie below this.
+HOT_KEYS = -1000
 #: Types of the columns a, b, c of each kind: history's id, word's hash, history's hash (0 if common); history's and word's id;
-#: word's id, history's hash; word's count, history's hash, word's hash.
-TYPES = {WORD: (np.int32, _U, _U), BOTH: (np.int32, np.int32), AFTER: (np.int32, _U), RARE: (np.int64, _U, _U)}
+#: word's id, history's hash; word's count, history's hash, word's hash; hot pair's place, occurrences.
+TYPES = {WORD: (np.int32, _U, _U), BOTH: (np.int32, np.int32), AFTER: (np.int32, _U), RARE: (np.int64, _U, _U), HOT: (np.int32, np.uint32)}
 #: Common words make up at least 1 / REPORT of a partition's tokens.
 REPORT = 200_000
 #: Occurrences that a worker packs at once.
@@ -81,6 +86,8 @@ class Numbers:
     log_word: np.ndarray
     log_alpha: np.ndarray
     pair_base: np.ndarray
+    hot: np.ndarray
+    hot_count: np.ndarray
 
     def log_unigram(self, count: np.ndarray) -> np.ndarray:
         """log10 probability of a word with this count; 0 is the class of unseen words."""
@@ -149,8 +156,50 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"range": first >> RANGE, "ids": packed}], pa.schema([("range", pa.int64()), ("ids", pa.binary())]))
 
 
-def deal(docs: DataFrame, shared, count: int) -> DataFrame:
-    """All occurrences of docs (row number, held, text, id), packed by part, and the rows' ids."""
+def _tokens(b: pa.RecordBatch, column: int, index: vec.HashIndex, number: np.ndarray) -> Iterator[tuple]:
+    """For blocks of a batch's texts: rows from and to, tokens of each text, and each token's id, hash, history and history's hash."""
+    for lo, hi, data, offsets in vec.text_blocks(b.column(column)):
+        low, starts, ends = _words(data, offsets)
+        h = vec.span_hashes(low, starts, ends)
+        found = index.find(h)
+        per = np.diff(np.searchsorted(starts, offsets))
+        ptr = np.append(0, np.cumsum(per + 1))
+        own, full = np.full(int(ptr[-1]), END, np.int64), np.zeros(int(ptr[-1]), _U)
+        at = vec.ragged(ptr[:-1], per)
+        own[at], full[at] = np.where(found >= 0, number[found], OUTSIDE), h
+        history, before = np.empty_like(own), np.empty_like(full)
+        history[1:], before[1:] = own[:-1], full[:-1]
+        history[ptr[:-1]], before[ptr[:-1]] = START, 0
+        yield lo, hi, per + 1, own, full, history, before
+
+
+def _codes(history: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return (history << 32) | own
+
+
+def hot_pairs(texts: DataFrame, shared) -> np.ndarray:
+    """Sorted codes of at most MOST_HOT pairs of common words: those with such a share of some partition, the most frequent first."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for b in batches:
+            for *_, own, _, history, _ in _tokens(b, 0, *shared.value):
+                total += len(own)
+                k, c = np.unique(_codes(history, own)[(own != OUTSIDE) & (history != OUTSIDE)], return_counts=True)
+                keep = c >= len(own) / (10 * MOST_HOT)  # what is rarer in every block cannot be hot
+                keys, at = np.unique(np.concatenate([keys, k[keep]]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, c[keep]]), len(keys)).astype(np.int64)
+        keep = counts >= max(2, total / MOST_HOT)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(counts[keep])], ["code", "n"])
+
+    sums = texts.mapInArrow(scan, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["code"] for r in sums.orderBy(F.desc("n"), "code").limit(MOST_HOT).collect()), np.int64)
+
+
+def deal(docs: DataFrame, shared, hot: np.ndarray, count: int) -> DataFrame:
+    """All occurrences of docs (row number, held, text, id), packed by part, and the rows' ids.
+
+    Hot pairs are summed for each document of a chunk, and stay together at a part that the chunk's first row names."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, number = shared.value
@@ -163,9 +212,17 @@ def deal(docs: DataFrame, shared, count: int) -> DataFrame:
             doc, history, own, before, h, ids, held = (np.concatenate([k[i] for k in kept]) for i in range(7))
             kept = []
             word, after = own == OUTSIDE, (own != OUTSIDE) & (history == OUTSIDE)
-            both = ~(word | after)
-            pair = (history[both].astype(_U) << _U(32)) | own[both].astype(_U)
-            rows = list(_pack(vec.mix(pair) % _U(count), count, doc[both], [history[both], own[both]], ids, held, BOTH))
+            both = np.flatnonzero(~(word | after))
+            pair = _codes(history[both], own[both])
+            rows = []
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, pair), len(hot) - 1)
+                is_hot = hot[place] == pair
+                at, times = np.unique(doc[both[is_hot]] * len(hot) + place[is_hot], return_counts=True)
+                one = np.full(len(at), int(vec.mix(ids[:1].astype(_U))[0] % _U(count)))
+                rows = list(_pack(one, count, at // len(hot), [at % len(hot), times], ids, held, HOT))
+                both, pair = both[~is_hot], pair[~is_hot]
+            rows += _pack(vec.mix(pair.astype(_U)) % _U(count), count, doc[both], [history[both], own[both]], ids, held, BOTH)
             rows += _pack(before[after] % _U(count), count, doc[after], [own[after], before[after]], ids, held, AFTER)
             rows += _pack(h[word] % _U(count), count, doc[word], [history[word], h[word], np.where(history[word] == OUTSIDE, before[word], _U(0))], ids, held, WORD)
             return _batch(rows)
@@ -175,20 +232,8 @@ def deal(docs: DataFrame, shared, count: int) -> DataFrame:
             if b.num_rows:
                 yield _row_batch(b, count)
             ids, held = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in vec.text_blocks(b.column(2)):
-                low, starts, ends = _words(data, offsets)
-                h = vec.span_hashes(low, starts, ends)
-                found = index.find(h)
-                word = np.where(found >= 0, number[found], OUTSIDE)
-                per = np.diff(np.searchsorted(starts, offsets))
-                ptr = np.append(0, np.cumsum(per + 1))
-                own, full = np.full(int(ptr[-1]), END, np.int64), np.zeros(int(ptr[-1]), _U)
-                at = vec.ragged(ptr[:-1], per)
-                own[at], full[at] = word, h
-                history, before = np.empty_like(own), np.empty_like(full)
-                history[1:], before[1:] = own[:-1], full[:-1]
-                history[ptr[:-1]], before[ptr[:-1]] = START, 0
-                kept.append((np.repeat(np.arange(hi - lo) + base, per + 1), history, own, before, full, ids[lo:hi], held[lo:hi]))
+            for lo, hi, per, own, full, history, before in _tokens(b, 2, index, number):
+                kept.append((np.repeat(np.arange(hi - lo) + base, per), history, own, before, full, ids[lo:hi], held[lo:hi]))
                 base += hi - lo
                 tokens += len(own)
                 if tokens >= PACKED:
@@ -284,15 +329,17 @@ def _hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per part: numbers of rare words by count (1 .. K + 1, and all), their tokens; and counts of common words."""
+    """Per part: numbers of rare words by count (1 .. K + 1, and all), their tokens; and counts of common words and of hot pairs."""
     for rows in _per_part(batches):
-        out, both, after = (_read(rows, k) for k in (WORD, BOTH, AFTER))
+        out, both, after, hot = (_read(rows, k) for k in (WORD, BOTH, AFTER, HOT))
         _, c, _ = _counts(out.b, out.trained)
         c = c[c > 0]
         own = np.bincount(np.append(both.b[both.trained], after.a[after.trained]), minlength=1)
         at = np.flatnonzero(own)
-        key = [*(-r for r in range(1, K + 2)), -100, -101, *at.tolist()]
-        value = [*(int((c == r).sum()) for r in range(1, K + 2)), len(c), int(c.sum()), *own[at].tolist()]
+        pairs = np.bincount(hot.a[hot.trained], hot.b[hot.trained], 1).astype(np.int64)
+        some = np.flatnonzero(pairs)
+        key = [*(-r for r in range(1, K + 2)), -100, -101, *at.tolist(), *(HOT_KEYS - some).tolist()]
+        value = [*(int((c == r).sum()) for r in range(1, K + 2)), len(c), int(c.sum()), *own[at].tolist(), *pairs[some].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(value, pa.int64())], ["key", "value"])
 
 
@@ -404,7 +451,16 @@ def _score(shared, rare: bool):
             packed = [pa.array(cuts(x.astype(t)), pa.binary()) for x, t in zip(sums, SUMMED_AS.values(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ranges[border[:-1]]), pa.array(cuts((ids & ((1 << RANGE) - 1)).astype(np.uint16)), pa.binary()), *packed], ["range", "rows", *SUMMED_AS])
 
+        history, word = m.hot >> 32, m.hot & 0xFFFFFFFF
+        with np.errstate(divide="ignore"):
+            hot_value = np.where(m.hot_count > 0, np.log10(m.kept(m.hot_count) / np.maximum(m.pair_base[history], 1)), m.log_alpha[history] + m.log_word[word])
+        hot_known, hot_base = m.word_count[word] > 0, np.log10(m.word_count[word] + 1.0)
         for rows in _per_part(batches):
+            if not rare and len((o := _read(rows, HOT)).a):
+                n, times = len(o.ids), o.b.astype(np.float64)
+                per = lambda x: np.bincount(o.doc, x, n)
+                parts.append((o.ids, per(times), per(times * hot_known[o.a]), per(times * hot_base[o.a]), per(times * hot_value[o.a])))
+                held += n
             for p in [_after_rare(m, rows)] if rare else _after_common(m, rows):
                 if not len(p.history):
                     continue
@@ -449,14 +505,16 @@ def _total(t: pa.Table) -> pa.Table:
     return pa.table({"id": ids["id"], "held_out": ids["held_out"], **{c: x[own] for c, x in total.items()}})
 
 
-def fit(dealt: DataFrame, crossed: DataFrame, size: int) -> Numbers:
+def fit(dealt: DataFrame, crossed: DataFrame, size: int, hot: np.ndarray) -> Numbers:
     """Totals, discounts and common words' back-off weights from the dealt occurrences of training texts."""
     spark = dealt.sparkSession
     got = {r["key"]: r["value"] for r in dealt.mapInArrow(_count_words, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).collect()}
     count = np.zeros(size, np.int64)
+    hot_count = np.array([got.get(HOT_KEYS - i, 0) for i in range(len(hot))], np.int64)
     for k, v in got.items():
         if k >= 0:
             count[k] = v
+    np.add.at(count, hot & 0xFFFFFFFF, hot_count)
     inside = count[count > 0]
     of_counts = np.array([got.get(-r, 0) + int((inside == r).sum()) for r in range(1, K + 2)])
     tokens, distinct = got.get(-101, 0) + int(inside.sum()), got.get(-100, 0) + len(inside)
@@ -465,18 +523,26 @@ def fit(dealt: DataFrame, crossed: DataFrame, size: int) -> Numbers:
     base = tokens
     if tokens and spare <= 0:  # no rare word to take from: one more token, unseen
         base, spare = tokens + 1, 1 / (tokens + 1)
-    m = Numbers(tokens, distinct, base, d, np.ones(K + 1), spare, count, np.zeros(size), np.zeros(size), count.copy())
+    m = Numbers(tokens, distinct, base, d, np.ones(K + 1), spare, count, np.zeros(size), np.zeros(size), count.copy(), hot, hot_count)
     m.log_word = m.log_unigram(count)
     m.pair_base[START] = count[END]  # a text has one start, as it has one end
     shared = spark.sparkContext.broadcast(m)
     counted = dealt.mapInArrow(_count_pairs(shared), PAIRS).unionByName(crossed.mapInArrow(_count_rare(shared), PAIRS))
     rows = counted.groupBy("history").agg(*[F.sum(c).alias(c) for c in [f"n{r}" for r in range(1, K + 2)] + ["more", "seen"]]).toArrow()
-    n = [rows[f"n{r}"].to_numpy() for r in range(1, K + 2)]
-    m.bigram = good_turing(np.array([int(x.sum()) for x in n]))
-    common = (history := rows["history"].to_numpy()) != OUTSIDE
-    kept = rows["more"].to_numpy() + sum(m.bigram[r] * r * n[r - 1] for r in range(1, K + 1))
-    history = history[common]
-    m.pair_base[history], m.log_alpha[history] = weights(m.pair_base[history], kept[common], rows["seen"].to_numpy()[common])
+    at = rows["history"].to_numpy()
+    n, more, seen = np.zeros((K + 2, size), np.int64), np.zeros(size, np.int64), np.zeros(size)
+    for r in range(1, K + 2):
+        n[r, at] = rows[f"n{r}"].to_numpy()
+    more[at], seen[at] = rows["more"].to_numpy(), rows["seen"].to_numpy()
+    for code, c in zip(hot.tolist(), hot_count.tolist(), strict=True):
+        if c:
+            n[min(c, K + 1), code >> 32] += c <= K + 1
+            more[code >> 32] += c * (c > K)
+            seen[code >> 32] += 10.0 ** m.log_word[code & 0xFFFFFFFF]
+    m.bigram = good_turing(n[1:].sum(axis=1))
+    kept = more + sum(m.bigram[r] * r * n[r] for r in range(1, K + 1))
+    own = np.flatnonzero((kept > 0) & (np.arange(size) != OUTSIDE))
+    m.pair_base[own], m.log_alpha[own] = weights(m.pair_base[own], kept[own], seen[own])
     return m
 
 
@@ -504,14 +570,16 @@ def score(docs: DataFrame, *, common: int = 65000, id_col: str = "doc_id", text_
     order = np.argsort(keys)
     table = vec.HashIndex(keys[order]), np.append(order + RESERVED, 0)
     few = max(4, partitions(spark) // 2)  # in proportion to the data; a document has sums in each that has a word of it
+    words = spark.sparkContext.broadcast(table)
+    hot = hot_pairs(source.select("text"), words)
     sort = lambda df: cut(df.repartition(few, "part").sortWithinPartitions("part"))
-    dealt = sort(deal(source, spark.sparkContext.broadcast(table), 8 * few))
+    dealt = sort(deal(source, words, hot, 8 * few))
     release(spark)
     rows = dealt.where(F.col("kind") == ROWS).select("a").mapInArrow(_read_rows, "range long, ids binary")
     dealt = dealt.where(F.col("kind") != ROWS)
-    crossed = sort(dealt.where(F.col("kind") != BOTH).mapInArrow(_cross(8 * few), DEALT))
+    crossed = sort(dealt.where(F.col("kind").isin(WORD, AFTER)).mapInArrow(_cross(8 * few), DEALT))
     release(spark)
-    m = spark.sparkContext.broadcast(fitted := fit(dealt, crossed, len(top) + RESERVED))
+    m = spark.sparkContext.broadcast(fitted := fit(dealt, crossed, len(top) + RESERVED, hot))
     parts = dealt.mapInArrow(_score(m, False), SUMS).unionByName(crossed.mapInArrow(_score(m, True), SUMS))
     schema = source.select("id", F.col("held").alias("held_out")).schema
     for c, kind in SUMMED_AS.items():
