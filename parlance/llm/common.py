@@ -7,7 +7,10 @@ import os
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,32 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+#: Words of 64 bits of the filter on ids.
+FILTER_WORDS = 1 << 20
+
+
+def near_ids(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows of docs whose id may be one of ids (id): a filter of fixed size goes to all workers, and no row is shuffled.
+
+    Rows of other ids pass by chance, so a join has the last word; rows without id do not pass."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER_WORDS))
+    bits = ids.where("id is not null").select((spot("id") / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {64 * FILTER_WORDS}) % 64 as int))").alias("b"))
+    words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(FILTER_WORDS, np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_numpy()
+            hit = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
+            if len(hit):
+                got = b.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays(got.columns[1:], got.schema.names[1:])
+
+    return docs.where(F.col(id_col).isNotNull()).select(spot(id_col).alias("_spot"), *docs.columns).mapInArrow(scan, docs.schema)
+
+
 def share_file(spark: SparkSession, name: str, content: bytes) -> str:
     """Writes content to the shared folder and hands it to every executor, also to later ones; gives the name to look up with SparkFiles."""
     unique = f"{name}-{uuid.uuid4().hex}"

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, release
+from .common import cut, near_ids, release
 from .components import components
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _ORDER = _U(0xC2B2AE3D27D4EB4F)
-#: Keys held at once by a worker before they are handed on, members of a block in a further look, words of the filter on ids.
-FLUSH, BLOCK, FILTER_WORDS = 1_000_000, 1024, 1 << 20
+#: Keys held at once by a worker before they are handed on, members of a block in a further look.
+FLUSH, BLOCK = 1_000_000, 1024
 #: Further looks; the last takes all pairs that are still open.
 LOOKS = 2
 
@@ -289,24 +289,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFram
 def fetch(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of one document for each wanted node.
 
-    A filter of fixed size on the documents' ids is sent to all workers, so that few other texts are shuffled. A document is
-    known by its id and its text's hash, as ids may repeat."""
+    Few other texts are shuffled. A document is known by its id and its text's hash, as ids may repeat."""
     need = cut(wanted.join(nodes.select("node", "rep.id", "rep.th"), "node").select("id", "th", "node"))
-    spot = F.pmod(F.xxhash64("id"), F.lit(64 * FILTER_WORDS))
-    words = need.select((spot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {64 * FILTER_WORDS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(FILTER_WORDS, np.int64)
-    table[words["w"].to_numpy()] = words["b"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(0).to_numpy()
-            hit = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
-            if len(hit):
-                got = b.take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays(got.columns[1:], got.schema.names[1:])
-
-    near = docs.where("id is not null").select(spot.alias("spot"), "id", "text").mapInArrow(scan, docs.select("id", "text").schema)
+    near = near_ids(docs.select("id", "text"), need)
     one = near.withColumn("th", F.xxhash64("text")).dropDuplicates(["id", "th"])
     return one.join(need, ["id", "th"]).select("node", "text")
 
