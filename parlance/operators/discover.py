@@ -81,7 +81,9 @@ def discover_projects(projects: DataFrame, files: DataFrame, group: str = "proje
         all_ = all_.join(part, group, "left")
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     own = F.element_at(F.filter("_kinds", lambda k: k["kind"] == F.col("source_kind")), 1)["p"]
-    others = F.transform(F.filter(F.coalesce("_kinds", F.array().cast("array<struct<kind: string, p: array<string>>>")), lambda k: k["kind"] != F.col("source_kind")), lambda k: F.struct(k["kind"].alias("kind"), F.size(k["p"]).alias("files")))
+    kinds_or_none = F.coalesce("_kinds", F.array().cast("array<struct<kind: string, p: array<string>>>"))
+    left_out = F.filter(kinds_or_none, lambda k: k["kind"] != F.col("source_kind"))
+    others = F.transform(left_out, lambda k: F.struct(k["kind"].alias("kind"), F.size(k["p"]).alias("files")))
     got = all_.select(
         group, "source_kind", listed(own).alias("source_paths"), "glossary_path", listed(F.col("glossary_candidates")).alias("glossary_candidates"),
         "style_path", listed(F.col("style_candidates")).alias("style_candidates"), others.alias("other_kinds"),

@@ -36,7 +36,9 @@ def greedy_pack(items: DataFrame, group: str, order: str, cost: str, *, budget:
     """items with the number of each one's bin inside its group, from 0 in the items' order.
 
     A group is one document's items, already apart from one another; where they are still an array, use pack_array."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in items.columns if c != group]).alias("_r"))), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0))
+    row = F.struct(F.col(order).alias("_o"), F.struct(*[c for c in items.columns if c != group]).alias("_r"))
+    by_order = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)
+    rows = F.array_sort(F.collect_list(row), by_order)
     grouped = items.groupBy(group).agg(rows.alias("rows"))
     packed = grouped.withColumn("bins", pack_array(F.transform("rows", lambda r: r["_r"][cost].cast("long")), budget, cap))
     return packed.select(group, F.explode(F.arrays_zip("rows", "bins")).alias("z")).select(group, "z.rows._r.*", F.col("z.bins").alias(out))

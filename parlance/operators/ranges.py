@@ -19,7 +19,8 @@ _ON_PAGE, _IN_TABLE, _VERIFIED, _SEARCHED = 2, 3, 8, 26
 def ranges_from_starts(starts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, title, start_page, end_page from (id, ord, title, start_page, total_pages); pages before the first start are front matter."""
     page = F.least(F.greatest(F.col("start_page"), F.lit(1)), F.col("total_pages"))
-    one = starts.where("start_page is not null and total_pages >= 1").withColumn("start_page", page).groupBy(id_col, "start_page").agg(F.min_by("title", "ord").alias("title"), F.max("total_pages").alias("total_pages"))
+    placed = starts.where("start_page is not null and total_pages >= 1").withColumn("start_page", page)
+    one = placed.groupBy(id_col, "start_page").agg(F.min_by("title", "ord").alias("title"), F.max("total_pages").alias("total_pages"))
     order = Window.partitionBy(id_col).orderBy("start_page")
     ends = one.withColumn("end_page", F.coalesce(F.lead("start_page").over(order) - 1, F.col("total_pages"))).withColumn("first", F.row_number().over(order) == 1)
     own = F.struct("title", "start_page", "end_page")
@@ -183,6 +184,22 @@ def range_pages(ranges: DataFrame, pages: DataFrame, id_col: str = "doc_id") ->
     return pages.drop("part", "title").join(spelled, [id_col, "page_no"])
 
 
+def plan_parts(pages: DataFrame, totals: DataFrame, outline: DataFrame, least: int = 2, most: int = 20, scanned: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """id, title, start_page, end_page, plan: how each paged document is cut.
+
+    pages: id, page_no, text; totals: id, total_pages; outline: id, ord, title, start_page. Two bookmarks inside the document or
+    more make the plan; else contents that the pages confirm; else windows of `most` pages. Ranges of the first two plans are
+    merged and split between `least` and `most` pages."""
+    inside = outline.join(totals.select(id_col, "total_pages"), id_col).where(F.col("start_page").between(1, F.col("total_pages")))
+    starts = inside.withColumn("_n", F.count("*").over(Window.partitionBy(id_col))).where("_n >= 2").drop("_n")
+    rest = totals.join(starts.select(id_col).distinct(), id_col, "left_anti")
+    toc = find_toc_starts(pages.join(rest.select(id_col), id_col, "left_semi"), rest, scanned, id_col)
+    windows = fixed_windows(rest.join(toc.select(id_col).distinct(), id_col, "left_anti"), most, id_col)
+    named = lambda t, name: t.select(id_col, "title", F.col("start_page").cast("int").alias("start_page"), F.col("end_page").cast("int").alias("end_page"), F.lit(name).alias("plan"))
+    cut = lambda t: normalise_ranges(ranges_from_starts(t, id_col), least, most, id_col)
+    return named(cut(starts), "outline").unionByName(named(cut(toc), "toc")).unionByName(named(windows.withColumn("title", F.lit(None).cast("string")), "windows"))
+
+
 def plan_ranges(outline: DataFrame, toc: DataFrame, windows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Each document's ranges from its best plan, with plan: outline, else toc, else windows.
 

@@ -130,8 +130,9 @@ def inspect_cues(cues: DataFrame, id_col: str = "doc_id", sample: int = 5) -> Da
     """Per document: number of cues, characters, first start, last end, and the first cues' texts."""
     texts = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), 1, sample)
     return cues.groupBy(id_col).agg(
-        F.count("*").alias("cue_count"), F.sum(utf16_length(F.col("text"))).alias("characters"), F.min_by("start", "ord").alias("first_start"), F.max_by("end", "ord").alias("last_end"), texts.alias("sample")
-    )
+        F.count("*").alias("cue_count"), F.sum(utf16_length(F.col("text"))).alias("characters"),
+        F.min_by("start", "ord").alias("first_start"), F.max_by("end", "ord").alias("last_end"), texts.alias("sample"),
+    )
 
 
 def cue_page(cues: DataFrame, offset: int, limit: int = 100, id_col: str = "doc_id") -> DataFrame:

@@ -87,8 +87,9 @@ def page_parts(docs: DataFrame, pages: DataFrame, ranges: DataFrame, budget: int
     ).withColumn("range", F.struct("doc", "part"))
     pieces = chunk_documents(text.select("range", strip_separators(F.col("text")).alias("content")), budget, "range")
     joined = pieces.join(text.select("range", "range_title", "start_page", "end_page"), "range").select(
-        F.col("range.doc").alias("doc"), (F.col("range.part").cast("long") * (1 << 31) + F.col("part_index")).alias("ord"), F.coalesce("title", "range_title").alias("title"), "content", "start_page", "end_page"
-    )
+        F.col("range.doc").alias("doc"), (F.col("range.part").cast("long") * (1 << 31) + F.col("part_index")).alias("ord"),
+        F.coalesce("title", "range_title").alias("title"), "content", "start_page", "end_page",
+    )
     return _shaped(joined.join(docs.select(_doc(), "kind"), "doc").select("doc.*", "kind", "ord", "title", "content", "start_page", "end_page"))
 
 
@@ -106,7 +107,8 @@ def make_parts(docs: DataFrame, budget: int = BUDGET, pages: DataFrame | None =
 
 def part_sources(parts: DataFrame) -> DataFrame:
     """run_id and part_source: how each run's parts came about. For paged kinds the plan of ranges is named by the caller."""
-    runs = parts.groupBy("run_id", "source_index").agg(F.first("kind").alias("kind"), F.count("*").alias("n")).groupBy("run_id").agg(F.first("kind").alias("kind"), F.max("n").alias("n"), F.count("*").alias("docs"))
+    docs = parts.groupBy("run_id", "source_index").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
+    runs = docs.groupBy("run_id").agg(F.first("kind").alias("kind"), F.max("n").alias("n"), F.count("*").alias("docs"))
     split = F.when(F.col("n") > 1, "headings").otherwise("single-part")
     name = (
         F.when(F.col("kind") == "json", "json-batches").when(F.col("kind") == "html", "html-batches").when(F.col("kind").isin(*SUBTITLE_KINDS), "subtitle-cues")

@@ -10,6 +10,16 @@ from ..functions.text import basename_of, detect_kind, js_trim, output_format, o
 RUNS_FOLDER = "translation"
 
 
+#: A run's settings where it names none.
+DEFAULTS = {"max_part_chars": 20_000, "max_pages_per_part": 20, "min_pages_per_part": 2, "skip_editor": False}
+
+
+def with_defaults(runs: DataFrame) -> DataFrame:
+    """runs with every setting: the run's own, or the default."""
+    own = lambda name, value: F.coalesce(F.col(name), F.lit(value)) if name in runs.columns else F.lit(value)
+    return runs.withColumns({name: own(name, value) for name, value in DEFAULTS.items()})
+
+
 def _first_of_each(sources: DataFrame, run_col: str, order: str) -> DataFrame:
     return sources.groupBy(run_col, "path").agg(F.min(order).alias("o"))
 
@@ -63,6 +73,9 @@ def report_files(runs: DataFrame, outputs: DataFrame, parts: DataFrame, terms: D
     terms = terms.groupBy(run_col).agg(F.count("*").alias("glossary_terms"))
     all_ = runs.join(out, run_col, "left").join(part, run_col, "left").join(found, run_col, "left").join(terms, run_col, "left")
     some = lambda name: F.coalesce(name, F.array().cast(all_.schema[name].dataType))
+    shown = {
+        "part_index": "index", "source_index": "sourceIndex", "title": "title", "start_page": "startPage", "end_page": "endPage", "entry_count": "entryCount", "cue_count": "cueCount",
+    }
     body = F.struct(
         F.transform(some("outputs"), lambda o: o["path"]).alias("sourcePaths"),
         F.transform(some("outputs"), lambda o: F.struct(o["path"].alias("sourcePath"), o["output_path"].alias("outputPath"))).alias("outputs"),
@@ -70,6 +83,6 @@ def report_files(runs: DataFrame, outputs: DataFrame, parts: DataFrame, terms: D
         F.col("target").alias("targetLanguage"), F.col("source_language").alias("sourceLanguage"), F.col("skip_editor").alias("skipEditor"), F.col("part_source").alias("partSource"),
         F.size(some("parts")).alias("partCount"), F.size(some("outputs")).alias("documentCount"), F.coalesce("glossary_terms", F.lit(0)).alias("glossaryTermCount"),
         F.transform(some("issues"), lambda i: F.struct(i["part_index"].alias("partIndex"), i["severity"].alias("severity"), i["description"].alias("description"))).alias("issues"),
-        F.transform(some("parts"), lambda p: F.struct(p["part_index"].alias("index"), p["source_index"].alias("sourceIndex"), p["title"].alias("title"), p["start_page"].alias("startPage"), p["end_page"].alias("endPage"), p["entry_count"].alias("entryCount"), p["cue_count"].alias("cueCount"))).alias("parts"),
+        F.transform(some("parts"), lambda p: F.struct(*[p[c].alias(name) for c, name in shown.items()])).alias("parts"),
     )
     return all_.select(run_col, F.to_json(body, {"ignoreNullFields": "false"}).alias("content"))

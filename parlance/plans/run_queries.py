@@ -70,6 +70,27 @@ def planned_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.plan_ranges(toc.limit(0), toc, windows)
 
 
+@query(f"""
+    SELECT doc_id, title, start_page, coalesce(lead(start_page) OVER w - 1, 27) AS end_page, 'toc' AS plan FROM {_FOUND} WHERE doc_id % 7 <> 1 WINDOW w AS (PARTITION BY doc_id ORDER BY start_page)
+    UNION ALL SELECT DISTINCT doc_id, 'Front matter', 1, 5, 'toc' FROM {_FOUND} WHERE doc_id % 7 <> 1
+    UNION ALL SELECT n_nationkey, CAST(NULL AS VARCHAR), s, least(s + 19, 27), 'windows' FROM nation, (VALUES (1), (21)) AS v(s) WHERE n_nationkey NOT IN (SELECT doc_id FROM {_FOUND}) AND n_nationkey % 7 <> 1
+    UNION ALL SELECT n_nationkey, t, a, b, 'outline' FROM nation, (VALUES ('one', 1, 3), ('three', 4, 23), ('three', 24, 27)) AS v(t, a, b) WHERE n_nationkey % 7 = 1""")
+def planned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks first, of which one lies outside its document; then contents; then windows. A bookmark's single page takes in the next."""
+    marks = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(t).alias("title"), F.lit(p).alias("start_page")) for o, t, p in ((0, "one", 1), (1, "two", 2), (2, "three", 4), (3, "none", 28))])
+    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
+    one = nations.where("doc_id % 7 = 2").select("doc_id", F.lit(0).alias("ord"), F.lit("alone").alias("title"), F.lit(3).alias("start_page"))
+    outline = nations.where("doc_id % 7 = 1").select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.*").unionByName(one)
+    return ranges.plan_parts(_book(spark, sf_dir), _totals(spark, sf_dir), outline)
+
+
+@query("""
+    SELECT n_nationkey AS run_id, CASE WHEN n_nationkey % 2 = 0 THEN 500 ELSE 20000 END AS max_part_chars, CAST(20 AS INTEGER) AS max_pages_per_part, CAST(2 AS INTEGER) AS min_pages_per_part, n_nationkey % 3 = 0 AS skip_editor FROM nation""")
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run_id"), F.when(F.col("n_nationkey") % 2 == 0, 500).alias("max_part_chars"), F.when(F.col("n_nationkey") % 3 == 0, True).alias("skip_editor"))
+    return prepare.with_defaults(asked)
+
+
 @query("""
     SELECT l_orderkey AS doc_id, l_linenumber AS ord FROM (SELECT l_orderkey, l_linenumber, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
     WHERE n <= 3 OR i IN (0, n // 3, 2 * n // 3)""")
