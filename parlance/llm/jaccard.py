@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, near_ids, release
+from .common import cut, near_ids, partitions, release
 from .components import components
 
 _U = np.uint64
@@ -353,6 +353,7 @@ def second_look(members: DataFrame, nodes: DataFrame, failed: DataFrame, bands:
             x, y = x[keep], y[keep]
         return pa.table({"key": np.full(len(x), t["key"][0].as_py(), np.int64), "x": np.maximum(node[x], node[y]), "y": np.minimum(node[x], node[y]), "open": np.full(len(x), found > len(x))})
 
+    dealt = dealt.repartition(partitions(dealt.sparkSession), "key", "lo", "hi")  # much work for few bytes: not to be put together by size
     return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "key long, x long, y long, open boolean")
 
 

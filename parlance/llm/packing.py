@@ -82,7 +82,8 @@ def pack(docs: DataFrame, *, length: Column | None = None, id_col: str = "doc_id
     Returns id, piece (from 0), n_tokens, bucket (from 0), bucket_len, batch_id, slot (from 0). A batch holds at most
     budget // bucket_len sequences of a bucket (one, if the budget is below the bound), each padded to bucket_len.
     Only the histogram comes to the driver; it has at most max_len rows. Ranks inside a bucket are running counts
-    over hash shards, so one length that a third of all rows have is still numbered by many tasks.
+    over shards of the pieces' own numbers in their checkpoint, so one length, or one id, that a third of all rows have is
+    still numbered by many tasks.
 
     Defined cases: a null or empty text has one end token and makes one piece; a text longer than max_len is cut into
     pieces and none of its tokens is lost; a null id is a value like others; repeated rows and ids each get their own
@@ -97,7 +98,7 @@ def pack(docs: DataFrame, *, length: Column | None = None, id_col: str = "doc_id
     for k, bound in reversed(list(enumerate(bounds))):
         bucket = F.when(F.col("n_tokens") <= bound, F.lit(k)).otherwise(bucket)
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    dealt = pieces.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)))
+    dealt = pieces.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     before = (
         dealt.groupBy("bucket", "_shard").agg(F.count("*").alias("_c"))
         .withColumn("_before", F.sum("_c").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("_c")).drop("_c")
