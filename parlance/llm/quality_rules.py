@@ -166,11 +166,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 60, decay:
     for side in sides:
         at, value = (np.concatenate([r[k] for r in side] or [np.zeros(0)]) for k in (1, 2))
         ptr = np.cumsum([0] + [len(r[1]) for r in side])
-        packed.append((at.astype(np.int64), value, ptr, np.array([r[0] for r in side], float)))
+        packed.append((at.astype(np.int32), value.astype(np.float32), ptr, np.array([r[0] for r in side], float)))
     (at, value, ptr, y), (held_at, held_value, held_ptr, held_y) = packed
-    row = np.repeat(np.arange(len(y)), np.diff(ptr))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ptr))
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    used, local = np.unique(at, return_inverse=True)
+    used = np.unique(at)
+    local = np.searchsorted(used, at).astype(np.int32)
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -190,15 +191,16 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 60, decay:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, label_col: str = "quality") -> Model:
     """Fits on at most `sample` labelled ids, those with the smallest hash; whole texts are read."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).select(F.col("doc_id").alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
     chosen = chosen.groupBy("_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "_id long, label int")
     # of rows that share an id, the one with the least text is learned from, so that repeats add no rows to the sample
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    got = rows.select("label", "text").mapInArrow(_feature_batches, "label int, at binary, value binary").collect()
-    keyed = sorted((bytes(r["at"]), r["label"], bytes(r["value"])) for r in got)
+    got = rows.select("label", "text").mapInArrow(_feature_batches, "label int, at binary, value binary").toArrow()
+    keyed = sorted(zip(*(got[c].to_pylist() for c in ("at", "label", "value")), strict=True))
+    del got
     return fit([(y, np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, y, v in keyed])
 
 
