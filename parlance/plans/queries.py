@@ -290,10 +290,16 @@ def toc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.toc_candidates(pages).select("doc_id", "printed_page", "title")
 
 
-@query("SELECT n_nationkey AS doc_id, 0 AS ord, '/a~1b' AS pointer, n_name AS value, CASE WHEN n_nationkey % 7 = 0 THEN n_name ELSE lower(n_name) END AS translation FROM nation")
+@query("""
+    WITH e AS (SELECT n_nationkey AS doc_id, 0 AS ord, '/a~1b' AS pointer, n_name AS value FROM nation
+        UNION ALL SELECT n_nationkey, 1, '/list/0', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, 2, '/list/2/x~0y', 'z' FROM nation)
+    SELECT *, CASE WHEN (doc_id + ord) % 7 = 0 THEN value ELSE lower(value) || '!' END AS translation FROM e""")
 def translate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = json_entries(spark, sf_dir).where("ord = 0")
-    return localize.with_fallback(entries, entries.where("doc_id % 7 <> 0").withColumn("translation", F.lower("value")), ["doc_id", "pointer"]).select("doc_id", "ord", "pointer", "value", "translation")
+    """Every seventh entry has no reply, the others two, of which the later holds."""
+    entries = json_entries(spark, sf_dir)
+    late = entries.where("(doc_id + ord) % 7 <> 0").withColumn("translation", F.concat(F.lower("value"), F.lit("!"))).withColumn("ord", F.lit(2))
+    early = late.withColumn("translation", F.lit("early")).withColumn("ord", F.lit(1))
+    return localize.with_fallback(entries, late.unionByName(early), ["doc_id", "pointer"]).select("doc_id", "ord", "pointer", "value", "translation")
 
 
 @query("SELECT doc_id, text AS text FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents) WHERE text <> ''")
