@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import filter_audit, jaccard, katz, langid, privacy, quality_kn, quality_rules
+from . import filter_audit, jaccard, katz, langid, privacy, quality_kn, quality_rules, vector_fit
 from .ann import nearest
 from .bpe import Codec
 from .common import fold, small_batches
@@ -78,6 +78,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_vector_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return vector_fit.pack(docs, Codec(docs, public_tokenizers.path("byte_bpe_50k.json")), max_len=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
     "op11_filter_audit": op11_filter_audit,
+    "op13_vector_fit": op13_vector_fit,
 }
 
 ORACLES: dict[str, str] = {
