@@ -12,6 +12,7 @@ import public_tokenizers
 from . import filter_audit, jaccard, katz, langid, privacy, quality_kn, quality_rules, vector_fit
 from .ann import nearest
 from .bpe import Codec
+from .collocations import collocations
 from .common import fold, small_batches
 from .common import table as _table
 from .packing import pack
@@ -78,6 +79,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return vector_fit.pack(docs, Codec(docs, public_tokenizers.path("byte_bpe_50k.json")), max_len=1024)
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_nearest": op10_nearest,
     "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
     "op13_vector_fit": op13_vector_fit,
 }
 
@@ -135,4 +141,20 @@ ORACLES: dict[str, str] = {
               FROM c, s GROUP BY ALL)
         SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
                CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op12_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+        x AS (SELECT *, 1 AS cut, ws[1] AS lp, array_to_string(ws[2:], ' ') AS rp FROM c UNION ALL SELECT *, 2, array_to_string(ws[1:2], ' '), ws[3] FROM c WHERE k = 3),
+        s AS (SELECT x.lang, x.k, x.phrase, x.a, l.f AS l, r.f AS r, x.cut, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+              FROM x JOIN f l ON l.lang = x.lang AND l.k = x.cut AND l.phrase = x.lp JOIN f r ON r.lang = x.lang AND r.k = x.k - x.cut AND r.phrase = x.rp),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3),
+        m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+        o AS (SELECT b.*, n.n FROM b JOIN n ON b.lang = n.lang LEFT JOIN m ON b.lang = m.lang AND b.phrase = m.phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+        k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000""",
 }
