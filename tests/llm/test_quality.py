@@ -88,6 +88,41 @@ def test_perplexity_equals_plain_python(spark, monkeypatch):
         assert abs(mass - 1) < 1e-6 and base
 
 
+def test_blocks_do_not_depend_on_batches(spark, monkeypatch, tmp_path):
+    """Arrow's limits of rows and bytes, and the width of other columns, change no score."""
+    monkeypatch.setattr(quality_kn, "BLOCK", 3000)
+    learned, other = texts_of(60, 1), [*texts_of(300, 7), None, "", "ab" * 4000]
+    top = quality_kn.count_grams(spark.createDataFrame([(t,) for t in learned], "text string"))
+    table, unseen = quality_kn.interpolate(top)
+    kept = quality_kn.keyed(table)
+    common = quality_kn.common_grams(top, kept, 40)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t) for i, t in enumerate(other)], "id long, text string").withColumn("wide", F.repeat(F.lit("x"), F.lit(5000))).coalesce(2).write.parquet(path)
+    plain = Plain(learned)
+    want = {i: plain.log_perplexity(t) for i, t in enumerate(other)}
+    records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(records), spark.conf.get(size)
+    try:
+        for rows, limit in ((10000, "64m"), (7, "64m"), (10000, "30k"), (10000, "7k")):
+            spark.conf.set(records, rows)
+            spark.conf.set(size, limit)
+            for columns in (["id", "text"], ["id", "text", "wide"]):
+                for share in (None, common):
+                    got = {r.id: (r.e, r.n) for r in quality_kn.score(spark.read.parquet(path).select(*columns), kept, unseen, common=share).collect()}
+                    assert len(got) == len(want) and all(got[i][1] == n and abs(got[i][0] - e) < 1e-9 for i, (e, n) in want.items())
+    finally:
+        spark.conf.set(records, before[0])
+        spark.conf.set(size, before[1])
+
+
+def test_rows_in_another_order_are_noticed(spark):
+    top = quality_kn.count_grams(spark.createDataFrame([(t,) for t in texts_of(20, 1)], "text string"))
+    table, unseen = quality_kn.interpolate(top)
+    shuffled = spark.createDataFrame([(i, t) for i, t in enumerate(texts_of(200, 3))], "id long, text string").coalesce(1).withColumn("k", F.rand()).sortWithinPartitions(F.expr("reflect('java.util.UUID', 'randomUUID')"))
+    with pytest.raises(Exception, match="write docs to files first"):
+        quality_kn.score(shuffled, quality_kn.keyed(table), unseen).collect()
+
+
 def test_quantiles_are_order_statistics(spark):
     rng = random.Random(3)
     rows = [(c, round(rng.random(), 4)) for c in ["a"] * 101 + ["b"] * 7 + [""] for _ in range(1)]
