@@ -172,7 +172,9 @@ class ByteBPE:
             place = np.cumsum(~gone) - 1
             ids, word, rank, into = ids[~gone], word[~gone], rank[~gone], into[~gone]
             new = place[at]
-            touched = np.unique(np.concatenate([new, np.maximum(new - 1, 0)]))
+            near = np.zeros(len(ids), bool)
+            near[new] = near[np.maximum(new - 1, 0)] = True
+            touched = np.flatnonzero(near)
             rank[touched], into[touched] = self._pair_ranks(ids, word, touched)
         words, all_ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         order = np.argsort(words, kind="stable")
