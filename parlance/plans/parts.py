@@ -7,6 +7,7 @@ items (ord, key, value, of the kinds with entries or cues), start_page, end_page
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,7 @@ from ..operators.ranges import range_pages
 from ..operators.structured import flatten_html, flatten_json, rebuild_html_docs, rebuild_json_docs
 from ..operators.subtitles import cues_of, rebuild_subtitles
 from .localize import ISSUES, TERMS, assemble_text
+from .store import ReplyStore, digest, part_key
 
 #: The default budget of a part in UTF-16 units, and the most entries and cues of one.
 BUDGET, ENTRIES, CUES = 20_000, 100, 80
@@ -105,22 +107,29 @@ def make_parts(docs: DataFrame, budget: int = BUDGET, pages: DataFrame | None =
     return found.withColumn("part_index", F.row_number().over(order).cast("int")).drop("ord")
 
 
-def part_sources(parts: DataFrame) -> DataFrame:
-    """run_id and part_source: how each run's parts came about. For paged kinds the plan of ranges is named by the caller."""
-    docs = parts.groupBy("run_id", "source_index").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
-    runs = docs.groupBy("run_id").agg(F.first("kind").alias("kind"), F.max("n").alias("n"), F.count("*").alias("docs"))
+def part_sources(parts: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """run_id and part_source: how each run's parts came about.
+
+    Paged kinds need their ranges (run_id, source_index, plan), one row each: every document's plan is named, with
+    ``+headings`` where it has more parts than ranges."""
+    docs = parts.groupBy(*DOC).agg(F.first("kind").alias("kind"), F.count("*").alias("n")).withColumn("plan", F.lit(None).cast("string"))
+    if ranges is not None:
+        plans = ranges.groupBy(*DOC).agg(F.first("plan").alias("plan"), F.count("*").alias("ranges"))
+        docs = docs.drop("plan").join(plans, list(DOC), "left").withColumn("plan", F.when(F.col("n") > F.col("ranges"), F.concat("plan", F.lit("+headings"))).otherwise(F.col("plan")))
+    plan = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_index", "plan"))), lambda d: d["plan"]), ",")
+    runs = docs.groupBy("run_id").agg(F.first("kind").alias("kind"), F.max("n").alias("n"), F.count("*").alias("docs"), F.nullif(plan, F.lit("")).alias("plan"))
     split = F.when(F.col("n") > 1, "headings").otherwise("single-part")
     name = (
         F.when(F.col("kind") == "json", "json-batches").when(F.col("kind") == "html", "html-batches").when(F.col("kind").isin(*SUBTITLE_KINDS), "subtitle-cues")
-        .when(F.col("kind").isin(*OFFICE_KINDS), F.concat(F.lit("office-"), split)).otherwise(split)
+        .when(F.col("kind").isin(*OFFICE_KINDS), F.concat(F.lit("office-"), split)).otherwise(F.coalesce("plan", split))
     )
     return runs.select("run_id", F.concat(F.when(F.col("docs") > 1, "multi-document:").otherwise(""), name).alias("part_source"))
 
 
-def part_files(parts: DataFrame, folder: str = "parts") -> DataFrame:
+def part_files(parts: DataFrame, folder: str = "parts", content: str = "content") -> DataFrame:
     """path and content of a file for each text part, for write_documents: <run>/<folder>/part-NNN.md."""
     name = F.concat(F.col("run_id").cast("string"), F.lit(f"/{folder}/part-"), pad_index(F.col("part_index")), F.lit(".md"))
-    return parts.where("content is not null").select(name.alias("path"), "content")
+    return parts.where(F.col("content").isNotNull()).select(name.alias("path"), F.col(content).alias("content"))
 
 
 PAIRS = "array<struct<key: string, translation: string>>"
@@ -130,17 +139,26 @@ def _pairs(items: list | None) -> list[tuple[str, str]] | None:
     return None if items is None else [(i["key"], i["value"]) for i in items]
 
 
-def translate(parts: DataFrame, translator: Translator, seeds: DataFrame | None = None) -> DataFrame:
-    """parts with translation (text) or pairs (key, translation), and proposed terms.
+def _glossaries(terms: DataFrame, name: str) -> DataFrame:
+    return terms.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target", "notes"))).alias(name))
+
+
+def translate(parts: DataFrame, translator: Translator, seeds: DataFrame | None = None, store: ReplyStore | None = None, settings: str = "") -> DataFrame:
+    """parts with translation (text) or pairs (key, translation), and proposed terms; a table that is written when this is called.
 
     Parts of a run go in order, each seeing the run's seed terms (run_id, ord, source, target, notes) and all that earlier
     parts proposed, so the fold is one group a run; runs are apart. An empty text, and an entry that is not returned, keep
-    the source; keys that were not asked for are dropped."""
+    the source; keys that were not asked for are dropped.
+
+    The translator is asked once for each part under its glossary and `settings`, which stand for whatever else changes a
+    reply. What the store has is not asked again, by this run or another; without a store this call has one of its own."""
+    spark = parts.sparkSession
+    store = store or ReplyStore.temporary(spark)
+    journal = store.journal("translations")
     schema = parts.select("run_id", "part_index").schema
-    asked = parts.select("run_id", "part_index", "kind", "content", "items")
+    asked = parts.select("run_id", "part_index", "kind", "content", "items", part_key(settings, "kind", "content", "items").alias("part_key"))
     if seeds is not None:
-        known = seeds.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target", "notes"))).alias("seeds"))
-        asked = asked.join(known, "run_id", "left")
+        asked = asked.join(_glossaries(seeds, "seeds"), "run_id", "left")
     out = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, translation string, pairs {PAIRS}, proposed {TERMS.simpleString()}"
 
     def fold(run: pd.DataFrame) -> pd.DataFrame:
@@ -150,8 +168,12 @@ def translate(parts: DataFrame, translator: Translator, seeds: DataFrame | None
             terms.setdefault(trim(t["source"]).lower(), (t["source"], t["target"], t["notes"]))
         rows = []
         for r in run.sort_values("part_index").itertuples():
-            pairs = _pairs(r.items)
-            got, new = translator(r.kind, r.content if pairs is None else pairs, list(terms.values()))
+            pairs, known = _pairs(r.items), list(terms.values())
+            prior = digest(known)
+            if (reply := journal.get(r.part_key, prior)) is None:
+                got, new = translator(r.kind, r.content if pairs is None else pairs, known)
+                journal.put(r.part_key, prior, reply := [got, [list(t) for t in new]])
+            got, new = reply[0], [tuple(t) for t in reply[1]]
             for t in new:
                 terms.setdefault(trim(t[0]).lower(), t)
             told = [{"source": s, "target": t, "notes": n} for s, t, n in new]
@@ -161,35 +183,79 @@ def translate(parts: DataFrame, translator: Translator, seeds: DataFrame | None
                 rows.append((r.run_id, r.part_index, None, [{"key": k, "translation": v if (x := got.get(k)) is None else x} for k, v in pairs], told))
         return pd.DataFrame(rows, columns=["run_id", "part_index", "translation", "pairs", "proposed"])
 
-    return parts.join(asked.groupBy("run_id").applyInPandas(fold, out), ["run_id", "part_index"])
+    return store.settled(parts.join(asked.groupBy("run_id").applyInPandas(fold, out), ["run_id", "part_index"]), "translated")
+
 
+REVIEW = "struct<text: string, pairs: map<string, string>, issues: array<struct<severity: string, description: string>>>"
 
-def review(translated: DataFrame, editor: Editor | None, terms: DataFrame | None = None) -> DataFrame:
+
+def review(translated: DataFrame, editor: Editor | None, terms: DataFrame | None = None, store: ReplyStore | None = None, settings: str = "") -> DataFrame:
     """translated with corrected texts and pairs in place, and issues, under each run's final terms (run_id, ord, source, target, notes).
 
-    Parts are apart here. What the editor leaves out keeps its translation; without an editor all does, and nothing is an issue."""
+    Parts are apart here. Those whose review under this translation, glossary and `settings` the store lacks are asked for once,
+    when this is called; then all replies are joined. What the editor leaves out keeps its translation; without an
+    editor all does, and nothing is an issue."""
     if editor is None:
         return translated.withColumn("issues", F.array().cast(ISSUES))
-    final = translated
+    store = store or ReplyStore.temporary(translated.sparkSession)
+    journal = store.journal("reviews")
+    final = translated.withColumn("terms", F.lit(None).cast("array<struct<ord: long, source: string, target: string, notes: string>>"))
     if terms is not None:
-        known = terms.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "target", "notes"))).alias("terms"))
-        final = translated.join(known, "run_id", "left")
-    kept = [c for c in translated.columns if c not in ("translation", "pairs")]
-    out = translated.select(*kept, "translation", "pairs").schema.add("issues", ISSUES)
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        final = translated.join(_glossaries(terms, "terms"), "run_id", "left")
+    known = F.transform("terms", lambda t: F.struct(t["source"], t["target"], t["notes"]))
+    keys = ["part_key", "prior_key"]
+    keyed = final.withColumn("part_key", part_key(settings, "kind", "content", "items")).withColumn("_known", known)
+    keyed = keyed.withColumn("prior_key", part_key(settings, "translation", "pairs", "_known"))
+    todo = keyed.select(*keys, "kind", "content", "items", "translation", "pairs", "terms").dropDuplicates(keys).join(store.replies("reviews").select(*keys), keys, "left_anti")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, pairs, issues = [], [], []
             for r in b.itertuples():
-                known = [] if getattr(r, "terms", None) is None else [(t["source"], t["target"], t["notes"]) for t in r.terms]
+                if journal.get(r.part_key, r.prior_key) is not None:  # a task that runs again
+                    continue
+                known = [] if r.terms is None else [(t["source"], t["target"], t["notes"]) for t in r.terms]
                 given = None if r.pairs is None else [(p["key"], p["translation"]) for p in r.pairs]
                 got, found = editor(r.kind, r.content if given is None else _pairs(r.items), r.translation if given is None else given, known)
-                texts.append(got or r.translation if given is None else None)
-                pairs.append(None if given is None else [{"key": k, "translation": v if (x := got.get(k)) is None else x} for k, v in given])
-                issues.append([{"severity": s, "description": d} for s, d in found])
-            yield b[kept].assign(translation=texts, pairs=pairs, issues=issues)
+                issues = [{"severity": s, "description": d} for s, d in found]
+                journal.put(r.part_key, r.prior_key, {"text": got, "issues": issues} if given is None else {"pairs": got, "issues": issues})
+            yield b[["part_key"]].iloc[:0]
 
-    return final.mapInPandas(check, out)
+    todo.mapInPandas(ask, "part_key string").write.format("noop").mode("overwrite").save()
+    replies = store.replies("reviews").select(*keys, F.from_json("reply", REVIEW).alias("_r"))
+    kept = [c for c in translated.columns if c not in ("translation", "pairs")]
+    text = F.coalesce(F.nullif(F.col("_r.text"), F.lit("")), F.col("translation"))
+    pairs = F.transform("pairs", lambda p: F.struct(p["key"].alias("key"), F.coalesce(F.element_at("_r.pairs", p["key"]), p["translation"]).alias("translation")))
+    checked = keyed.join(replies, keys).select(*kept, F.when(F.col("pairs").isNull(), text).alias("translation"), pairs.alias("pairs"), F.coalesce("_r.issues", F.array().cast(ISSUES)).alias("issues"))
+    return store.settled(checked, "reviewed")
+
+
+@dataclass
+class Run:
+    """What runs came to: every table is written, and none is computed again when it is read."""
+
+    parts: DataFrame
+    translated: DataFrame
+    terms: DataFrame
+    reviewed: DataFrame
+    documents: DataFrame
+
+    def issues(self) -> DataFrame:
+        """run_id, part_index, severity and description."""
+        return self.reviewed.select("run_id", "part_index", F.explode("issues").alias("i")).select("run_id", "part_index", "i.*")
+
+    def files(self) -> DataFrame:
+        """path and content of the files of all text parts: as made, translated and reviewed."""
+        return part_files(self.parts).unionByName(part_files(self.translated, "translated", "translation")).unionByName(part_files(self.reviewed, "reviewed", "translation"))
+
+
+def run(docs: DataFrame, translator: Translator, editor: Editor | None, seeds: DataFrame, *, parts: DataFrame | None = None, budget: int = BUDGET, pages: DataFrame | None = None, ranges: DataFrame | None = None, store: ReplyStore | None = None, settings: str = "") -> Run:
+    """Whole runs over docs (run_id, source_index, kind, content): parts made and translated, reviewed under the final glossary, put together."""
+    store = store or ReplyStore.temporary(docs.sparkSession)
+    made = store.settled(make_parts(docs, budget, pages, ranges) if parts is None else parts, "parts")
+    translated = translate(made, translator, seeds, store, settings)
+    terms = store.settled(proposed_terms(translated, seeds), "terms")
+    reviewed = review(translated, editor, terms, store, settings)
+    return Run(made, translated, terms, reviewed, assemble(docs, reviewed))
 
 
 def assemble(docs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import discover, glossary, ranges
 from ..sources import files, office, sinks
-from . import localize, parts, prepare, prompts, replies
+from . import parts, prepare, prompts, replies, samples
 from .queries import _bundles, _read, _srt, query
 
 # page ranges
@@ -243,6 +240,8 @@ def _run_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _N = "(SELECT n_nationkey AS d, n_name, r_name, dense_rank() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)"
+#: With the number of terms that each run ends with.
+_NT = "(SELECT *, 1 + 2 * count(*) OVER (PARTITION BY d % 3) AS terms FROM " + _N + ")"
 _C = f"""(SELECT conv_id AS d, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS q, dense_rank() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id) AS k
     FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')"""
 
@@ -278,6 +277,10 @@ def _seeds(spark: SparkSession) -> DataFrame:
     return runs.select("run_id", F.lit(0).alias("ord"), F.lit("Seed").alias("source"), F.lit("s").alias("target"), F.lit(None).cast("string").alias("notes"))
 
 
+def _run(spark: SparkSession, sf_dir: str) -> parts.Run:
+    return parts.run(_run_docs(spark, sf_dir), shout, checked, _seeds(spark), parts=_parts(spark, sf_dir))
+
+
 @query(f"""
     SELECT 'markdown-' || d % 3 AS run_id, CAST(2 * k - 1 AS INTEGER) AS part_index, '# ' || n_name || chr(10) || chr(10) || 'first [' || (2 * k - 1) || ']' AS translation, CAST(NULL AS VARCHAR) AS pairs, 'markdown ' || (2 * k - 1) AS proposed FROM {_N}
     UNION ALL SELECT 'markdown-' || d % 3, 2 * k, repeat('z', 45) || chr(10) || chr(10) || 'last [' || (2 * k) || ']', NULL, 'markdown ' || (2 * k) FROM {_N}
@@ -285,7 +288,7 @@ def _seeds(spark: SparkSession) -> DataFrame:
     UNION ALL SELECT 'srt-' || d % 3, k, NULL, string_agg('cue-' || q || '=' || CASE WHEN q % 3 = 0 THEN t ELSE '<' || t || '>' END, '|' ORDER BY q), 'srt ' || k FROM {_C} GROUP BY d, k""")
 def run_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold: each part sees the seed and the terms of all parts before it; what is not returned keeps its source."""
-    got = parts.translate(_parts(spark, sf_dir), shout, _seeds(spark))
+    got = _run(spark, sf_dir).translated
     pairs = F.array_join(F.transform("pairs", lambda p: F.concat(p["key"], F.lit("="), p["translation"])), "|")
     return got.select("run_id", "part_index", "translation", pairs.alias("pairs"), F.array_join(F.transform("proposed", lambda t: t["source"]), "|").alias("proposed"))
 
@@ -294,19 +297,15 @@ def run_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH p AS (SELECT 'markdown-' || d % 3 AS run_id, 'markdown' AS kind, 2 * max(k) AS n FROM {_N} GROUP BY d % 3 UNION ALL SELECT 'json-' || d % 3, 'json', max(k) FROM {_N} GROUP BY d % 3 UNION ALL SELECT 'srt-' || d % 3, 'srt', max(k) FROM {_C} GROUP BY d % 3)
     SELECT run_id, 'Seed' AS source, 's' AS target, 'seed' AS origin FROM p UNION ALL SELECT run_id, kind || ' ' || i, 't', 'translator' FROM p, unnest(range(1, n + 1)) AS u(i)""")
 def run_glossaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    translated = parts.translate(_parts(spark, sf_dir), shout, _seeds(spark))
-    return parts.proposed_terms(translated, _seeds(spark)).select("run_id", "source", "target", "origin")
-
-
-def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.review(parts.translate(_parts(spark, sf_dir), shout, _seeds(spark)), checked, _seeds(spark))
+    return _run(spark, sf_dir).terms.select("run_id", "source", "target", "origin")
 
 
 @query(f"""
-    SELECT 'markdown-' || d % 3 AS run_id, CAST(2 * k - 1 AS INTEGER) AS part_index, 'low' AS severity, (9 + len(n_name)) || ' of 1' AS description FROM {_N} UNION ALL SELECT 'markdown-' || d % 3, 2 * k, 'low', '51 of 1' FROM {_N}
+    SELECT 'markdown-' || d % 3 AS run_id, CAST(2 * k - 1 AS INTEGER) AS part_index, 'low' AS severity, (9 + len(n_name)) || ' of ' || terms AS description FROM {_NT} UNION ALL SELECT 'markdown-' || d % 3, 2 * k, 'low', '51 of ' || terms FROM {_NT}
     UNION ALL SELECT 'json-' || d % 3, k, 'high', '/a~1b' FROM {_N} UNION ALL SELECT DISTINCT 'srt-' || d % 3, k, 'high', 'cue-1' FROM {_C}""")
 def run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return localize.issues_of(_reviewed(spark, sf_dir))
+    """Editors see the final glossary: the seed and one term of each part of the run."""
+    return _run(spark, sf_dir).issues()
 
 
 @query(f"""
@@ -315,14 +314,66 @@ def run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'srt-' || d % 3, d, 'srt', string_agg(turn || chr(10) || printf('00:00:%02d,000', turn) || ' --> ' || printf('00:00:%02d,000', turn + 1) || chr(10) || CASE WHEN q % 3 = 0 THEN t ELSE '<' || t || '>' END || CASE WHEN q = 1 THEN '!' ELSE '' END, chr(10) || chr(10) ORDER BY q) || chr(10) FROM {_C} GROUP BY d, k""")
 def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole runs: parts made, translated, reviewed and put together again, by kind."""
-    return parts.assemble(_run_docs(spark, sf_dir), _reviewed(spark, sf_dir))
+    return _run(spark, sf_dir).documents
+
+
+_STAGES = "(VALUES ('parts', 0, 0), ('translated', 1, 0), ('reviewed', 1, 1)) AS v(folder, t, r)"
 
 
 @query(f"""
-    SELECT 'markdown-' || d % 3 || '/parts/part-' || printf('%03d', 2 * k - 1) || '.md' AS path, '# ' || n_name || chr(10) || chr(10) || 'first' AS content FROM {_N}
-    UNION ALL SELECT 'markdown-' || d % 3 || '/parts/part-' || printf('%03d', 2 * k) || '.md', repeat('z', 45) || chr(10) || chr(10) || 'last' FROM {_N}""")
+    SELECT 'markdown-' || d % 3 || '/' || folder || '/part-' || printf('%03d', i) || '.md' AS path, content || CASE WHEN t = 1 THEN ' [' || i || ']' ELSE '' END || CASE WHEN r = 1 THEN '!' ELSE '' END AS content
+    FROM (SELECT d, 2 * k - 1 AS i, '# ' || n_name || chr(10) || chr(10) || 'first' AS content FROM {_N} UNION ALL SELECT d, 2 * k, repeat('z', 45) || chr(10) || chr(10) || 'last' FROM {_N}), {_STAGES}""")
 def run_part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.part_files(_parts(spark, sf_dir))
+    """Files of every text part as it was made, translated and reviewed."""
+    return _run(spark, sf_dir).files()
+
+
+def _other_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of plain texts (one a part), web pages (a customer), ASS subtitles (a supplier) and office documents (a nation)."""
+
+    def named(df: DataFrame, kind: str, key: str, runs: int, content: F.Column) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{kind}-"), F.col(key) % runs).alias("run_id"), F.col(key).cast("int").alias("source_index"), F.lit(kind).alias("kind"), content.alias("content"))
+
+    text = F.concat(F.lit("**"), "p_name", F.lit("** kept"))
+    html = F.concat(F.lit('<p title="'), "c_mktsegment", F.lit('">'), "c_name", F.lit("</p>"))
+    ass = F.concat(F.lit("[Events]\nFormat: Start, End, Style, Text\nDialogue: 0:01,0:02,Main,"), "s_name")
+    made = F.pandas_udf(lambda names: names.map(lambda n: samples.office_document("docx", n)), "binary")
+    office_files = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.lit("docx").alias("kind"), made("n_name").alias("content"))
+    office_docs = office.required(office.office_markdown(office_files), F.col("key"))
+    return (
+        named(_read(spark, sf_dir, "part"), "text", "p_partkey", 40, text).unionByName(named(_read(spark, sf_dir, "customer"), "html", "c_custkey", 40, html))
+        .unionByName(named(_read(spark, sf_dir, "supplier"), "ass", "s_suppkey", 7, ass)).unionByName(named(office_docs, "docx", "key", 3, F.col("content")))
+    )
+
+
+def _other_run(spark: SparkSession, sf_dir: str) -> parts.Run:
+    docs = _other_docs(spark, sf_dir)
+    return parts.run(docs, shout, checked, docs.limit(0).select("run_id", F.lit(0).alias("ord"), *[F.lit("").alias(c) for c in ("source", "target", "notes")]))
+
+
+_TEXTS = "(SELECT *, p_partkey % 40 AS r, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) - 1 AS known, count(*) OVER (PARTITION BY p_partkey % 40) AS terms FROM part)"
+_OFFICE = "(SELECT *, n_nationkey % 3 AS r, row_number() OVER (PARTITION BY n_nationkey % 3 ORDER BY n_nationkey) - 1 AS known, count(*) OVER (PARTITION BY n_nationkey % 3) AS terms FROM nation)"
+_DOCX = "'## About ' || n_name || chr(10) || chr(10) || 'Hello' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || n_name || ' | d\\|e |'"
+
+
+@query(f"""
+    SELECT 'text-' || r AS run_id, CAST(p_partkey AS INTEGER) AS source_index, 'text' AS kind, p_name || ' kept [' || known || ']!' AS content FROM {_TEXTS}
+    UNION ALL SELECT 'html-' || c_custkey % 40, c_custkey, 'html', '<p title="<' || c_mktsegment || '>!">&lt;' || c_name || '&gt;</p>' FROM customer
+    UNION ALL SELECT 'ass-' || s_suppkey % 7, s_suppkey, 'ass', '[Events]' || chr(10) || 'Format: Start, End, Style, Text' || chr(10) || 'Dialogue: 0:01,0:02,Main,<' || s_name || '>!' FROM supplier
+    UNION ALL SELECT 'docx-' || r, n_nationkey, 'docx', {_DOCX} || ' [' || known || ']!' FROM {_OFFICE}""")
+def run_documents_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole runs of the other kinds: texts without their marks, pages and subtitles in their own form, office documents as markdown."""
+    return _other_run(spark, sf_dir).documents
+
+
+@query(f"""
+    SELECT 'text-' || r AS run_id, CAST(known + 1 AS INTEGER) AS part_index, 'low' AS severity, (len(p_name) + 9) || ' of ' || terms AS description FROM {_TEXTS}
+    UNION ALL SELECT 'html-' || c_custkey % 40, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey), 'high', 'a-1' FROM customer
+    UNION ALL SELECT 'ass-' || s_suppkey % 7, row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_suppkey), 'high', 'line-2' FROM supplier
+    UNION ALL SELECT 'docx-' || r, known + 1, 'low', len({_DOCX}) || ' of ' || terms FROM {_OFFICE}""")
+def run_issues_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues depend on the final glossary, which has one term of each part of a run."""
+    return _other_run(spark, sf_dir).issues()
 
 
 @query("""
@@ -409,11 +460,8 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: the shared one, or on one machine a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    return f"{shared or tempfile.gettempdir()}/parlance-{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return f"{files.shared_folder(spark)}/parlance-{uuid.uuid4().hex}"
 
 
 def _written(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
@@ -448,42 +496,21 @@ def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_documents(spark, root, [r.path for r in wrote.select("path").collect()]).select("path", "kind", "content")
 
 
-def zipped_documents(kind: str, name: str) -> bytes:
-    """A small office document of a kind: a heading, a paragraph with the name, a list of two, and a table of two rows."""
-    head, items, rows = f"About {name}", ("one", "two"), (("a", "b"), (name, "d|e"))
-    if kind == "docx":
-        p = lambda text, style="": f"<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
-        table = "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
-        body = p(head, '<w:pStyle w:val="Heading2"/>') + p("Hello ") + "".join(p(i, "<w:numPr/>") for i in items) + f"<w:tbl>{table}</w:tbl>"
-        parts_ = {"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'}
-    elif kind == "odt":
-        table = "".join("<t:table-row>" + "".join(f"<t:table-cell><x:p>{c}</x:p></t:table-cell>" for c in r) + "</t:table-row>" for r in rows)
-        body = f'<x:h x:outline-level="2">{head}</x:h><x:p>Hello</x:p><x:list>{"".join(f"<x:list-item><x:p>{i}</x:p></x:list-item>" for i in items)}</x:list><t:table>{table}</t:table>'
-        parts_ = {"content.xml": f'<o xmlns:x="x" xmlns:t="t"><body>{body}</body></o>'}
-    else:
-        table = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
-        parts_ = {
-            "META-INF/container.xml": '<container><rootfile full-path="in/book.opf"/></container>',
-            "in/book.opf": '<package><item id="b" href="two.html"/><item id="a" href="one.html"/><itemref idref="a"/><itemref idref="b"/></package>',
-            "in/one.html": f"<html><head><title>no</title></head><body><h2>{head}</h2><p>Hello</p></body></html>", "in/two.html": f"<html><body><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul><table>{table}</table></body></html>",
-        }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for path, content in parts_.items():
-            z.writestr(path, content)
-    return out.getvalue()
+_KINDS = ("docx", "odt", "epub", "rtf", "doc", "pages")
 
 
-@query("""
-    SELECT n_nationkey || '.' || ['docx', 'odt', 'epub', 'rtf'][n_nationkey % 4 + 1] AS path, ['docx', 'odt', 'epub', 'rtf'][n_nationkey % 4 + 1] AS kind, CASE WHEN n_nationkey % 4 < 3 THEN '## About ' || n_name || chr(10) || chr(10) || 'Hello' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10)
-        || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || n_name || ' | d\\|e |' || chr(10) END AS content FROM nation""")
+@query(f"""
+    SELECT n_nationkey || '.' || kind AS path, kind, CASE WHEN kind <> 'pages' AND n_nationkey % 5 > 0 THEN {_DOCX} || chr(10) END AS content,
+        CASE WHEN kind = 'pages' THEN 'not an office kind: pages' WHEN n_nationkey % 5 = 0 THEN CASE kind WHEN 'rtf' THEN 'not an RTF document' WHEN 'doc' THEN 'not a compound file' ELSE 'not a zipped document' END END AS reason
+    FROM (SELECT *, [{", ".join(f"'{k}'" for k in _KINDS)}][(n_nationkey // 5 + n_nationkey) % 6 + 1] AS kind FROM nation)""")
 def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three zipped formats to markdown; a kind that is not read comes out as null."""
+    """Five formats to markdown; a file that is not what its name says, and a kind that is not read, have a reason instead."""
 
     @F.pandas_udf("binary")
     def made(kind, name):
-        return kind.combine(name, zipped_documents)
+        return kind.combine(name, lambda k, n: samples.office_document(k, n) if n and k in samples.MAKERS else b"junk")
 
-    kind = F.element_at(F.array(*map(F.lit, ("docx", "odt", "epub", "rtf"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    docs = _read(spark, sf_dir, "nation").select(F.concat_ws(".", "n_nationkey", kind).alias("path"), kind.alias("kind"), "n_name")
-    return office.office_markdown(docs.withColumn("content", made("kind", "n_name")))
+    number = ((F.expr("n_nationkey div 5") + F.col("n_nationkey")) % 6 + 1).cast("int")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), number)
+    docs = _read(spark, sf_dir, "nation").select(F.concat_ws(".", "n_nationkey", kind).alias("path"), kind.alias("kind"), F.when(F.col("n_nationkey") % 5 > 0, F.col("n_name")).otherwise("").alias("name"))
+    return office.office_markdown(docs.withColumn("content", made("kind", "name")).drop("name")).select("path", "kind", "content", "reason")

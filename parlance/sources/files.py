@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,20 @@ def qualified(spark: SparkSession, root: str) -> str:
     return _open(spark, root)[1].toString().rstrip("/")
 
 
+def store_uri(spark: SparkSession, root: str) -> str:
+    """root as pyarrow names it."""
+    base = qualified(spark, root)
+    return "file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors see; a temporary one on one machine alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return shared or tempfile.gettempdir()
+
+
 def exists(spark: SparkSession, root: str, path: str, folder: bool = False) -> bool:
     fs, p = _open(spark, f"{root}/{contained(path)}")
     return fs.exists(p) and fs.getFileStatus(p).isDirectory() == folder

@@ -11,7 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .files import contained, qualified
+from .files import contained, store_uri
 
 EMPTY_GLOSSARY = '{\n  "terms": []\n}\n'
 
@@ -23,8 +23,7 @@ def write_documents(docs: DataFrame, root: str, path_col: str = "path", content_
     rename, so a task that is run again leaves the same files. Of rows with one path, one stays. A path that leads out of
     root fails the job; a null path is an error too.
     """
-    base = qualified(docs.sparkSession, root)
-    uri = "file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
+    uri = store_uri(docs.sparkSession, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = pafs.FileSystem.from_uri(uri)
