@@ -17,9 +17,10 @@ from ..functions.text import OFFICE_KINDS, SUBTITLE_KINDS, js_trim, pad_index, s
 from ..operators.chunk import chunk_documents
 from ..operators.glossary import Term, merge_terms, trim
 from ..operators.pack import greedy_pack
-from ..operators.ranges import range_pages
+from ..operators.ranges import plan_parts, range_pages
 from ..operators.structured import flatten_html, flatten_json, rebuild_html_docs, rebuild_json_docs
 from ..operators.subtitles import cues_of, rebuild_subtitles
+from ..sources.pdf import pdf_outlines, pdf_pages
 from .localize import ISSUES, TERMS, assemble_text
 from .store import ReplyStore, digest, part_key
 
@@ -95,6 +96,19 @@ def page_parts(docs: DataFrame, pages: DataFrame, ranges: DataFrame, budget: int
     return _shaped(joined.join(docs.select(_doc(), "kind"), "doc").select("doc.*", "kind", "ord", "title", "content", "start_page", "end_page"))
 
 
+def pdf_ranges(files: DataFrame, least: int = 2, most: int = 20, scanned: int = 10) -> tuple[DataFrame, DataFrame]:
+    """pages and ranges for make_parts, of PDF files (run_id, source_index, content as bytes): see plan_parts.
+
+    A file that gives no text fails the job, which names it and the reason."""
+    doc, store = files.select(_doc(), "content"), ReplyStore.temporary(files.sparkSession)
+    wrong = F.raise_error(F.concat_ws(": ", F.lit("no text to translate"), F.col("doc.run_id").cast("string"), F.col("doc.source_index").cast("string"), "reason"))
+    pages = pdf_pages(doc).select("doc", F.when(F.col("reason").isNull(), F.col("page_no")).otherwise(wrong.cast("int")).alias("page_no"), "text", "total_pages")
+    pages = store.settled(pages, "pages")
+    totals = pages.groupBy("doc").agg(F.max("total_pages").alias("total_pages"))
+    ranges = plan_parts(pages.select("doc", "page_no", "text"), totals, pdf_outlines(doc).drop("total_pages"), least, most, scanned, "doc")
+    return pages.select("doc.*", "page_no", "text"), store.settled(ranges, "ranges").select("doc.*", "title", "start_page", "end_page", "plan")
+
+
 def make_parts(docs: DataFrame, budget: int = BUDGET, pages: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """All parts of docs (run_id, source_index, kind, content), each by its kind's own way, numbered through their run.
 

@@ -130,3 +130,97 @@ MAKERS = {"rtf": rtf_document, "doc": doc_document} | {k: (lambda name, k=k: zip
 
 def office_document(kind: str, name: str) -> bytes:
     return MAKERS[kind](name)
+
+
+# PDF
+
+
+def _text_stream(lines: list[str], wide: bool) -> bytes:
+    """A page's operators: one line of text after another. Wide text is in codes of two bytes that only a map explains."""
+    said = lambda s: b"<" + "".join(f"{ord(c) + 1:04x}" for c in s).encode() + b">" if wide else b"(" + s.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
+    shown = b" T* ".join(said(s) + b" Tj" for s in lines)
+    return b"BT /F1 12 Tf 14 TL 72 720 Td " + shown + b" ET"
+
+
+def _wide_font(pages: list[list[str]]) -> bytes:
+    """A map from codes to characters, each its own number plus one."""
+    chars = sorted({c for lines in pages for s in lines for c in s})
+    pairs = "".join(f"<{ord(c) + 1:04x}> <{c.encode('utf-16-be').hex()}>\n" for c in chars)
+    return f"1 begincodespacerange <0000> <ffff> endcodespacerange\n{len(chars)} beginbfchar\n{pairs}endbfchar\n".encode()
+
+
+def pdf_document(pages: list[list[str]], bookmarks: list[tuple[str, object]] | None = None, *, packed: bool = False, wide: bool = False, locked: bool = False, nested: bool = False) -> bytes:
+    """A PDF of pages of lines. Bookmarks are (title, page number from 1, or a name such as "p3"); nested ones lie under a single one.
+
+    packed: objects in a compressed stream, with a cross-reference stream; else a plain table and plain streams."""
+    import zlib
+
+    from ..sources.pdf_objects import Name, Ref, Stream, written
+
+    n = len(pages)
+    page = lambda i: Ref(10 + 2 * i, 0)
+    objects: dict[int, object] = {
+        1: {"Type": Name("Catalog"), "Pages": Ref(2, 0), "Outlines": Ref(4, 0), "Names": {"Dests": Ref(5, 0)}},
+        2: {"Type": Name("Pages"), "Count": n, "Kids": [page(i) for i in range(n)], "Resources": {"Font": {"F1": Ref(3, 0)}}},
+        3: {"Type": Name("Font"), "Subtype": Name("Type0" if wide else "Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("Identity-H" if wide else "WinAnsiEncoding")},
+        4: {"Type": Name("Outlines")},
+        5: {"Names": [x for i in sorted(range(n), key=lambda i: f"p{i + 1}") for x in (f"p{i + 1}".encode(), {"D": [page(i), Name("Fit")]})]},
+    }
+    if wide:
+        objects[3] |= {"ToUnicode": Ref(6, 0), "DescendantFonts": [{"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "DW": 500}]}
+        objects[6] = Stream({}, _wide_font(pages))
+    for i, lines in enumerate(pages):
+        raw = _text_stream(lines, wide) if lines else b"q 100 0 0 100 0 0 cm Q"
+        objects[10 + 2 * i] = {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(11 + 2 * i, 0), "MediaBox": [0, 0, 612, 792]}
+        objects[11 + 2 * i] = Stream({"Filter": Name("FlateDecode")}, zlib.compress(raw)) if packed else Stream({}, raw)
+    fresh = 10 + 2 * n
+    above, at = 4, fresh
+    if bookmarks and nested:
+        objects[4] |= {"First": Ref(fresh, 0), "Last": Ref(fresh, 0)}
+        objects[fresh] = {"Title": b"All", "Parent": Ref(4, 0)}
+        above, at = fresh, fresh + 1
+    for k, (title, target) in enumerate(bookmarks or []):
+        dest = [page(target - 1), Name("Fit")] if isinstance(target, int) and 1 <= target <= n else [Ref(9999, 0), Name("Fit")] if isinstance(target, int) else target.encode()
+        objects[at + k] = {"Title": b"\xfe\xff" + title.encode("utf-16-be"), "Parent": Ref(above, 0)} | ({"A": {"S": Name("GoTo"), "D": dest}} if k % 2 else {"Dest": dest})
+        if k + 1 < len(bookmarks):
+            objects[at + k]["Next"] = Ref(at + k + 1, 0)
+    if bookmarks:
+        objects[above] |= {"First": Ref(at, 0), "Last": Ref(at + len(bookmarks) - 1, 0)}
+    plain = written(objects, 1)
+    if locked:
+        return plain.replace(b"trailer\n<<", b"trailer\n<</Encrypt <</Filter /Standard>> ")
+    return _packed(objects) if packed else plain
+
+
+def _packed(objects: dict[int, object]) -> bytes:
+    import zlib
+
+    from ..sources.pdf_objects import Name, Ref, Stream, _said
+
+    inside = {k: v for k, v in objects.items() if not isinstance(v, Stream)}
+    body, heads = b"", []
+    for num, x in inside.items():
+        heads.append(f"{num} {len(body)}")
+        body += _said(x) + b" "
+    head = (" ".join(heads) + " ").encode()
+    holder, table = max(objects) + 1, max(objects) + 2
+    out, rows = bytearray(b"%PDF-1.5\n"), {0: (0, 0, 65535)} | {num: (2, holder, i) for i, num in enumerate(inside)}
+    streams = {k: v for k, v in objects.items() if isinstance(v, Stream)}
+    streams[holder] = Stream({"Type": Name("ObjStm"), "N": len(inside), "First": len(head), "Filter": Name("FlateDecode")}, zlib.compress(head + body))
+    for num, s in streams.items():
+        rows[num] = (1, len(out), 0)
+        out += b"%d 0 obj\n" % num + _said(s.head | {"Length": len(s.raw)}) + b"\nstream\r\n" + s.raw + b"\nendstream\nendobj\n"
+    rows[table] = (1, len(out), 0)
+    width = 7
+    raw = b"".join(bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(2, "big") for a, b, c in (rows.get(i, (0, 0, 0)) for i in range(table + 1)))
+    # with the predictor that most writers use: every row less the one before
+    before, coded = bytes(width), bytearray()
+    for i in range(0, len(raw), width):
+        row = raw[i : i + width]
+        coded += b"\x02" + bytes((x - y) & 255 for x, y in zip(row, before, strict=True))
+        before = row
+    packed = zlib.compress(bytes(coded))
+    about = {"Type": Name("XRef"), "Size": table + 1, "W": [1, 4, 2], "Root": Ref(1, 0), "Filter": Name("FlateDecode"), "DecodeParms": {"Predictor": 12, "Columns": width}, "Length": len(packed)}
+    at = len(out)
+    out += b"%d 0 obj\n" % table + _said(about) + b"\nstream\n" + packed + b"\nendstream\nendobj\n"
+    return bytes(out + b"startxref\n%d\n%%%%EOF\n" % at)
