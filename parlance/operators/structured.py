@@ -21,7 +21,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Translated attributes.
 ATTRIBUTES = frozenset("alt title placeholder aria-label aria-description aria-placeholder aria-roledescription aria-valuetext".split())
 #: Meta elements whose content is translated, by name and by property.
-META_NAMES = frozenset("description keywords author application-name twitter:title twitter:description twitter:label1 twitter:label2".split())
+META_NAMES = frozenset("description keywords author application-name".split())
 META_PROPERTIES = frozenset("og:title og:description og:site_name twitter:title twitter:description twitter:label1 twitter:label2".split())
 
 

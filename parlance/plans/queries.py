@@ -62,7 +62,8 @@ def line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
-_CONTENT = "(SELECT doc_id, source, '# ' || source || chr(10) || chr(10) || '## part' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS content, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL)"
+_CONTENT = """(SELECT doc_id, source, '# ' || source || chr(10) || chr(10) || '## part' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS content, text
+    FROM (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(text, '') AS text FROM documents))"""
 _BLOCKS = f"(SELECT doc_id, i - 1 AS ord, {_TRIM.format('l[i]')} AS block FROM (SELECT doc_id, list_prepend('## part', string_split(text, chr(10))) AS l FROM {_CONTENT}) s, unnest(range(1, len(l) + 1)) AS u(i) WHERE {_TRIM.format('l[i]')} <> '')"
 _PIECES = greedy_sql(f"SELECT doc_id, ord, len(block) + 2 AS cost FROM {_BLOCKS}", "doc_id", 2000, None, f"SELECT doc_id, bin + 1 AS ord, string_agg(block, chr(10) || chr(10) ORDER BY b.ord) AS piece FROM {_BLOCKS} b JOIN bins USING (doc_id, ord) GROUP BY ALL")
 
@@ -73,7 +74,8 @@ _PIECES = greedy_sql(f"SELECT doc_id, ord, len(block) + 2 AS cost FROM {_BLOCKS}
     FROM p JOIN bins USING (doc_id, ord) JOIN {_CONTENT} c ON c.doc_id = p.doc_id WHERE len(c.content) > 2000 GROUP BY p.doc_id, bin
     UNION ALL SELECT doc_id, 1, NULL, {_TRIM.format('content')} FROM {_CONTENT} WHERE len(content) <= 2000"""))
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n## part\n\n"), F.regexp_replace("text", "\n", "\n\n")).alias("content"))
+    source, text = F.coalesce("source", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), source, F.lit("\n\n## part\n\n"), F.regexp_replace(text, "\n", "\n\n")).alias("content"))
     return chunk.chunk_documents(docs, 2000)
 
 

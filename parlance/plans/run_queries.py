@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import discover, glossary, ranges
@@ -15,21 +15,27 @@ from .queries import _bundles, _read, _srt, query
 # page ranges
 
 
+def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of each nation, numbered."""
+    of = Window.partitionBy("s_nationkey")
+    return _read(spark, sf_dir, "supplier").withColumn("k", F.row_number().over(of.orderBy("s_suppkey"))).withColumn("n", F.count("*").over(of))
+
+
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One paged document a nation, of 40 pages: contents on pages 2 and 3 for the suppliers' chapters, every second page from page 6; a
+    """One paged document a nation: contents on pages 2 and 3 for all suppliers' chapters, half on each, every second page from page 6; a
     constant shift of printed pages by 4. In nations divisible by 5 the chapters' pages show other words."""
-    s = _read(spark, sf_dir, "supplier").withColumn("k", F.expr("row_number() over (partition by s_nationkey order by s_suppkey)")).where("k <= 12")
+    s = _chapters(spark, sf_dir)
     line = F.concat(F.lit("  Chapter of "), "s_name", F.lit(" ..... "), (2 * F.col("k")).cast("string"), F.lit(" "))
-    toc = s.groupBy("s_nationkey", F.when(F.col("k") <= 6, 2).otherwise(3).alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("s")))), lambda r: r["s"]), "\r\n").alias("text"))
+    toc = s.groupBy("s_nationkey", F.when(2 * F.col("k") <= F.col("n"), 2).otherwise(3).alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("s")))), lambda r: r["s"]), "\r\n").alias("text"))
     shown = F.when(F.col("s_nationkey") % 5 == 0, F.concat(F.lit("wrong page "), "k")).otherwise(F.concat(F.lit("the CHAPTER, of:\n"), "s_name", F.lit(" begins")))
     body = s.select("s_nationkey", (2 * F.col("k") + 4).cast("int").alias("page_no"), shown.alias("text"))
     return toc.unionByName(body).withColumnRenamed("s_nationkey", "doc_id")
 
 
-_CHAPTERS = "(SELECT s_nationkey AS doc_id, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier QUALIFY k <= 12)"
+_CHAPTERS = "(SELECT s_nationkey AS doc_id, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"
 #: Contents count on pages with two entries or more, of which there must be three.
 _ENTRIES = f"""(SELECT doc_id, s_name, k, page_no, n, count(*) OVER (PARTITION BY doc_id) AS entries, max(page_no) OVER (PARTITION BY doc_id) AS toc_end_page
-    FROM (SELECT *, CASE WHEN k <= 6 THEN 2 ELSE 3 END AS page_no, count(*) OVER (PARTITION BY doc_id, k <= 6) AS on_page FROM {_CHAPTERS}) WHERE on_page >= 2)"""
+    FROM (SELECT *, CASE WHEN 2 * k <= n THEN 2 ELSE 3 END AS page_no, count(*) OVER (PARTITION BY doc_id, 2 * k <= n) AS on_page FROM {_CHAPTERS}) WHERE on_page >= 2)"""
 
 
 @query(f"SELECT doc_id, page_no, 'Chapter of ' || s_name AS title, CAST(2 * k AS INTEGER) AS printed_page, toc_end_page FROM {_ENTRIES} WHERE entries >= 3")
@@ -44,21 +50,28 @@ def toc_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(27).alias("total_pages"))
+    """The last chapter of a document begins after its last page."""
+    n = _chapters(spark, sf_dir).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return _read(spark, sf_dir, "nation").join(n, "n_nationkey", "left").select(F.col("n_nationkey").alias("doc_id"), (2 * F.coalesce("n", F.lit(0)) + 3).cast("int").alias("total_pages"))
 
 
-_FOUND = f"(SELECT doc_id, 'Chapter of ' || s_name AS title, CAST(2 * k + 4 AS INTEGER) AS start_page FROM {_ENTRIES} WHERE entries >= 3 AND doc_id % 5 <> 0 AND 2 * k + 4 <= 27)"
+_TOTALS = "(SELECT n_nationkey AS doc_id, CAST(2 * count(s_suppkey) + 3 AS INTEGER) AS pages FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey)"
+_FOUND = f"(SELECT doc_id, 'Chapter of ' || s_name AS title, CAST(2 * k + 4 AS INTEGER) AS start_page, pages FROM {_ENTRIES} JOIN {_TOTALS} USING (doc_id) WHERE entries >= 3 AND doc_id % 5 <> 0 AND 2 * k + 4 <= pages)"
 
 
-@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_page) AS INTEGER) AS ord, title, start_page, CAST(27 AS INTEGER) AS total_pages, CAST(4 AS INTEGER) AS page_offset FROM {_FOUND}")
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_page) AS INTEGER) AS ord, title, start_page, pages AS total_pages, CAST(4 AS INTEGER) AS page_offset FROM {_FOUND}")
 def toc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.find_toc_starts(_book(spark, sf_dir), _totals(spark, sf_dir))
 
 
-@query(f"""
-    SELECT doc_id, title, start_page, coalesce(lead(start_page) OVER w - 1, 27) AS end_page, 'toc' AS plan FROM {_FOUND} WINDOW w AS (PARTITION BY doc_id ORDER BY start_page)
-    UNION ALL SELECT DISTINCT doc_id, 'Front matter', 1, 5, 'toc' FROM {_FOUND}
-    UNION ALL SELECT n_nationkey, CAST(NULL AS VARCHAR), s, least(s + 19, 27), 'windows' FROM nation, (VALUES (1), (21)) AS v(s) WHERE n_nationkey NOT IN (SELECT doc_id FROM {_FOUND})""")
+def _planned_sql(where: str) -> str:
+    return f"""
+    SELECT doc_id, title, start_page, coalesce(lead(start_page) OVER w - 1, pages) AS end_page, 'toc' AS plan FROM {_FOUND} WHERE {where} WINDOW w AS (PARTITION BY doc_id ORDER BY start_page)
+    UNION ALL SELECT DISTINCT doc_id, 'Front matter', 1, 5, 'toc' FROM {_FOUND} WHERE {where}
+    UNION ALL SELECT doc_id, CAST(NULL AS VARCHAR), s, least(s + 19, pages), 'windows' FROM {_TOTALS}, unnest(range(1, pages + 1, 20)) AS u(s) WHERE doc_id NOT IN (SELECT doc_id FROM {_FOUND}) AND {where}"""
+
+
+@query(_planned_sql("true"))
 def planned_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose contents are confirmed are cut at chapters, the others into windows; none has an outline."""
     totals = _totals(spark, sf_dir)
@@ -67,18 +80,16 @@ def planned_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.plan_ranges(toc.limit(0), toc, windows)
 
 
-@query(f"""
-    SELECT doc_id, title, start_page, coalesce(lead(start_page) OVER w - 1, 27) AS end_page, 'toc' AS plan FROM {_FOUND} WHERE doc_id % 7 <> 1 WINDOW w AS (PARTITION BY doc_id ORDER BY start_page)
-    UNION ALL SELECT DISTINCT doc_id, 'Front matter', 1, 5, 'toc' FROM {_FOUND} WHERE doc_id % 7 <> 1
-    UNION ALL SELECT n_nationkey, CAST(NULL AS VARCHAR), s, least(s + 19, 27), 'windows' FROM nation, (VALUES (1), (21)) AS v(s) WHERE n_nationkey NOT IN (SELECT doc_id FROM {_FOUND}) AND n_nationkey % 7 <> 1
-    UNION ALL SELECT n_nationkey, t, a, b, 'outline' FROM nation, (VALUES ('one', 1, 3), ('three', 4, 23), ('three', 24, 27)) AS v(t, a, b) WHERE n_nationkey % 7 = 1""")
+@query(_planned_sql("doc_id % 7 <> 1") + f"""
+    UNION ALL SELECT doc_id, 'one', 1, 3, 'outline' FROM {_TOTALS} WHERE doc_id % 7 = 1
+    UNION ALL SELECT doc_id, 'three', s, least(s + 19, pages), 'outline' FROM {_TOTALS}, unnest(range(4, pages + 1, 20)) AS u(s) WHERE doc_id % 7 = 1""")
 def planned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmarks first, of which one lies outside its document; then contents; then windows. A bookmark's single page takes in the next."""
-    marks = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(t).alias("title"), F.lit(p).alias("start_page")) for o, t, p in ((0, "one", 1), (1, "two", 2), (2, "three", 4), (3, "none", 28))])
-    nations = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
-    one = nations.where("doc_id % 7 = 2").select("doc_id", F.lit(0).alias("ord"), F.lit("alone").alias("title"), F.lit(3).alias("start_page"))
-    outline = nations.where("doc_id % 7 = 1").select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.*").unionByName(one)
-    return ranges.plan_parts(_book(spark, sf_dir), _totals(spark, sf_dir), outline)
+    totals = _totals(spark, sf_dir)
+    marks = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(t).alias("title"), p.alias("start_page")) for o, t, p in ((0, "one", F.lit(1)), (1, "two", F.lit(2)), (2, "three", F.lit(4)), (3, "none", F.col("total_pages") + 1))])
+    one = totals.where("doc_id % 7 = 2").select("doc_id", F.lit(0).alias("ord"), F.lit("alone").alias("title"), F.lit(3).alias("start_page"))
+    outline = totals.where("doc_id % 7 = 1").select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.*").unionByName(one)
+    return ranges.plan_parts(_book(spark, sf_dir), totals, outline)
 
 
 @query("""
