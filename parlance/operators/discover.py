@@ -35,13 +35,24 @@ def is_style_guide(path: Column) -> Column:
     return ~is_glossary(path) & extension_of(path).isin("md", "markdown", "txt") & basename_of(path).rlike(_STYLE)
 
 
+def in_locale(path: str | Column) -> Column:
+    """A key that sorts paths as the root locale does: letters first, then case and accents."""
+    return F.collate(F.col(path) if isinstance(path, str) else path, "UNICODE")
+
+
+def listed_paths(path: str = "path") -> Column:
+    """A group's paths in the locale's order; those that are equal to it, by bytes."""
+    rows = F.array_sort(F.collect_list(F.struct(in_locale(path).alias("k"), F.col(path).alias("p"))))
+    return F.transform(rows, lambda r: r["p"])
+
+
 def pick_preferred(files: DataFrame, names: Sequence[str], group: str = "project") -> DataFrame:
     """One file of each group: the best ranked exact name (of one name, the last path), else the first path."""
     name = F.lower(basename_of(F.col("path")))
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), name)
     rank = F.when(rank > 0, rank)
-    last = F.row_number().over(Window.partitionBy(group, "_rank").orderBy(F.desc("path")))
-    order = Window.partitionBy(group).orderBy(F.col("_rank").asc_nulls_last(), F.when(F.col("_rank").isNotNull(), F.col("_last")), "path")
+    last = F.row_number().over(Window.partitionBy(group, "_rank").orderBy(in_locale("path").desc(), F.desc("path")))
+    order = Window.partitionBy(group).orderBy(F.col("_rank").asc_nulls_last(), F.when(F.col("_rank").isNotNull(), F.col("_last")), in_locale("path"), "path")
     ranked = files.withColumn("_rank", rank).withColumn("_last", last).withColumn("_n", F.row_number().over(order))
     return ranked.where("_n = 1").select(group, "path")
 
@@ -65,13 +76,13 @@ def discover_projects(projects: DataFrame, files: DataFrame, group: str = "proje
     """What each project (projects: project) holds among its files (project, path): project, source_kind, source_paths, glossary_path,
     glossary_candidates, style_path, style_candidates, other_kinds (kind and number of files), notes (codes).
 
-    Paths are sorted. Notes: no_sources, other_kinds_left_out, no_glossary, several_glossaries, no_style_guide, several_style_guides.
+    Paths are in the order of the root locale. Notes: no_sources, other_kinds_left_out, no_glossary, several_glossaries, no_style_guide, several_style_guides.
     A project's listing is one row by its nature; files of all projects are classified where they are.
     """
     roles = classify_files(files)
-    paths = lambda role, name: roles.where(F.col("role") == role).groupBy(group).agg(F.array_sort(F.collect_list("path")).alias(name))
+    paths = lambda role, name: roles.where(F.col("role") == role).groupBy(group).agg(listed_paths().alias(name))
     best = lambda role, names, name: pick_preferred(roles.where(F.col("role") == role), names, group).withColumnRenamed("path", name)
-    kinds = roles.where("role = 'source'").groupBy(group, "kind").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    kinds = roles.where("role = 'source'").groupBy(group, "kind").agg(listed_paths().alias("p"))
     by_kind = kinds.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("kind", "p"))).alias("_kinds"))
     all_ = projects.select(group).distinct()
     for part in (

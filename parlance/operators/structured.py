@@ -40,7 +40,7 @@ def walk_strings(node: object, pointer: str = "") -> Iterator[tuple[str, str]]:
     while stack:
         at, x = stack.pop()
         if isinstance(x, str):
-            if js_trim(x):
+            if js_trim(x) and not isinstance(x, Spelled):
                 yield at, x
         elif isinstance(x, dict):
             stack.extend((f"{at}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in reversed(_ordered(x)))
@@ -48,14 +48,31 @@ def walk_strings(node: object, pointer: str = "") -> Iterator[tuple[str, str]]:
             stack.extend((f"{at}/{i}", x[i]) for i in range(len(x) - 1, -1, -1))
 
 
+class Spelled(str):
+    """A number as its source spells it."""
+
+    __slots__ = ()
+
+
+def _refused(word: str) -> None:
+    raise ValueError(f"not JSON: {word}")
+
+
+def parse_json(raw: str) -> object:
+    """raw with its numbers kept as they are spelled, so that none loses digits or its form."""
+    return json.loads(raw, parse_int=Spelled, parse_float=Spelled, parse_constant=_refused)
+
+
 def rebuild_json(raw: str, translations: dict[str, str]) -> str:
-    """raw written anew, indented by two, with the translated strings in place. Without recursion, as bundles may be deep."""
+    """raw written anew, indented by two, with the translated strings in place and numbers as they were. Without recursion, as bundles may be deep."""
     out: list[str] = []
-    stack: list[tuple] = [("", "", "", json.loads(raw))]
+    stack: list[tuple] = [("", "", "", parse_json(raw))]
     while stack:
         before, pointer, indent, x = stack.pop()
         out.append(before)
-        if isinstance(x, str):
+        if isinstance(x, Spelled):
+            out.append(x)
+        elif isinstance(x, str):
             out.append(json.dumps(translations.get(pointer, x) if js_trim(x) else x, ensure_ascii=False))
         elif isinstance(x, (dict, list)) and x:
             inner = indent + "  "
@@ -74,7 +91,7 @@ def rebuild_json(raw: str, translations: dict[str, str]) -> str:
 
 def is_translatable(raw: str) -> bool:
     """Whether raw is a JSON object or list with a string that is not blank."""
-    node = json.loads(raw)
+    node = parse_json(raw)
     return isinstance(node, (dict, list)) and next(walk_strings(node), None) is not None
 
 
@@ -212,7 +229,7 @@ def _entries(docs: DataFrame, walk: Callable[[str], Iterator[tuple[str, str]] |
 
 def flatten_json(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
     """id, ord, pointer, value of every string that is not blank. Invalid JSON raises."""
-    return _entries(docs, lambda raw: walk_strings(json.loads(raw)), id_col, raw_col)
+    return _entries(docs, lambda raw: walk_strings(parse_json(raw)), id_col, raw_col)
 
 
 def flatten_html(docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, pack, structured, subtitles
+from ..operators import chunk, discover, pack, structured, subtitles
 from .queries import _CUES, _read, _srt, greedy_sql, query
 
 #: Extensions in turn, and the kind, output format, output extension and glossary format of each.
@@ -237,3 +237,23 @@ def srt_odd_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = subtitles.srt_cues(_srt(spark, sf_dir)).withColumn("cost", T.utf16_length(F.col("text")))
     return pack.greedy_pack(cues, "doc_id", "ord", "cost", budget=3000, cap=2).select("doc_id", "ord", "batch")
+
+
+@query(f"""
+    SELECT c_custkey AS doc_id, '{{' || chr(10) || '  "7": ' || c_custkey || '.50,' || chr(10) || '  "n": 1e400,' || chr(10) || '  "t": "' || upper(c_name) || '",' || chr(10) || '  "big": ' || repeat('9', 30) || c_custkey || chr(10) || '}}' || chr(10) AS raw FROM customer""")
+def json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers come through a rebuilt bundle as they are spelled, whatever their size; whole-number keys go first."""
+    c = _read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "doc_id")
+    raw = F.concat(F.lit('{"n":1e400,"7":'), "doc_id", F.lit('.50,"t":"'), "c_name", F.lit('","big":'), F.repeat(F.lit("9"), F.lit(30)), "doc_id", F.lit("}"))
+    told = c.select("doc_id", F.lit("/t").alias("pointer"), F.upper("c_name").alias("translation"), F.lit(0).alias("ord"))
+    return structured.rebuild_json_docs(c.select("doc_id", raw.alias("raw")), told).select("doc_id", "raw")
+
+
+@query("""
+    SELECT s_suppkey AS project, 'a ' || s_name || '.srt|A ' || s_name || '.srt|B ' || s_name || '.srt|c ' || s_name || '.srt|É ' || s_name || '.srt|f ' || s_name || '.srt' AS source_paths, 'b terms.md' AS glossary_path FROM supplier""")
+def paths_in_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a project in the order of the root locale, and the first of several glossaries in it."""
+    s = _read(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "project")
+    names = F.array(*[F.concat(F.lit(f"{c} "), "s_name", F.lit(".srt")) for c in "BfaÉcA"], F.lit("C terms.md"), F.lit("b terms.md"), F.lit("d terms.md"))
+    found = discover.discover_projects(s.select("project"), s.select("project", F.explode(names).alias("path")))
+    return found.select("project", F.array_join("source_paths", "|").alias("source_paths"), "glossary_path")

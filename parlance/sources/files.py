@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import OFFICE_KINDS, detect_kind
-from ..operators.discover import SKIPPED_FOLDERS
+from ..operators.discover import SKIPPED_FOLDERS, in_locale
 
 LISTING = "path string, type string, length long, reason string"
 CANONICAL = "terms array<struct<source: string, target: string, notes: string, origin: string>>"
@@ -83,7 +83,7 @@ def list_tree(spark: SparkSession, root: str, path: str = ".", recursive: bool =
                     waiting.append(own)
             else:
                 rows.append((own, "file", s.getLen(), "hidden file" if name.startswith(".") else None))
-    return spark.createDataFrame(sorted(rows), LISTING)
+    return spark.createDataFrame(rows, LISTING).orderBy(in_locale("path"), "path")
 
 
 def read_bytes(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFrame:
