@@ -2,8 +2,8 @@
 
 No piece of the model has a space mark after another character, so a text's pieces are those of its parts, each a run of
 spaces with what follows. Lengths of frequent parts are looked up in a broadcast hash table; other parts are encoded by the
-library through a cache in each worker. No occurrence of a part is ever shuffled: to choose the table's parts, each
-partition's counts of its own heaviest ones are summed, and the choice changes no count.
+library through a cache in each worker. No part is ever shuffled: to choose the table's parts, summaries of the partitions'
+heaviest ones, of bounded size, are merged in a tree, and the choice changes no count.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 4096, words: int =
     """id, n_bytes (UTF-8), n_tokens and over_limit (more than `limit` tokens) for every row.
 
     The `words` most frequent parts of all texts go into the broadcast table: 16 bytes each. They are found from counts of
-    all parts, of which each partition reports at most `report`.
+    all parts, of which each partition reports at most `report`, in one summary.
 
     Defined cases: a null text counts as empty, and has no bytes and no tokens; texts of any length are counted whole;
     special strings inside a text are ordinary text, as the library has it; repeated rows are counted each; an empty
