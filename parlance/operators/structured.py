@@ -6,18 +6,16 @@ import html
 import json
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk import js_trim
+from .html_tree import Text, Tree, walk
 
 #: Elements whose text and attributes are never translated.
 SKIPPED = frozenset("script style noscript template code pre kbd samp var svg math".split())
-#: Elements that never have an end tag.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Translated attributes.
 ATTRIBUTES = frozenset("alt title placeholder aria-label aria-description aria-placeholder aria-roledescription aria-valuetext".split())
 #: Meta elements whose content is translated, by name and by property.
@@ -98,98 +96,42 @@ def is_translatable(raw: str) -> bool:
 # HTML
 
 
-class _Finder(HTMLParser):
-    """Collects (pointer, value, start, end, quote): quote is None for text, else the attribute's quote (or '')."""
-
-    def __init__(self, raw: str):
-        super().__init__(convert_charrefs=False)
-        self.raw, self.skip, self.open, self.found = raw, 0, [], []
-        self.texts = self.attrs = 0
-        self.run: list[tuple[int, int]] = []
-        self.lines = [0, *(m.end() for m in re.finditer("\n", raw))]
-        self.feed(raw)
-        self.flush_tail()
-
-    def here(self) -> int:
-        line, column = self.getpos()
-        return self.lines[line - 1] + column
-
-    def flush_tail(self) -> None:
-        if self.rawdata and self.cdata_elem:  # an open script or style at the end
-            self.rawdata = ""
-        self.flush()
-
-    def flush(self) -> None:
-        """Adjacent character runs are one text; a stray end tag between two of them does not part them."""
-        if self.run:
-            start, end = self.run[0][0], self.run[-1][1]
-            value = html.unescape("".join(self.raw[a:b] for a, b in self.run))
+#: An entry of a page: pointer, value, where it is in the source (one run of an attribute, one or more of a text), and an attribute's
+#: quote, '' where it has none; None for texts.
+Located = tuple[str, str, list[tuple[int, int]], str | None]
+
+
+def locate(raw: str) -> list[Located]:
+    """The texts and attributes to translate, in the order of the page's tree. Skipped elements give none, nor does what is in them."""
+    found: list[Located] = []
+    texts = attrs = skip = 0
+    for x in walk(Tree(raw).root):
+        if isinstance(x, tuple):
+            skip -= x[0].name in SKIPPED
+        elif isinstance(x, Text):
+            if skip:
+                continue
+            value = "".join(html.unescape(raw[a:b]) for a, b in x.runs).replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
             if js_trim(value):
-                self.texts += 1
-                self.found.append((f"t-{self.texts}", value, start, end, None))
-            self.run = []
-
-    def text(self, length: int) -> None:
-        if not self.skip:
-            at = self.here()
-            self.run.append((at, at + length))
-
-    def handle_data(self, data: str) -> None:
-        self.text(len(data))
-
-    def handle_entityref(self, name: str) -> None:
-        self.text(len(name) + 1 + (self.raw[self.here() + len(name) + 1 : self.here() + len(name) + 2] == ";"))
-
-    def handle_charref(self, name: str) -> None:
-        self.text(len(name) + 2 + (self.raw[self.here() + len(name) + 2 : self.here() + len(name) + 3] == ";"))
-
-    def handle_comment(self, data: str) -> None:
-        self.flush()
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.flush()
-        skipped = tag in SKIPPED
-        if not self.skip and not skipped:
-            self.attributes(tag, dict(reversed(attrs)))
-        if tag not in VOID:
-            self.open.append(tag)
-            self.skip += skipped
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "math"):
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open:
-            return
-        self.flush()
-        while self.open:
-            last = self.open.pop()
-            self.skip -= last in SKIPPED
-            if last == tag:
-                break
-
-    def attributes(self, tag: str, attrs: dict[str, str | None]) -> None:
-        named = lambda key: js_trim(attrs.get(key) or "").lower()
-        meta = tag == "meta" and (named("name") in META_NAMES or named("property") in META_PROPERTIES)
-        source, at = self.get_starttag_text() or "", self.here()
-        seen = set()
-        for m in re.finditer(r"""[\s/]([^\s/>=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", source[len(tag) + 1 :]):
-            name = m[1].lower()
-            if name in seen:
+                texts += 1
+                found.append((f"t-{texts}", value, x.runs, None))
+        else:
+            skip += x.name in SKIPPED
+            # an element that overlapping marks have made anew has no place of its own in the source
+            if skip or x.token is None or x.token.begin < 0:
                 continue
-            seen.add(name)
-            if name in ATTRIBUTES or meta and name == "content":
-                k = next((k for k in (2, 3, 4) if m[k] is not None), None)
-                if k and js_trim(value := html.unescape(m[k])):
-                    base = at + len(tag) + 1
-                    self.attrs += 1
-                    self.found.append((f"a-{self.attrs}", value, base + m.start(k), base + m.end(k), {2: '"', 3: "'", 4: ""}[k]))
+            own = x.token.attrs
+            named = lambda key: js_trim(own[key][0]).lower() if key in own else ""  # noqa: B023,E731
+            meta = x.name == "meta" and (named("name") in META_NAMES or named("property") in META_PROPERTIES)
+            for name, (value, begin, end, quote) in own.items():
+                if (name in ATTRIBUTES or meta and name == "content") and begin >= 0 and js_trim(value):
+                    attrs += 1
+                    found.append((f"a-{attrs}", value, [(begin, end)], quote))
+    return found
 
 
 def walk_html(raw: str) -> list[tuple[str, str]]:
-    return [(p, v) for p, v, *_ in _Finder(raw).found]
+    return [(p, v) for p, v, *_ in locate(raw)]
 
 
 def _escaped(value: str, quote: str | None) -> str:
@@ -203,15 +145,33 @@ def _escaped(value: str, quote: str | None) -> str:
 
 
 def rebuild_html(raw: str, translations: dict[str, str]) -> str:
-    """raw with the translated strings in place of their sources; everything else is byte for byte the same."""
-    out, at = [], 0
-    for pointer, _, start, end, quote in sorted(_Finder(raw).found, key=lambda x: x[2]):
+    """raw with the translated strings in place of their sources; everything else is byte for byte the same.
+
+    A text that the tree puts together from several places is written at the first of them, and gone from the others. Of two
+    entries at one place, as where a mark was opened again, the first counts."""
+    pieces = []
+    for pointer, _, runs, quote in locate(raw):
         if pointer in translations:
-            out += [raw[at:start], _escaped(translations[pointer], quote)]
+            pieces += [(a, b, "" if k else _escaped(translations[pointer], quote)) for k, (a, b) in enumerate(_joined(raw, runs))]
+    out, at = [], 0
+    for begin, end, text in sorted(pieces, key=lambda x: x[0]):
+        if begin >= at:
+            out += [raw[at:begin], text]
             at = end
     return "".join(out) + raw[at:]
 
 
+def _joined(raw: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that follow one another, or have but a stray end tag between them, as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in runs:
+        if out and out[-1][1] <= a and re.fullmatch(r"(?:</[A-Za-z][^>]*>)*", raw[out[-1][1] : a]):
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
 # DataFrames
 
 

@@ -257,3 +257,16 @@ def paths_in_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.concat(F.lit(f"{c} "), "s_name", F.lit(".srt")) for c in "BfaÉcA"], F.lit("C terms.md"), F.lit("b terms.md"), F.lit("d terms.md"))
     found = discover.discover_projects(s.select("project"), s.select("project", F.explode(names).alias("path")))
     return found.select("project", F.array_join("source_paths", "|").alias("source_paths"), "glossary_path")
+
+
+@query("""
+    SELECT s_suppkey AS doc_id, CAST(o AS INTEGER) AS ord, p AS pointer, CASE o WHEN 0 THEN 'stray ' || s_name || ' again' WHEN 2 THEN s_name WHEN 1 THEN 'cell' WHEN 3 THEN 'un' WHEN 4 THEN 'closed' WHEN 5 THEN s_name WHEN 6 THEN s_name WHEN 7 THEN 'both' WHEN 8 THEN 'over' ELSE 'after' END AS value
+    FROM supplier, (VALUES (0, 't-1'), (1, 't-2'), (2, 'a-1'), (3, 't-3'), (4, 't-4'), (5, 't-5'), (6, 'a-2'), (7, 't-6'), (8, 't-7'), (9, 't-8')) AS v(o, p)""")
+def html_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that a browser mends: text astray in a table goes before it, paragraphs end where others begin, marks that overlap are opened again."""
+    s = _read(spark, sf_dir, "supplier")
+    page = F.concat(
+        F.lit("<table>stray "), "s_name", F.lit("<tr><td>cell</td></tr> again</table><p title='"), "s_name", F.lit("'>un<p>closed<div>"), "s_name",
+        F.lit("</div><p>"), F.lit("<b title="), F.regexp_replace("s_name", "[^A-Za-z0-9#]", ""), F.lit(">both<i>over</b>after</i>"),
+    )
+    return structured.flatten_html(s.select(F.col("s_suppkey").alias("doc_id"), page.alias("raw")))
