@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import posixpath
 import uuid
 from dataclasses import dataclass
 
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder, store_uri
+from ..sources.notes import Notes
 
 REPLY = "part_key string, prior_key string, reply string"
 
@@ -36,27 +35,14 @@ def digest(value: object) -> str:
 class Journal:
     """One stage's replies, as workers see them."""
 
-    uri: str
-
-    def _at(self, part: str, prior: str) -> tuple[pafs.FileSystem, str]:
-        store, at = pafs.FileSystem.from_uri(self.uri)
-        return store, f"{at}/{part[:2]}/{part}-{prior}.json"
+    notes: Notes
 
     def get(self, part: str, prior: str) -> object | None:
-        store, path = self._at(part, prior)
-        if store.get_file_info(path).type != pafs.FileType.File:
-            return None
-        with store.open_input_stream(path) as f:
-            return json.loads(json.loads(f.read())["reply"])
+        found = self.notes.get(f"{part}-{prior}")
+        return None if found is None else json.loads(found["reply"])
 
     def put(self, part: str, prior: str, reply: object) -> None:
-        store, path = self._at(part, prior)
-        store.create_dir(posixpath.dirname(path), recursive=True)
-        # hidden from readers until it is whole
-        draft = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as f:
-            f.write(json.dumps({"part_key": part, "prior_key": prior, "reply": json.dumps(reply, ensure_ascii=False)}, ensure_ascii=False).encode())
-        store.move(draft, path)
+        self.notes.put(f"{part}-{prior}", {"part_key": part, "prior_key": prior, "reply": json.dumps(reply, ensure_ascii=False)})
 
 
 class ReplyStore:
@@ -71,7 +57,7 @@ class ReplyStore:
         return cls(spark, f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}")
 
     def journal(self, stage: str) -> Journal:
-        return Journal(store_uri(self.spark, f"{self.root}/{stage}"))
+        return Journal(Notes(store_uri(self.spark, f"{self.root}/{stage}")))
 
     def replies(self, stage: str) -> DataFrame:
         """part_key, prior_key and reply of every question that was answered."""
