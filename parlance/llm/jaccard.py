@@ -27,7 +27,7 @@ _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _ORDER = _U(0xC2B2AE3D27D4EB4F)
 #: Keys held at once by a worker before they are handed on, members of a block in a further look.
-FLUSH, BLOCK = 1_000_000, 1024
+FLUSH, BLOCK = 600_000, 1024
 #: Further looks; the last takes all pairs that are still open.
 LOOKS = 2
 
@@ -235,6 +235,7 @@ def keyed(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                 if held > FLUSH:
                     yield from emit(parts)
                     parts, held, seen = [], 0, set()
+                    vec.give_back()
         if held:
             yield from emit(parts)
 
@@ -282,6 +283,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFram
                     common = int((big[at] == small).sum())
                     linked.append(den * common >= num * (len(a) + len(c) - common))
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
+            sets, known = [], {}
+            vec.give_back()
 
     return both.mapInArrow(scan, "x long, y long, linked boolean")
 
@@ -351,6 +354,7 @@ def second_look(members: DataFrame, nodes: DataFrame, failed: DataFrame, bands:
                     up[p] = q
                     keep.append(e)
             x, y = x[keep], y[keep]
+        vec.give_back()
         return pa.table({"key": np.full(len(x), t["key"][0].as_py(), np.int64), "x": np.maximum(node[x], node[y]), "y": np.minimum(node[x], node[y]), "open": np.full(len(x), found > len(x))})
 
     dealt = dealt.repartition(partitions(dealt.sparkSession), "key", "lo", "hi")  # much work for few bytes: not to be put together by size
