@@ -3,6 +3,9 @@
 A vector is centred, rotated by a random orthogonal matrix and kept as its signs with two scalars: the length of the
 centred vector and the cosine between it and its code. Inner products are estimated from the packed bits; the error
 bound of the estimate says which vectors can still be among the nearest, and only those are scored exactly.
+
+The index is a stored table in the order of coarse cells, so that vectors read together lie together: where a whole run of them is
+too far from a query, by its centre and radius, none of them is estimated for it.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-INDEX_SCHEMA = "vec_id long, code binary, length float, cosine float, vector array<double>"
+from .common import cut
+
+INDEX_SCHEMA = "cell int, vec_id long, code binary, length float, cosine float, vector array<double>"
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -31,12 +36,27 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[fine], good[fine]
 
 
+#: Coarse cells, and rounds of their choice.
+CELLS, ROUNDS = 256, 5
+
+
 class Coder:
-    """The rotation and the centre; both come from a seed and a bounded sample."""
+    """The rotation, the centre and the cells' centres; all come from a seed and a bounded sample."""
 
-    def __init__(self, dim: int, centre: np.ndarray, seed: int = 7):
+    def __init__(self, dim: int, sample: np.ndarray, seed: int = 7):
         q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-        self.dim, self.centre, self.rotation = dim, centre, q * np.sign(np.diag(r))
+        self.dim, self.centre, self.rotation = dim, sample.mean(axis=0), q * np.sign(np.diag(r))
+        self.cells = sample[:: max(1, len(sample) // CELLS)][:CELLS].copy()
+        for _ in range(ROUNDS):
+            own = self.cell(sample)
+            many = np.bincount(own, minlength=len(self.cells))
+            sums = np.zeros_like(self.cells)
+            np.add.at(sums, own, sample)
+            self.cells[many > 0] = sums[many > 0] / many[many > 0, None]
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell of each vector."""
+        return np.argmin((self.cells**2).sum(axis=1)[None, :] - 2 * x @ self.cells.T, axis=1)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         r = x - self.centre
@@ -74,14 +94,15 @@ def _nearest(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np
 
 
 def build_index(vectors: DataFrame, coder: Coder, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Codes of all rows that take part, with the vectors for reranking."""
+    """Cells and codes of all rows that take part, with the vectors for reranking."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, at = _matrix(b.column(1), coder.dim)
             code, length, cosine = coder.encode(x)
             vector = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * coder.dim, x.ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(length.astype(np.float32)), pa.array(cosine.astype(np.float32)), vector], ["vec_id", "code", "length", "cosine", "vector"])
+            columns = [pa.array(coder.cell(x).astype(np.int32)), b.column(0).take(pa.array(at)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(length.astype(np.float32)), pa.array(cosine.astype(np.float32)), vector]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "vec_id", "code", "length", "cosine", "vector"])
 
     return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>")).mapInArrow(encode, INDEX_SCHEMA)
 
@@ -89,20 +110,24 @@ def build_index(vectors: DataFrame, coder: Coder, id_col: str = "vec_id", vector
 def _scan(coder: Coder, shared, k: int, width: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q, floor = shared.value
-        floor = floor.copy()
+        floor, reach = floor.copy(), np.linalg.norm(q, axis=1)
         best: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 s = b.slice(lo, 2048)
-                ids = s.column(0).to_numpy()
-                code = np.frombuffer(b"".join(s.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                x = s.column(4).flatten().to_numpy().reshape(len(ids), coder.dim)
-                length, cosine = (s.column(j).to_numpy().astype(np.float64) for j in (2, 3))
-                rows, cols = [], []
-                for at in range(0, len(q), 1024):
-                    estimate, half = coder.bounds(code, length, cosine, q[at : at + 1024], width)
-                    r, c = np.nonzero(estimate + half >= floor[at : at + 1024, None])
-                    rows.append(r + at)
+                ids = s.column(1).to_numpy()
+                code = np.frombuffer(b"".join(s.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+                x = s.column(5).flatten().to_numpy().reshape(len(ids), coder.dim)
+                length, cosine = (s.column(j).to_numpy().astype(np.float64) for j in (3, 4))
+                middle = x.mean(axis=0)
+                most = q @ middle + reach * np.linalg.norm(x - middle, axis=1).max()
+                live = np.flatnonzero(most + 1e-9 * (1 + np.abs(most)) >= floor)
+                rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for at in range(0, len(live), 1024):
+                    own = live[at : at + 1024]
+                    estimate, half = coder.bounds(code, length, cosine, q[own], width)
+                    r, c = np.nonzero(estimate + half >= floor[own, None])
+                    rows.append(own[r])
                     cols.append(c)
                 row, col = np.concatenate(rows), np.concatenate(cols)
                 keep = query_ids[row] != ids[col]
@@ -127,8 +152,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str
     """The k rows of `vectors` with the largest inner product with each row of `queries`, the row with the query's own id aside.
 
     Returns query_id, rank (from 1), vec_id, score (double, from the original vectors); ties go to the smaller vec_id.
-    Queries come to the workers in blocks of at most query_block rows, one pass over the codes for each block. The
-    centre, and a floor under each query's k-th best score, come from at most `pilot` rows; every row is indexed. `width`
+    The codes are computed once and stored, in the order of coarse cells. Queries come to the workers in blocks of at most
+    query_block rows, one pass over the stored codes for each block, which skips runs of vectors that are too far as a whole. The
+    centre, the cells, and a floor under each query's k-th best score, come from at most `pilot` rows; every row is indexed. `width`
     is the error bound in standard deviations of the estimate: at 3 about one true neighbour in 2,000 is passed over, and with
     an infinite width none, as then every vector is scored exactly.
 
@@ -148,8 +174,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str
     if not len(x):
         return empty
     pilot_ids = sample["i"].to_numpy()[at]
-    coder = Coder(dim, x.mean(axis=0))
-    index = build_index(vectors, coder, id_col, vector_col)
+    coder = Coder(dim, x)
+    # one cell, however many rows it has, is split by id
+    index = cut(build_index(vectors, coder, id_col, vector_col).repartitionByRange("cell", "vec_id").sortWithinPartitions("cell"))
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
     found = None
     for ids, q in _query_blocks(asked, dim, query_block):
@@ -169,7 +196,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str
 
 
 def _query_blocks(asked: DataFrame, dim: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of queries, read partition by partition; workers clean and pack them."""
+    """Blocks of queries, read partition by partition; workers clean and pack them, so that the driver takes whole batches."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,11 +204,16 @@ def _query_blocks(asked: DataFrame, dim: int, size: int) -> Iterator[tuple[np.nd
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy()[at].tobytes()]), pa.array([x.tobytes()])], ["i", "v"])
 
-    ids, rows = np.zeros(0, np.int64), np.zeros((0, dim))
-    for r in asked.mapInArrow(pack, "i binary, v binary").toLocalIterator():
-        ids, rows = np.append(ids, np.frombuffer(r["i"], np.int64)), np.concatenate([rows, np.frombuffer(r["v"]).reshape(-1, dim)])
-        while len(ids) >= size:
-            yield ids[:size], rows[:size]
-            ids, rows = ids[size:], rows[size:]
-    if len(ids):
-        yield ids, rows
+    held, count = [], 0
+    joined = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    for r in asked.mapInArrow(pack, "i binary, v binary").toLocalIterator(prefetchPartitions=True):
+        held.append((np.frombuffer(r["i"], np.int64), np.frombuffer(r["v"]).reshape(-1, dim)))
+        count += len(held[-1][0])
+        if count >= size:
+            ids, rows = joined()
+            for lo in range(0, count - size + 1, size):
+                yield ids[lo : lo + size], rows[lo : lo + size]
+            held = [(ids[count - count % size :], rows[count - count % size :])]
+            count %= size
+    if count:
+        yield joined()
