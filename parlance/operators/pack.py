@@ -32,6 +32,17 @@ def pack_array(costs: Column, budget: int, cap: int | None = None) -> Column:
     return bins(costs.cast("array<bigint>"))
 
 
+def bin_totals(costs: Column, bins: Column) -> Column:
+    """One struct (batch, items, cost) for each bin of a row's own arrays, as pack_array fills them: without taking the row apart."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(bins)), lambda i: (i == 1) | (F.element_at(bins, F.greatest(i - 1, F.lit(1))) != F.element_at(bins, i)))
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(bins) + 1))
+    own = lambda z, i: F.struct(
+        i.alias("batch"), (z["end"] - z["begin"]).cast("long").alias("items"),
+        F.aggregate(F.slice(costs, z["begin"], z["end"] - z["begin"]), F.lit(0).cast("long"), lambda a, c: a + c).alias("cost"),
+    )
+    return F.when(F.size(bins) > 0, F.transform(F.arrays_zip(begins.alias("begin"), ends.alias("end")), own))
+
+
 def greedy_pack(items: DataFrame, group: str, order: str, cost: str, *, budget: int, cap: int | None = None, out: str = "batch") -> DataFrame:
     """items with the number of each one's bin inside its group, from 0 in the items' order.
 

@@ -57,8 +57,8 @@ def line_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").where(T.js_trim(F.col("text")) != "")
     costs = F.transform(F.split("text", "\n"), lambda x: T.utf16_length(x) + 1)
     packed = docs.select("doc_id", costs.alias("costs")).withColumn("bins", pack.pack_array(F.col("costs"), 2000))
-    lines = packed.select("doc_id", F.explode(F.arrays_zip("costs", "bins")).alias("z"))
-    return lines.groupBy("doc_id", F.col("z.bins").alias("batch")).agg(F.count("*").alias("lines"), F.sum("z.costs").cast("long").alias("chars"))
+    totals = packed.select("doc_id", F.explode(pack.bin_totals(F.col("costs"), F.col("bins"))).alias("z"))
+    return totals.select("doc_id", "z.batch", F.col("z.items").alias("lines"), F.col("z.cost").alias("chars"))
 
 
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
