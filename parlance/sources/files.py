@@ -98,11 +98,13 @@ def read_bytes(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFram
         return spark.createDataFrame([], "path string, length long, content binary")
     literal = [f"{base}/" + "".join("\\" + c if c in "*?[]{}\\" else c for c in n) for n in names]
     found = spark.read.format("binaryFile").load(literal).select(F.substr("path", F.lit(len(base) + 2)).alias("path"), "length", "content")
-    empty = []
-    for n in names:
-        fs, p = _open(spark, f"{base}/{n}")
-        if fs.getFileStatus(p).getLen() == 0:
-            empty.append((n, 0, b""))
+    sizes: dict[str, int] = {}
+    for folder in sorted({posixpath.dirname(n) for n in names}):  # one call for each folder, not for each file
+        fs, p = _open(spark, f"{base}/{folder}" if folder else base)
+        sizes |= {posixpath.join(folder, s.getPath().getName()): s.getLen() for s in fs.listStatus(p) if s.isFile()}
+    if missing := [n for n in names if n not in sizes]:
+        raise FileNotFoundError(f"no such file: {missing[0]!r} under {root!r}")
+    empty = [(n, 0, b"") for n in names if not sizes[n]]
     return found.unionByName(spark.createDataFrame(empty, "path string, length long, content binary"))
 
 
