@@ -103,13 +103,11 @@ def test_blocks_do_not_depend_on_batches(spark, monkeypatch, tmp_path):
     records, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(records), spark.conf.get(size)
     try:
-        for rows, limit in ((10000, "64m"), (7, "64m"), (10000, "30k"), (10000, "7k")):
+        for rows, limit, columns, share in ((10000, "64m", ["id", "text"], None), (7, "64m", ["id", "text", "wide"], common), (10000, "30k", ["id", "text"], common), (10000, "7k", ["id", "text", "wide"], None)):
             spark.conf.set(records, rows)
             spark.conf.set(size, limit)
-            for columns in (["id", "text"], ["id", "text", "wide"]):
-                for share in (None, common):
-                    got = {r.id: (r.e, r.n) for r in quality_kn.score(spark.read.parquet(path).select(*columns), kept, unseen, common=share).collect()}
-                    assert len(got) == len(want) and all(got[i][1] == n and abs(got[i][0] - e) < 1e-9 for i, (e, n) in want.items())
+            got = {r.id: (r.e, r.n) for r in quality_kn.score(spark.read.parquet(path).select(*columns), kept, unseen, common=share).collect()}
+            assert len(got) == len(want) and all(got[i][1] == n and abs(got[i][0] - e) < 1e-9 for i, (e, n) in want.items())
     finally:
         spark.conf.set(records, before[0])
         spark.conf.set(size, before[1])
