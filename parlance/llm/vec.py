@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of text worked on at once; a longer text makes a block of its own.
 BLOCK = 1 << 19
@@ -20,6 +21,10 @@ try:
 except (AttributeError, OSError):  # not every C library has it
     _trim = None
 
+if TaskContext.get() is not None:
+    # in a worker, Arrow's own pools would keep their peak; what comes from the system is given back to it
+    pa.set_memory_pool(pa.system_memory_pool())
+
 _U = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
