@@ -5,6 +5,9 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
+
+from ..sources.pdf_objects import Name, Ref, Stream, said, written
 
 ITEMS = ("one", "two")
 
@@ -137,9 +140,8 @@ def office_document(kind: str, name: str) -> bytes:
 
 def _text_stream(lines: list[str], wide: bool) -> bytes:
     """A page's operators: one line of text after another. Wide text is in codes of two bytes that only a map explains."""
-    said = lambda s: b"<" + "".join(f"{ord(c) + 1:04x}" for c in s).encode() + b">" if wide else b"(" + s.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
-    shown = b" T* ".join(said(s) + b" Tj" for s in lines)
-    return b"BT /F1 12 Tf 14 TL 72 720 Td " + shown + b" ET"
+    shown = lambda s: b"<" + "".join(f"{ord(c) + 1:04x}" for c in s).encode() + b">" if wide else b"(" + s.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
+    return b"BT /F1 12 Tf 14 TL 72 720 Td " + b" T* ".join(shown(s) + b" Tj" for s in lines) + b" ET"
 
 
 def _wide_font(pages: list[list[str]]) -> bytes:
@@ -153,10 +155,6 @@ def pdf_document(pages: list[list[str]], bookmarks: list[tuple[str, object]] | N
     """A PDF of pages of lines. Bookmarks are (title, page number from 1, or a name such as "p3"); nested ones lie under a single one.
 
     packed: objects in a compressed stream, with a cross-reference stream; else a plain table and plain streams."""
-    import zlib
-
-    from ..sources.pdf_objects import Name, Ref, Stream, written
-
     n = len(pages)
     page = lambda i: Ref(10 + 2 * i, 0)
     objects: dict[int, object] = {
@@ -193,15 +191,11 @@ def pdf_document(pages: list[list[str]], bookmarks: list[tuple[str, object]] | N
 
 
 def _packed(objects: dict[int, object]) -> bytes:
-    import zlib
-
-    from ..sources.pdf_objects import Name, Ref, Stream, _said
-
     inside = {k: v for k, v in objects.items() if not isinstance(v, Stream)}
     body, heads = b"", []
     for num, x in inside.items():
         heads.append(f"{num} {len(body)}")
-        body += _said(x) + b" "
+        body += said(x) + b" "
     head = (" ".join(heads) + " ").encode()
     holder, table = max(objects) + 1, max(objects) + 2
     out, rows = bytearray(b"%PDF-1.5\n"), {0: (0, 0, 65535)} | {num: (2, holder, i) for i, num in enumerate(inside)}
@@ -209,7 +203,7 @@ def _packed(objects: dict[int, object]) -> bytes:
     streams[holder] = Stream({"Type": Name("ObjStm"), "N": len(inside), "First": len(head), "Filter": Name("FlateDecode")}, zlib.compress(head + body))
     for num, s in streams.items():
         rows[num] = (1, len(out), 0)
-        out += b"%d 0 obj\n" % num + _said(s.head | {"Length": len(s.raw)}) + b"\nstream\r\n" + s.raw + b"\nendstream\nendobj\n"
+        out += b"%d 0 obj\n" % num + said(s.head | {"Length": len(s.raw)}) + b"\nstream\r\n" + s.raw + b"\nendstream\nendobj\n"
     rows[table] = (1, len(out), 0)
     width = 7
     raw = b"".join(bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(2, "big") for a, b, c in (rows.get(i, (0, 0, 0)) for i in range(table + 1)))
@@ -222,5 +216,5 @@ def _packed(objects: dict[int, object]) -> bytes:
     packed = zlib.compress(bytes(coded))
     about = {"Type": Name("XRef"), "Size": table + 1, "W": [1, 4, 2], "Root": Ref(1, 0), "Filter": Name("FlateDecode"), "DecodeParms": {"Predictor": 12, "Columns": width}, "Length": len(packed)}
     at = len(out)
-    out += b"%d 0 obj\n" % table + _said(about) + b"\nstream\n" + packed + b"\nendstream\nendobj\n"
+    out += b"%d 0 obj\n" % table + said(about) + b"\nstream\n" + packed + b"\nendstream\nendobj\n"
     return bytes(out + b"startxref\n%d\n%%%%EOF\n" % at)

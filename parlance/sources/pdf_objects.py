@@ -414,7 +414,7 @@ class Pdf:
 # writing
 
 
-def _said(x: object) -> bytes:
+def said(x: object) -> bytes:
     if x is None or x is True or x is False:
         return {None: b"null", True: b"true", False: b"false"}[x]
     if isinstance(x, Ref):
@@ -424,9 +424,9 @@ def _said(x: object) -> bytes:
     if isinstance(x, bytes):
         return b"<" + x.hex().encode() + b">"
     if isinstance(x, list):
-        return b"[" + b" ".join(map(_said, x)) + b"]"
+        return b"[" + b" ".join(map(said, x)) + b"]"
     if isinstance(x, dict):
-        return b"<<" + b" ".join(_said(Name(k)) + b" " + _said(v) for k, v in x.items()) + b">>"
+        return b"<<" + b" ".join(said(Name(k)) + b" " + said(v) for k, v in x.items()) + b">>"
     if isinstance(x, float):
         return f"{x:.6f}".rstrip("0").rstrip(".").encode()
     return str(x).encode()
@@ -438,13 +438,13 @@ def written(objects: dict[int, object], root: int) -> bytes:
     for num in sorted(objects):
         places[num] = len(out)
         x = objects[num]
-        body = _said(x) if not isinstance(x, Stream) else _said(x.head | {"Length": len(x.raw)}) + b"\nstream\n" + x.raw + b"\nendstream"
+        body = said(x) if not isinstance(x, Stream) else said(x.head | {"Length": len(x.raw)}) + b"\nstream\n" + x.raw + b"\nendstream"
         out += b"%d 0 obj\n" % num + body + b"\nendobj\n"
     at, size = len(out), max(objects) + 1
     out += b"xref\n0 %d\n" % size
     for num in range(size):
         out += b"%010d 00000 n \n" % places[num] if num in places else b"0000000000 65535 f \n"
-    return bytes(out + b"trailer\n" + _said({"Size": size, "Root": Ref(root, 0)}) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
+    return bytes(out + b"trailer\n" + said({"Size": size, "Root": Ref(root, 0)}) + b"\nstartxref\n%d\n%%%%EOF\n" % at)
 
 
 def split(pdf: Pdf, first: int, last: int) -> bytes:
