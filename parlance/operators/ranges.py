@@ -158,7 +158,9 @@ def page_offset(candidates: DataFrame, pages: DataFrame, id_col: str = "doc_id",
 
 
 def select_pages(pages: DataFrame, wanted: list[int] | None = None, first: int | None = None, last: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Rows of pages (id, page_no) that are chosen: by number; or from first to last; first alone is so many from the start, last alone so many from the end."""
+    """Rows of pages (id, page_no) that are chosen: by number; or from first to last; first alone is so many from the start, last alone so many from the end.
+
+    Documents' numbers of pages are joined by sorting: there may be as many as rows, and Spark's estimates do not see pages that were spelled out."""
     page = F.col("page_no")
     if wanted is not None:
         return pages.where(page.isin(*wanted)) if wanted else pages.limit(0)
@@ -169,7 +171,7 @@ def select_pages(pages: DataFrame, wanted: list[int] | None = None, first: int |
     if last is None:
         return pages
     total = pages.groupBy(id_col).agg(F.max("page_no").alias("_total"))
-    return pages.join(total, id_col).where(page > F.col("_total") - last).select(*pages.columns)
+    return pages.join(total.hint("merge"), id_col).where(page > F.col("_total") - last).select(*pages.columns)
 
 
 def range_pages(ranges: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -181,7 +183,7 @@ def range_pages(ranges: DataFrame, pages: DataFrame, id_col: str = "doc_id") ->
     order = Window.partitionBy(id_col).orderBy("start_page", "end_page", "title")
     told = ranges.where("start_page <= end_page").select(id_col, "title", "start_page", "end_page", F.row_number().over(order).alias("part"))
     spelled = told.select(id_col, "part", "title", F.explode(F.sequence(F.col("start_page").cast("int"), F.col("end_page").cast("int"))).alias("page_no"))
-    return pages.drop("part", "title").join(spelled, [id_col, "page_no"])
+    return pages.drop("part", "title").join(spelled.hint("merge"), [id_col, "page_no"])
 
 
 def plan_parts(pages: DataFrame, totals: DataFrame, outline: DataFrame, least: int = 2, most: int = 20, scanned: int = 10, id_col: str = "doc_id") -> DataFrame:

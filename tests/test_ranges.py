@@ -17,3 +17,13 @@ def test_plan_ranges(spark):
     windows = spark.createDataFrame([(d, None, 1, 9) for d in (1, 2, 3, 4)], RANGES)
     got = {(r.doc_id, r.plan, r.start_page) for r in ranges.plan_ranges(outline, toc, windows).collect()}
     assert got == {(1, "outline", 1), (1, "outline", 5), (2, "toc", 1), (2, "toc", 3), (3, "windows", 1), (4, "windows", 1)}
+
+
+def test_pages_are_never_broadcast(spark, capsys):
+    pages = spark.range(3).selectExpr("id AS doc_id", "explode(sequence(1, 50)) AS page_no")  # Spark takes it for three rows
+    parts = spark.range(3).selectExpr("id AS doc_id", "'t' AS title", "1 AS start_page", "50 AS end_page")
+    for df, n in ((ranges.select_pages(pages, last=3), 9), (ranges.range_pages(parts, pages), 150)):
+        assert df.count() == n
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
