@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranges
 from ..sources import files, ocr, pdf, sinks
+from ..sources.notes import Notes
 from . import parts, samples
 from .queries import _read, query
 from .run_queries import checked, shout
@@ -121,22 +122,28 @@ def run_pdf_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Service:
-    """A stand-in for the service: refuses every second document once for haste, and needs two checks."""
+    """A stand-in for the service: refuses every second document once for haste, and needs two checks.
 
-    def __init__(self):
-        self.seen, self.held = {}, {}
+    What was submitted lies in a shared folder, as the service is one for all streams: equal contents that two of them meet have one
+    ticket, and whoever holds it may ask."""
+
+    def __init__(self, held: Notes):
+        self.seen, self.held = {}, held
 
     def submit(self, name: str, content: bytes) -> tuple[int, dict]:
         self.seen[name] = self.seen.get(name, 0) + 1
         if self.seen[name] == 1 and int(name.partition(".")[0]) % 2:
             return ocr.BUSY, {}
         texts, why = pdf.page_texts(content)
-        self.held[name] = {"status": "complete", "success": why is None, "error": why, "markdown": "\n\n".join(t for t in texts if t), "page_count": len(texts)}
+        self.held.put(name, {"status": "complete", "success": why is None, "error": why, "markdown": "\n\n".join(t for t in texts if t), "page_count": len(texts)})
         return ocr.OK, {"success": True, "request_check_url": name}
 
     def check(self, url: str) -> tuple[int, dict]:
         self.seen[url] = self.seen.get(url, 0) + 10
-        return ocr.OK, self.held[url] if self.seen[url] > 20 else {"status": "processing"}
+        if self.seen[url] <= 20:
+            return ocr.OK, {"status": "processing"}
+        found = self.held.get(url)
+        return (404, {}) if found is None else (ocr.OK, found)
 
     def fetch(self, url: str) -> tuple[int, dict]:
         return 404, {}
@@ -150,4 +157,4 @@ def remote_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{files.shared_folder(spark)}/parlance-{uuid.uuid4().hex}"
     wrote = sinks.write_documents(_files(spark, sf_dir), f"{root}/in")
     paths = [r.path for r in wrote.select("path").collect()]
-    return ocr.ocr_documents(spark, f"{root}/in", paths, Service(), f"{root}/notes", pace=ocr.Pace(backoff=0.01, poll=0.01))
+    return ocr.ocr_documents(spark, f"{root}/in", paths, Service(Notes(files.store_uri(spark, f"{root}/service"))), f"{root}/notes", pace=ocr.Pace(backoff=0.01, poll=0.01))

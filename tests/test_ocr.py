@@ -129,3 +129,23 @@ def test_source(spark, tmp_path):
         ocr.ocr_documents(spark, root, ["../x"], Stub(str(tmp_path)), notes)
     flags = spark.createDataFrame([(True,), (False,), (None,)], "flag boolean")
     assert [r[0] for r in flags.select(ocr.use_remote_column(flags["flag"], "k")).collect()] == [True, False, True]
+
+
+def test_equal_contents_in_two_streams(tmp_path):
+    from parlance.plans import samples
+    from parlance.plans.pdf_queries import Service
+
+    scanned, shown = samples.pdf_document([[]], None), samples.pdf_document([["a"]], None)
+    held, notes, clock = Notes(f"file://{tmp_path}/service"), Notes(f"file://{tmp_path}/notes"), Clock()
+
+    class Lost(Exception):
+        pass
+
+    def lost(seconds):
+        raise Lost
+
+    for content, end in ((scanned, None), (shown, "a")):
+        with pytest.raises(Lost):  # the first stream has submitted, and waits
+            ocr.Conversion(Service(held), notes, ocr.Pace(), clock.now, lost).convert("4.pdf", content)
+        text, _, why = ocr.Conversion(Service(held), notes, ocr.Pace(), clock.now, clock.sleep).convert("46.pdf", content)
+        assert text == end and (why is None) == (end is not None)
