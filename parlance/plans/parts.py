@@ -6,6 +6,7 @@ items (ord, key, value, of the kinds with entries or cues), start_page, end_page
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from ..operators.pack import greedy_pack
 from ..operators.ranges import plan_parts, range_pages
 from ..operators.structured import flatten_html, flatten_json, rebuild_html_docs, rebuild_json_docs
 from ..operators.subtitles import cues_of, rebuild_subtitles
+from ..sources.notes import Notes
 from ..sources.pdf import pdf_outlines, pdf_pages
 from .localize import ISSUES, TERMS, assemble_text
 from .store import ReplyStore, digest, part_key
@@ -164,45 +166,88 @@ def translate(parts: DataFrame, translator: Translator, seeds: DataFrame | None
     parts proposed, so the fold is one group a run; runs are apart. An empty text, and an entry that is not returned, keep
     the source; keys that were not asked for are dropped.
 
-    The translator is asked once for each part under its glossary and `settings`, which stand for whatever else changes a
-    reply. What the store has is not asked again, by this run or another; without a store this call has one of its own."""
-    spark = parts.sparkSession
-    store = store or ReplyStore.temporary(spark)
+    The translator is asked once for each part of a run under its glossary and `settings`, which stand for whatever else changes a
+    reply. What the store had when this was called is not asked again, by this run or another; without a store this call has one
+    of its own."""
+    store = store or ReplyStore.temporary(parts.sparkSession)
     journal = store.journal("translations")
     schema = parts.select("run_id", "part_index").schema
     asked = parts.select("run_id", "part_index", "kind", "content", "items", part_key(settings, "kind", "content", "items").alias("part_key"))
-    if seeds is not None:
-        asked = asked.join(_glossaries(seeds, "seeds"), "run_id", "left")
     out = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, translation string, pairs {PAIRS}, proposed {TERMS.simpleString()}"
 
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        first = run["seeds"].iloc[0] if "seeds" in run else None
+    def fold(run: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        earlier = known[known["reply"].notna()]
+        told = {(p, g): json.loads(x) for p, g, x in zip(earlier["part_key"], earlier["prior_key"], earlier["reply"], strict=True)}
         terms: dict[str, Term] = {}
-        for t in first if first is not None else ():
-            terms.setdefault(trim(t["source"]).lower(), (t["source"], t["target"], t["notes"]))
+        prior = ""
+
+        def add(t: Term) -> None:
+            nonlocal prior
+            if (key := trim(t[0]).lower()) not in terms:
+                terms[key] = t
+                prior = digest(prior, t)
+
+        for t in known[known["reply"].isna()].sort_values(["ord", "source", "target", "notes"], na_position="first").itertuples():
+            add((t.source, t.target, t.notes))
         rows = []
-        for r in run.sort_values("part_index").itertuples():
-            pairs, known = _pairs(r.items), list(terms.values())
-            prior = digest(known)
-            if (reply := journal.get(r.part_key, prior)) is None:
-                got, new = translator(r.kind, r.content if pairs is None else pairs, known)
-                journal.put(r.part_key, prior, reply := [got, [list(t) for t in new]])
-            got, new = reply[0], [tuple(t) for t in reply[1]]
-            for t in new:
-                terms.setdefault(trim(t[0]).lower(), t)
-            told = [{"source": s, "target": t, "notes": n} for s, t, n in new]
-            if pairs is None:
-                rows.append((r.run_id, r.part_index, got or r.content, None, told))
-            else:
-                rows.append((r.run_id, r.part_index, None, [{"key": k, "translation": v if (x := got.get(k)) is None else x} for k, v in pairs], told))
+        with journal.open() as log:
+            for r in run.sort_values("part_index").itertuples():
+                pairs, before = _pairs(r.items), prior
+                if (reply := told.get((r.part_key, before), log.get(r.part_key, before))) is None:
+                    got, new = translator(r.kind, r.content if pairs is None else pairs, list(terms.values()))
+                    log.put(r.part_key, before, reply := [got, [list(t) for t in new]])
+                    told[r.part_key, before] = reply
+                got, new = reply[0], [tuple(t) for t in reply[1]]
+                for t in new:
+                    add(t)
+                proposed = [{"source": s, "target": t, "notes": n} for s, t, n in new]
+                if pairs is None:
+                    rows.append((r.run_id, r.part_index, got or r.content, None, proposed))
+                else:
+                    rows.append((r.run_id, r.part_index, None, [{"key": k, "translation": v if (x := got.get(k)) is None else x} for k, v in pairs], proposed))
         return pd.DataFrame(rows, columns=["run_id", "part_index", "translation", "pairs", "proposed"])
 
-    return store.settled(parts.join(asked.groupBy("run_id").applyInPandas(fold, out), ["run_id", "part_index"]), "translated")
+    known = _known(asked, seeds, store.replies("translations"))
+    folded = asked.groupBy("run_id").cogroup(known.groupBy("run_id")).applyInPandas(fold, out)
+    return store.settled(parts.join(folded, ["run_id", "part_index"]), "translated")
+
+
+def _known(asked: DataFrame, seeds: DataFrame | None, replies: DataFrame | None) -> DataFrame:
+    """What a run starts with, a row each: its seed terms, and replies that its parts' contents had earlier, under whatever glossary."""
+    kind = asked.schema["run_id"].dataType
+    terms, told = ("ord", "source", "target", "notes"), ("part_key", "prior_key", "reply")
+    nothing = lambda *names: [F.lit(None).cast("long" if c == "ord" else "string").alias(c) for c in names]
+    if seeds is None:
+        seeds = asked.limit(0).select("run_id", *nothing(*terms))
+    known = seeds.select(F.col("run_id").cast(kind).alias("run_id"), F.col("ord").cast("long").alias("ord"), *terms[1:], *nothing(*told))
+    if replies is None:
+        return known
+    own = asked.select("run_id", "part_key").distinct().join(replies, "part_key")
+    return known.unionByName(own.select("run_id", *nothing(*terms), *told))
 
 
 REVIEW = "struct<text: string, pairs: map<string, string>, issues: array<struct<severity: string, description: string>>>"
 
 
+#: Fixed value: into so many shares each run's parts go at most when they are reviewed.
+SHARES = 16
+
+
+def _noted(terms: DataFrame, notes: Notes, store: ReplyStore) -> DataFrame:
+    """run_id and terms_key of each run's terms (run_id, ord, source, target, notes), which lie in a note of that name. One row a run is
+    joined to its parts, not the glossary, which grows with them."""
+    known = F.transform("terms", lambda t: F.array(t["source"], t["target"], t["notes"]))
+    told = _glossaries(terms, "terms").select("run_id", known.alias("terms")).withColumn("terms_key", F.sha2(F.to_json("terms", {"ignoreNullFields": "false"}), 256))
+
+    def note(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, rows in zip(b["terms_key"], b["terms"], strict=True):
+                notes.put(key, [list(t) for t in rows])
+            yield b[["run_id", "terms_key"]]
+
+    return store.settled(told.mapInPandas(note, told.select("run_id", "terms_key").schema), "glossaries")
+
+
 def review(translated: DataFrame, editor: Editor | None, terms: DataFrame | None = None, store: ReplyStore | None = None, settings: str = "") -> DataFrame:
     """translated with corrected texts and pairs in place, and issues, under each run's final terms (run_id, ord, source, target, notes).
 
@@ -212,30 +257,38 @@ def review(translated: DataFrame, editor: Editor | None, terms: DataFrame | None
     if editor is None:
         return translated.withColumn("issues", F.array().cast(ISSUES))
     store = store or ReplyStore.temporary(translated.sparkSession)
-    journal = store.journal("reviews")
-    final = translated.withColumn("terms", F.lit(None).cast("array<struct<ord: long, source: string, target: string, notes: string>>"))
+    earlier = store.replies("reviews")
+    journal, final = store.journal("reviews"), store.notes("glossaries")
+    keyed = translated.withColumn("part_key", part_key(settings, "kind", "content", "items")).withColumn("terms_key", F.lit(None).cast("string"))
     if terms is not None:
-        final = translated.join(_glossaries(terms, "terms"), "run_id", "left")
-    known = F.transform("terms", lambda t: F.struct(t["source"], t["target"], t["notes"]))
+        keyed = keyed.drop("terms_key").join(_noted(terms, final, store), "run_id", "left")
     keys = ["part_key", "prior_key"]
-    keyed = final.withColumn("part_key", part_key(settings, "kind", "content", "items")).withColumn("_known", known)
-    keyed = keyed.withColumn("prior_key", part_key(settings, "translation", "pairs", "_known"))
-    todo = keyed.select(*keys, "kind", "content", "items", "translation", "pairs", "terms").dropDuplicates(keys).join(store.replies("reviews").select(*keys), keys, "left_anti")
+    keyed = keyed.withColumn("prior_key", part_key(settings, "translation", "pairs", "terms_key"))
+    todo = keyed.select(*keys, "terms_key", "kind", "content", "items", "translation", "pairs")
+    if earlier is not None:
+        todo = todo.join(earlier.select(*keys), keys, "left_anti")
+    share = F.pmod(F.xxhash64(*keys), F.lit(SHARES)).alias("share")  # a run's parts lie in few tasks, each of which reads its glossary once
+    todo = todo.select("*", share).repartition("terms_key", "share").dropDuplicates(["terms_key", "share", *keys]).sortWithinPartitions("terms_key")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                if journal.get(r.part_key, r.prior_key) is not None:  # a task that runs again
-                    continue
-                known = [] if r.terms is None else [(t["source"], t["target"], t["notes"]) for t in r.terms]
-                given = None if r.pairs is None else [(p["key"], p["translation"]) for p in r.pairs]
-                got, found = editor(r.kind, r.content if given is None else _pairs(r.items), r.translation if given is None else given, known)
-                issues = [{"severity": s, "description": d} for s, d in found]
-                journal.put(r.part_key, r.prior_key, {"text": got, "issues": issues} if given is None else {"pairs": got, "issues": issues})
-            yield b[["part_key"]].iloc[:0]
+        at, known = None, []
+        with journal.open() as log:
+            for b in batches:
+                for r in b.itertuples():
+                    if log.get(r.part_key, r.prior_key) is not None:  # a task that runs again
+                        continue
+                    if r.terms_key != at:
+                        at, known = r.terms_key, [] if r.terms_key is None else [tuple(t) for t in final.get(r.terms_key)]
+                    given = None if r.pairs is None else [(p["key"], p["translation"]) for p in r.pairs]
+                    got, found = editor(r.kind, r.content if given is None else _pairs(r.items), r.translation if given is None else given, list(known))
+                    issues = [{"severity": s, "description": d} for s, d in found]
+                    log.put(r.part_key, r.prior_key, {"text": got, "issues": issues} if given is None else {"pairs": got, "issues": issues})
+                yield b[["part_key"]].iloc[:0]
 
     todo.mapInPandas(ask, "part_key string").write.format("noop").mode("overwrite").save()
-    replies = store.replies("reviews").select(*keys, F.from_json("reply", REVIEW).alias("_r"))
+    replies = store.replies("reviews")
+    replies = translated.limit(0).select(*[F.lit("").alias(c) for c in (*keys, "reply")]) if replies is None else replies
+    replies = replies.select(*keys, F.from_json("reply", REVIEW).alias("_r"))
     kept = [c for c in translated.columns if c not in ("translation", "pairs")]
     text = F.coalesce(F.nullif(F.col("_r.text"), F.lit("")), F.col("translation"))
     pairs = F.transform("pairs", lambda p: F.struct(p["key"].alias("key"), F.coalesce(F.element_at("_r.pairs", p["key"]), p["translation"]).alias("translation")))

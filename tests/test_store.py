@@ -5,7 +5,7 @@ import os
 import pytest
 
 from parlance.plans import parts
-from parlance.plans.store import ReplyStore
+from parlance.plans.store import Log, ReplyStore
 
 DOCS = "run_id string, source_index int, kind string, content string"
 SEEDS = "run_id string, ord int, source string, target string, notes string"
@@ -83,3 +83,31 @@ def test_plans_of_paged_documents(spark):
     made = spark.createDataFrame([(r, s, k, i) for r, s, k, i in rows], "run_id string, source_index int, kind string, part_index int")
     ranges = spark.createDataFrame([("r", 0, "outline"), ("r", 0, "outline"), ("r", 1, "windows"), ("s", 0, "toc")], "run_id string, source_index int, plan string")
     assert {tuple(r) for r in parts.part_sources(made, ranges).collect()} == {("r", "multi-document:outline+headings,windows"), ("s", "toc")}
+
+
+def test_files_and_glossaries_do_not_grow_with_each_part(spark, tmp_path):
+    def brief(kind, body, terms):
+        return "t", [(f"n{len(terms)} {'x' * 1000}", "x", None)]
+
+    def editor(kind, source, translation, terms):
+        return "", [("low", str(len(terms)))]
+
+    root, n = tmp_path / "store", 60
+    docs = spark.createDataFrame([(f"r{i % 3}", i, "text", f"body {i}") for i in range(3 * n)], DOCS)
+    for _ in range(2):
+        made = parts.run(docs, brief, editor, spark.createDataFrame([], SEEDS), store=ReplyStore(spark, str(root)))
+        assert {r.description for r in made.issues().collect()} == {str(n)}
+    files = [f for stage in ("translations", "reviews") for f in (root / stage).rglob("*.json")]
+    assert 2 <= len(files) < n  # not one a reply
+    assert sum(f.stat().st_size for f in files) < 2 * 3 * n * 1600  # replies alone, without the glossary of 60 KB before each
+    assert len(list((root / "glossaries").rglob("*.json"))) == 1  # the runs end with equal ones
+
+
+def test_replies_of_a_lost_attempt(tmp_path):
+    uri = f"file://{tmp_path}/log"
+    for attempt in (7, 8):
+        with Log(uri, 1, attempt) as log:
+            assert log.get("p", "g") == (["a"] if attempt == 8 else None) and log.get("q", "g") is None
+            log.put("p", "g", ["a"])
+            log.out.write(b'{"part_key": "q", "prior_k')  # it dies here
+    assert Log(uri, 2, 9).get("p", "g") is None
