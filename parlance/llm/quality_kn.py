@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-N-grams are of characters. Spark counts them over a bounded sample of trusted rows and interpolates the orders by joins, so
-that the model is a table in hash shards. To score documents, they are packed into blocks; each block asks once for every
+N-grams are of characters. Spark counts them over all trusted rows but those that set the limits, and interpolates the orders by
+joins, so that the model is a table in hash shards. To score documents, they are packed into blocks; each block asks once for every
 distinct n-gram that it holds, a sharded join answers with log probabilities and back-off weights, and the answers meet their
 block again. The limits are quantiles for each language, over all trusted rows that were kept out of the counts.
 """
@@ -74,7 +74,8 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 s = _sequences(data, offsets)
                 at = vec.ragged(s.first[:-1] + ORDER - 1, s.lengths())
                 if len(at):
-                    grams, n = np.unique(np.ascontiguousarray(s.symbols[at[:, None] + np.arange(1 - ORDER, 1)]).view(f"<U{ORDER}").ravel(), return_counts=True)
+                    _, one, n = np.unique(vec.mix(char_lm.rolling(s.symbols, ORDER)[-1][at] + char_lm.SALTS[ORDER]), return_index=True, return_counts=True)
+                    grams = np.ascontiguousarray(s.symbols[at[one, None] + np.arange(1 - ORDER, 1)]).view(f"<U{ORDER}").ravel()
                     yield pa.RecordBatch.from_arrays([pa.array(grams.tolist(), pa.string()), pa.array(n)], ["gram", "n"])
 
     return texts.mapInArrow(scan, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -304,26 +305,25 @@ def quantiles(rows: DataFrame, value: Column, q: float) -> dict[str | None, floa
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_language: int = 1500, quantile: float = 0.9995, prior: float = 800, lang_col: str = "lang", label_col: str = "quality") -> QualityModel | None:
+def train(docs: DataFrame, labels: DataFrame, held: int = 3, quantile: float = 0.9995, prior: float = 800, lang_col: str = "lang", label_col: str = "quality") -> QualityModel | None:
     """Learns from trusted documents (rows of labels with label_col over 0); None without any.
 
-    About per_language of each language are counted, and two of three at most. A language's limit is the quantile over all its
-    other trusted rows."""
+    Every trusted row has a part: one of `held`, by the hash of its id, is kept out of the counts and sets the limits, and the n-grams of
+    all others are counted. A language's limit is the quantile over all its rows that were kept out."""
     spark = docs.sparkSession
     trusted = labels.where(F.col(label_col) > 0).select(F.col("doc_id").alias("_id")).distinct()
     marked = docs.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.col(lang_col), F.lit("")).alias("c"), "text")
-    # ids first, so that only the sample's texts are moved
-    ids = char_lm.stratified(marked.select("doc_id", "c").join(trusted, F.col("doc_id") == F.col("_id"), "left_semi"), "c", per_language, most=2 / 3)
-    chosen = spark.createDataFrame([(i,) for i in sorted({r["doc_id"] for r in ids.select("doc_id").distinct().collect()})], "_id long")
-    top = cut(count_grams(marked.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("text")))
+    out = F.pmod(F.xxhash64("_id"), F.lit(held)) == 0
+    counted, limiting = trusted.where(~out), trusted.where(out)
+    near = lambda ids: near_ids(marked, ids.select(F.col("_id").alias("id")), "doc_id")
+    top = cut(count_grams(near(counted).join(counted, F.col("doc_id") == F.col("_id"), "left_semi").select("text")))
     if not top.limit(1).count():
         return None
     table, unseen = interpolate(top)
     kept = cut(keyed(table))
     model = QualityModel(kept, common_grams(top, kept), unseen, prior, {None: 0.0}, {})
-    measured = score(near_ids(marked, trusted.select(F.col("_id").alias("id")), "doc_id"), model.table, unseen, common=model.common)
-    other = measured.join(trusted, F.col("doc_id") == F.col("_id"), "left_semi").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_anti").where("n > 0")
-    other = cut(other.select("c", "e", "n"))
+    measured = score(near(limiting), model.table, unseen, common=model.common)
+    other = cut(measured.join(limiting, F.col("doc_id") == F.col("_id"), "left_semi").where("n > 0").select("c", "e", "n"))
     release(spark)  # the blocks' shuffle
     model.medians |= quantiles(other, F.col("e"), 0.5)
     model.limits = quantiles(other, model.shrunk(F.col("c")), quantile)

@@ -180,3 +180,15 @@ def test_held_out_labels(spark):
     assert good >= 0.93 and bad >= 0.8
     good, bad = agreement(quality_rules.judge(docs, quality_rules.train(docs, labels.where(fitted))).select("doc_id", "kept"), labels, fitted)
     assert good >= 0.93 and bad >= 0.8
+
+
+def test_all_trusted_rows_are_used(spark, monkeypatch):
+    n, seen = 3000, []
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.hex(F.col("id") * 7919)).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    count, quantiles = quality_kn.count_grams, quality_kn.quantiles
+    monkeypatch.setattr(quality_kn, "count_grams", lambda texts: (seen.append(texts.count()), count(texts))[1])
+    monkeypatch.setattr(quality_kn, "quantiles", lambda rows, *more: (seen.append(rows.count()), quantiles(rows, *more))[1])
+    quality_kn.train(docs, labels)
+    counted, limiting, again = seen
+    assert counted + limiting == n and limiting == again and counted > 0.6 * n
