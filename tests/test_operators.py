@@ -154,3 +154,10 @@ def test_queries_have_rows(spark, name):
     import __spark_entry__ as entry
 
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_section_at_the_budget_stays_whole():
+    section = "## part\n\n" + "a\n\n" * 663 + "bc"
+    for n in (1998, 1999, 2000):
+        body = section[: n - 3] + "xyz"
+        assert len(body) == n and [len(c) for _, c in chunk.chunk_text("# s\n\n" + body, 2000)] == [3, n]
