@@ -389,6 +389,7 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     pairs = cut(met.select("x", "y").distinct())
     ends = lambda p: p.select(F.col("x").alias("node")).union(p.select(F.col("y").alias("node"))).distinct()
     told = cut(verify(pairs, fetch(docs, nodes, ends(pairs)), k, bands))
+    release(docs.sparkSession)  # the texts' shuffles
     found = components(told.where("linked").select("x", "y"))
     root_of = lambda df, name, out: df.join(found.select(F.col("node").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
     apart = cut(root_of(root_of(told.where("not linked").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry").select("x", "y"))
@@ -400,10 +401,12 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
         for look in range(LOOKS):
             failed = told.where("not linked").groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("failed"))
             more = cut(second_look(root_of(members, "node", "root"), nodes, failed, bands, look + 1 < LOOKS))
+            release(docs.sparkSession)  # the sketches' shuffles: a large group's go to each of its blocks
             new = more.select("x", "y").distinct()
             if not new.limit(1).count():
                 break
             late = cut(verify(new, fetch(docs, nodes, ends(new)), k, bands))
+            release(docs.sparkSession)
             told = told.union(late)
             links = late.where("linked").select("x", "y")
             if links.limit(1).count():
@@ -412,6 +415,7 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
             if not keys.limit(1).count():
                 break
             members = cut(members.join(keys, "key", "left_semi"))
+    release(docs.sparkSession)  # those of the components
     rooted = nodes.select("node", F.col("rep.id").alias("rep")).join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = cut(rooted.groupBy("root").agg(F.min("rep").alias("component")))  # cut, so that Spark can split a large root's side of the join
     label = rooted.join(smallest, "root").select("node", "component")

@@ -362,3 +362,14 @@ def test_neighbours_equal_brute_force(spark):
         hit += len(set(got[q]) & set(np.argsort(-s)[:5].tolist()))
     assert sorted(got) == list(range(0, 400, 20)) and hit / 100 >= 0.9
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_jaccard_releases_each_large_shuffle(spark, monkeypatch):
+    calls = []
+    for name in ("verify", "second_look", "release"):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), name=name: (calls.append(name), f(*a))[1])
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"x{n}" if i % 15 == 7 and i // 15 < n else w for i, w in enumerate(words)) for n in range(12)]
+    jaccard.link(frame(spark, texts), k=5, num=80, den=100).collect()
+    assert {"verify", "second_look"} <= set(calls)
+    assert all(b == "release" for a, b in zip(calls, calls[1:], strict=False) if a in ("verify", "second_look"))
