@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from parlance.operators import structured
@@ -95,3 +96,13 @@ def test_any_soup():
         structured.rebuild_html(raw, {p: "z" for p, *_ in found})
     deep = "<div>" * 3000 + "x" + "<b>" * 200 + "y"
     assert [v for _, v in structured.walk_html(deep)] == ["x", "y"]
+
+
+def test_entries_come_in_bounded_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([], "doc_id long, raw string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    scan = structured.flatten_html(docs)
+    page = "".join(f"<p>t{i}</p>" for i in range(6000)) + f"<p>{'x' * 2_000_000}</p><p>end</p>"
+    got = list(scan(iter([pa.record_batch({"doc_id": [7, 8, 9], "raw": [page, None, page]})])))
+    assert max(b.num_rows for b in got) <= 4096
+    assert [r for b in got for r in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)] == [(n, i, f"t-{i + 1}") for n in (7, 9) for i in range(6002)]
