@@ -70,7 +70,7 @@ def pdf_as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of two pages each, read again: each has the pages of its range and no others."""
     files = _files(spark, sf_dir)
-    totals = pdf.pdf_pages(files.drop("path")).groupBy("doc_id").agg(F.max("total_pages").alias("total_pages"))
+    totals = pdf.page_counts(files.drop("path"))
     cut = pdf.split_files(files, ranges.fixed_windows(totals, 2).withColumn("title", F.lit(None).cast("string")))
     back = pdf.pdf_pages(cut.select("doc_id", "path", "part", "content"))
     return back.where("reason is null").select("doc_id", F.concat(F.lit("talks-"), F.col("doc_id") % 2).alias("folder"), "path", "part", "page_no", "text", "total_pages")

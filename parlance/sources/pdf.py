@@ -159,6 +159,18 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return _read(files, "page_no int, text string, total_pages int, reason string", rows)
 
 
+def page_counts(files: DataFrame) -> DataFrame:
+    """files (content as bytes, any other columns) with total_pages for content; null where pages cannot be counted. No text is read."""
+
+    def rows(content: bytes | None) -> list[tuple]:
+        try:
+            return [(len(Pdf(content).pages()) or None if content is not None else None,)]
+        except (Unreadable, *_DAMAGED):
+            return [(None,)]
+
+    return _read(files, "total_pages int", rows)
+
+
 def pdf_outlines(files: DataFrame) -> DataFrame:
     """files (content as bytes, any other columns) by bookmark: ord, title, start_page and total_pages. Files that cannot be read, or have
     no bookmarks that lead to a page, have no rows."""
