@@ -6,11 +6,14 @@ items (ord, key, value, of the kinds with entries or cues), start_page, end_page
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,36 @@ ITEMS = "array<struct<ord: int, key: string, value: string>>"
 DOC = ("run_id", "source_index")
 COLUMNS = (*DOC, "kind", "ord", "title", "content", "items", "start_page", "end_page")
 
+
+class Glossary(Sequence[Term]):
+    """The terms that a list begins with, as they were when this was made: the list may only grow. Nothing is copied, as a run has a glossary for each part."""
+
+    __slots__ = ("terms", "n")
+
+    def __init__(self, terms: list[Term]):
+        self.terms, self.n = terms, len(terms)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[Term]:
+        return itertools.islice(self.terms, self.n)
+
+    def __getitem__(self, at: int | slice) -> Term | list[Term]:
+        found = range(self.n)[at]
+        return [self.terms[i] for i in found] if isinstance(at, slice) else self.terms[found]
+
+    def __eq__(self, other: object) -> bool:
+        return list(self) == list(other) if isinstance(other, (list, Glossary)) else NotImplemented
+
+    def __repr__(self) -> str:
+        return repr(list(self))
+
+
 #: (kind, content or items as (key, value), glossary so far) to (translation, or keys and translations; newly proposed terms).
-Translator = Callable[[str, object, list[Term]], tuple[object, list[Term]]]
+Translator = Callable[[str, object, Sequence[Term]], tuple[object, list[Term]]]
 #: (kind, source, translation, final glossary) to (corrected translation, issues as (severity, description)).
-Editor = Callable[[str, object, object, list[Term]], tuple[object, list[tuple[str, str]]]]
+Editor = Callable[[str, object, object, Sequence[Term]], tuple[object, list[tuple[str, str]]]]
 
 
 def _shaped(parts: DataFrame) -> DataFrame:
@@ -49,33 +78,37 @@ def _doc() -> Column:
     return F.struct(*DOC).alias("doc")
 
 
+def _with_kind(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """doc, which tells its kind too, and columns, dealt anew: rows of a small file may be much work."""
+    return docs.select(F.struct(*DOC, "kind").alias("doc"), *columns).repartition("doc")
+
+
 def text_parts(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Parts of docs (run_id, source_index, kind, content) by headings, blocks and lines."""
-    kinds = docs.select(_doc(), "kind")
-    pieces = chunk_documents(docs.select(_doc(), "content"), budget, "doc")
-    return _shaped(pieces.join(kinds, "doc").select("doc.*", "kind", F.col("part_index").alias("ord"), "title", "content"))
+    pieces = chunk_documents(_with_kind(docs, "content"), budget, "doc")
+    return _shaped(pieces.select("doc.*", F.col("part_index").alias("ord"), "title", "content"))
 
 
-def _batched(items: DataFrame, kinds: DataFrame, budget: int, most: int) -> DataFrame:
+def _batched(items: DataFrame, budget: int, most: int) -> DataFrame:
     """Parts of items (doc, ord, key, value, cost)."""
     batch = greedy_pack(items, "doc", "ord", "cost", budget=budget, cap=most)
     rows = F.array_sort(F.collect_list(F.struct("ord", "key", "value")))
-    return _shaped(batch.groupBy("doc", "batch").agg(rows.alias("items")).join(kinds, "doc").select("doc.*", "kind", F.col("batch").alias("ord"), "items"))
+    return _shaped(batch.groupBy("doc", "batch").agg(rows.alias("items")).select("doc.*", F.col("batch").alias("ord"), "items"))
 
 
 def entry_parts(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Parts of JSON bundles and web pages (run_id, source_index, kind, content): batches of entries."""
-    raw = lambda kind: docs.where(F.col("kind") == kind).select(_doc(), F.col("content").alias("raw"))
+    raw = lambda kind: _with_kind(docs.where(F.col("kind") == kind), F.col("content").alias("raw"))
     found = flatten_json(raw("json"), "doc").unionByName(flatten_html(raw("html"), "doc"))
     items = found.select("doc", "ord", F.col("pointer").alias("key"), "value", (utf16_length(F.col("pointer")) + utf16_length(F.col("value"))).alias("cost"))
-    return _batched(items, docs.select(_doc(), "kind"), budget, ENTRIES)
+    return _batched(items, budget, ENTRIES)
 
 
 def cue_parts(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Parts of subtitle files (run_id, source_index, kind, content): batches of cues."""
-    found = cues_of(docs.select(_doc(), F.col("content").alias("raw"), F.col("kind").alias("format")), "doc")
+    found = cues_of(_with_kind(docs, F.col("content").alias("raw"), F.col("kind").alias("format")), "doc")
     items = found.select("doc", "ord", F.col("cue").alias("key"), F.col("text").alias("value"), utf16_length(F.col("text")).alias("cost"))
-    return _batched(items, docs.select(_doc(), "kind"), budget, CUES)
+    return _batched(items, budget, CUES)
 
 
 def page_parts(docs: DataFrame, pages: DataFrame, ranges: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -149,10 +182,32 @@ def part_files(parts: DataFrame, folder: str = "parts", content: str = "content"
 
 
 PAIRS = "array<struct<key: string, translation: string>>"
-
-
-def _pairs(items: list | None) -> list[tuple[str, str]] | None:
-    return None if items is None else [(i["key"], i["value"]) for i in items]
+ARROW_PAIRS = pa.list_(pa.struct([("key", pa.string()), ("translation", pa.string())]))
+ARROW_TERMS = pa.list_(pa.struct([(f.name, pa.string()) for f in TERMS.elementType]))
+#: Fixed value: so many translated parts of a run lie in one batch.
+BATCH = 4096
+
+
+def _listed(column: pa.Array | pa.ChunkedArray, name: str = "value") -> list[list[tuple[str, str]] | None]:
+    """key and a named field of each row's structs. Columns are read whole, as a struct at a time takes ten times as long."""
+    out: list[list[tuple[str, str]] | None] = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        own = c.flatten()
+        flat, at = list(zip(own.field("key").to_pylist(), own.field(name).to_pylist(), strict=True)), 0
+        for n in pc.list_value_length(c).to_pylist():
+            out.append(None if n is None else flat[at : at + n])
+            at += n or 0
+    return out
+
+
+def _nested(rows: Sequence[Sequence[tuple] | None], kind: pa.ListType) -> pa.Array:
+    """Rows of structs, or null, as a column of that kind."""
+    ends = list(itertools.accumulate(0 if r is None else len(r) for r in rows))
+    begins = [None if r is None else end - len(r) for r, end in zip(rows, ends, strict=True)]
+    fields = list(kind.value_type)
+    columns = list(zip(*itertools.chain.from_iterable(r for r in rows if r), strict=True)) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([*begins, ends[-1] if ends else 0], pa.int32()), values)
 
 
 def _glossaries(terms: DataFrame, name: str) -> DataFrame:
@@ -175,40 +230,54 @@ def translate(parts: DataFrame, translator: Translator, seeds: DataFrame | None
     asked = parts.select("run_id", "part_index", "kind", "content", "items", part_key(settings, "kind", "content", "items").alias("part_key"))
     out = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, translation string, pairs {PAIRS}, proposed {TERMS.simpleString()}"
 
-    def fold(run: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        earlier = known[known["reply"].notna()]
-        told = {(p, g): json.loads(x) for p, g, x in zip(earlier["part_key"], earlier["prior_key"], earlier["reply"], strict=True)}
-        terms: dict[str, Term] = {}
+    def fold(run: pa.Table, known: pa.Table) -> pa.Table:
+        told: dict[tuple[str, str], object] = {}
+        seed: list[tuple] = []
+        for n, source, target, notes, p, g, x in zip(*(known.column(c).to_pylist() for c in ("ord", "source", "target", "notes", "part_key", "prior_key", "reply")), strict=True):
+            if x is None:
+                seed.append((n, source, target, notes))
+            else:
+                told[p, g] = json.loads(x)
+        seen: set[str] = set()
+        terms: list[Term] = []
         prior = ""
 
         def add(t: Term) -> None:
             nonlocal prior
-            if (key := trim(t[0]).lower()) not in terms:
-                terms[key] = t
+            if (key := trim(t[0]).lower()) not in seen:
+                seen.add(key)
+                terms.append(t)
                 prior = digest(prior, t)
 
-        for t in known[known["reply"].isna()].sort_values(["ord", "source", "target", "notes"], na_position="first").itertuples():
-            add((t.source, t.target, t.notes))
-        rows = []
+        for _, *t in sorted(seed, key=lambda s: [(x is not None, x) for x in s]):  # null first
+            add(tuple(t))
+        fields = run.schema.field("run_id"), run.schema.field("part_index"), pa.field("translation", pa.string()), pa.field("pairs", ARROW_PAIRS), pa.field("proposed", ARROW_TERMS)
+        at, kinds, contents, keys = (run.column(c).to_pylist() for c in ("part_index", "kind", "content", "part_key"))
+        items, ids, order = _listed(run.column("items")), run.column("run_id").slice(0, 1).to_pylist(), sorted(range(run.num_rows), key=at.__getitem__)
+        batches = []
         with journal.open() as log:
-            for r in run.sort_values("part_index").itertuples():
-                pairs, before = _pairs(r.items), prior
-                if (reply := told.get((r.part_key, before), log.get(r.part_key, before))) is None:
-                    got, new = translator(r.kind, r.content if pairs is None else pairs, list(terms.values()))
-                    log.put(r.part_key, before, reply := [got, [list(t) for t in new]])
-                    told[r.part_key, before] = reply
-                got, new = reply[0], [tuple(t) for t in reply[1]]
-                for t in new:
-                    add(t)
-                proposed = [{"source": s, "target": t, "notes": n} for s, t, n in new]
-                if pairs is None:
-                    rows.append((r.run_id, r.part_index, got or r.content, None, proposed))
-                else:
-                    rows.append((r.run_id, r.part_index, None, [{"key": k, "translation": v if (x := got.get(k)) is None else x} for k, v in pairs], proposed))
-        return pd.DataFrame(rows, columns=["run_id", "part_index", "translation", "pairs", "proposed"])
+            for first in range(0, len(order), BATCH):
+                rows = []
+                for i in order[first : first + BATCH]:
+                    content, pairs, before = contents[i], items[i], prior
+                    if (reply := told.get((keys[i], before), log.get(keys[i], before))) is None:
+                        got, new = translator(kinds[i], content if pairs is None else list(pairs), Glossary(terms))
+                        log.put(keys[i], before, reply := [got, [list(t) for t in new]])
+                        told[keys[i], before] = reply
+                    got, new = reply[0], [tuple(t) for t in reply[1]]
+                    for t in new:
+                        add(t)
+                    if pairs is None:
+                        rows.append((*ids, at[i], got or content, None, new))
+                    else:
+                        rows.append((*ids, at[i], None, [(k, v if (x := got.get(k)) is None else x) for k, v in pairs], new))
+                *flat, pairs, proposed = zip(*rows, strict=True)
+                columns = [*(pa.array(c, f.type) for c, f in zip(flat, fields, strict=False)), _nested(pairs, ARROW_PAIRS), _nested(proposed, ARROW_TERMS)]
+                batches.append(pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)))
+        return pa.Table.from_batches(batches, pa.schema(fields))
 
     known = _known(asked, seeds, store.replies("translations"))
-    folded = asked.groupBy("run_id").cogroup(known.groupBy("run_id")).applyInPandas(fold, out)
+    folded = asked.groupBy("run_id").cogroup(known.groupBy("run_id")).applyInArrow(fold, out)
     return store.settled(parts.join(folded, ["run_id", "part_index"]), "translated")
 
 
@@ -268,24 +337,26 @@ def review(translated: DataFrame, editor: Editor | None, terms: DataFrame | None
     if earlier is not None:
         todo = todo.join(earlier.select(*keys), keys, "left_anti")
     share = F.pmod(F.xxhash64(*keys), F.lit(SHARES)).alias("share")  # a run's parts lie in few tasks, each of which reads its glossary once
-    todo = todo.select("*", share).repartition("terms_key", "share").dropDuplicates(["terms_key", "share", *keys]).sortWithinPartitions("terms_key")
+    todo = todo.select("*", share).repartition("terms_key", "share").sortWithinPartitions("terms_key", *keys)
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, known = None, []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, known = None, None, []
         with journal.open() as log:
             for b in batches:
-                for r in b.itertuples():
-                    if log.get(r.part_key, r.prior_key) is not None:  # a task that runs again
+                column = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023,E731
+                fields = [column(c).to_pylist() for c in (*keys, "terms_key", "kind", "content", "translation")]
+                for part, prior, terms_key, kind, content, translation, items, given in zip(*fields, _listed(column("items")), _listed(column("pairs"), "translation"), strict=True):
+                    if (part, prior) == last or log.get(part, prior) is not None:  # equal parts lie side by side; a task that runs again
                         continue
-                    if r.terms_key != at:
-                        at, known = r.terms_key, [] if r.terms_key is None else [tuple(t) for t in final.get(r.terms_key)]
-                    given = None if r.pairs is None else [(p["key"], p["translation"]) for p in r.pairs]
-                    got, found = editor(r.kind, r.content if given is None else _pairs(r.items), r.translation if given is None else given, list(known))
+                    last = part, prior
+                    if terms_key != at:
+                        at, known = terms_key, [] if terms_key is None else [tuple(t) for t in final.get(terms_key)]
+                    got, found = editor(kind, content if given is None else items, translation if given is None else given, Glossary(known))
                     issues = [{"severity": s, "description": d} for s, d in found]
-                    log.put(r.part_key, r.prior_key, {"text": got, "issues": issues} if given is None else {"pairs": got, "issues": issues})
-                yield b[["part_key"]].iloc[:0]
+                    log.put(part, prior, {"text": got, "issues": issues} if given is None else {"pairs": got, "issues": issues})
+                yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["part_key"])
 
-    todo.mapInPandas(ask, "part_key string").write.format("noop").mode("overwrite").save()
+    todo.mapInArrow(ask, "part_key string").write.format("noop").mode("overwrite").save()
     replies = store.replies("reviews")
     replies = translated.limit(0).select(*[F.lit("").alias(c) for c in (*keys, "reply")]) if replies is None else replies
     replies = replies.select(*keys, F.from_json("reply", REVIEW).alias("_r"))

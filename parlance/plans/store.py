@@ -24,6 +24,7 @@ from ..sources.files import shared_folder, store_uri
 from ..sources.notes import Notes
 
 REPLY = "part_key string, prior_key string, reply string"
+_json = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def part_key(settings: str, *columns: str) -> Column:
@@ -33,7 +34,7 @@ def part_key(settings: str, *columns: str) -> Column:
 
 def digest(before: str, value: object) -> str:
     """Hash of a list that ends with a value that JSON can say, from that of the list before it ("": empty)."""
-    return hashlib.sha256((before + json.dumps(value, ensure_ascii=False)).encode()).hexdigest()
+    return hashlib.sha256((before + _json(value)).encode()).hexdigest()
 
 
 @dataclass
@@ -76,7 +77,7 @@ class Log:
         if self.out is None:
             self.store.create_dir(self.folder, recursive=True)
             self.out = self.store.open_output_stream(f"{self.folder}/{self.name}")
-        self.out.write((json.dumps({"part_key": part, "prior_key": prior, "reply": json.dumps(reply, ensure_ascii=False)}, ensure_ascii=False) + "\n").encode())
+        self.out.write((_json({"part_key": part, "prior_key": prior, "reply": _json(reply)}) + "\n").encode())
         self.out.flush()
 
     def __enter__(self) -> Log:

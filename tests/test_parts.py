@@ -70,3 +70,10 @@ def test_no_projects_and_no_terms(spark):
     added = spark.createDataFrame([("a", 0, "x", "y", None)], "path string, ord int, source string, target string, notes string")
     assert [tuple(r) for r in glossary.append_terms(terms, added, "path").collect()] == [("a", 0, "x", "y", None, "translator")]
     assert glossary.append_terms(terms, added.limit(0), "path").count() == 0
+
+
+@pytest.mark.parametrize("made", [parts.text_parts, parts.entry_parts])
+def test_documents_of_one_file_are_dealt_before_the_work(spark, made):
+    docs = spark.createDataFrame([("h", i, "html", f"<p>{i}</p>") for i in range(8)], DOCS).coalesce(1)
+    plan = made(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= plan.count("MapInArrow") > 0 and "Join" not in plan

@@ -111,3 +111,29 @@ def test_replies_of_a_lost_attempt(tmp_path):
             log.put("p", "g", ["a"])
             log.out.write(b'{"part_key": "q", "prior_k')  # it dies here
     assert Log(uri, 2, 9).get("p", "g") is None
+
+
+def test_glossaries_are_not_copied_for_each_part(spark):
+    def told(kind, body, terms):
+        return f"{id(terms.terms)} {len(terms)} {','.join(t[0] for t in terms)}", [(f"n{len(terms)}", "x", None)]
+
+    docs = spark.createDataFrame([("r", i, "text", f"body {i}") for i in range(5)], DOCS)
+    rows = parts.translate(parts.make_parts(docs), told, spark.createDataFrame([], SEEDS)).orderBy("part_index").collect()
+    assert len({r.translation.split(" ")[0] for r in rows}) == 1
+    assert [r.translation.split(" ", 1)[1] for r in rows] == [f"{i} {','.join(f'n{k}' for k in range(i))}" for i in range(5)]
+
+
+def test_a_glossary_stays_as_it_was():
+    terms = [("a", "b", None)]
+    seen = parts.Glossary(terms)
+    terms.append(("c", "d", None))
+    assert seen == [("a", "b", None)] and seen[-1] == seen[0] and seen[:5] == [("a", "b", None)] and len(seen) == 1
+    with pytest.raises(IndexError):
+        seen[1]
+
+
+def test_nested_columns_there_and_back():
+    rows = [[("a", "b"), ("c", None)], None, [], [("d", "é")]]
+    column = parts._nested(rows, parts.ARROW_PAIRS)
+    assert column.type == parts.ARROW_PAIRS and parts._listed(column, "translation") == rows
+    assert parts._listed(column.slice(1, 2), "translation") == rows[1:3] and parts._nested([None], parts.ARROW_PAIRS).to_pylist() == [None]
