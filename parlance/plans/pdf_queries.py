@@ -153,8 +153,8 @@ class Service:
     SELECT 'talks/' || doc_id || '.pdf' AS path, string_agg(line, chr(10) || chr(10) ORDER BY page_no) AS content, CAST(count(*) AS INTEGER) AS page_count, CAST(NULL AS VARCHAR) AS reason FROM {_TURNS} WHERE doc_id % 7 NOT IN (3, 4) GROUP BY doc_id
     UNION ALL SELECT DISTINCT 'talks/' || doc_id || '.pdf', CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), 'failed: ' || CASE WHEN doc_id % 7 = 3 THEN 'encrypted' ELSE '{pdf.SCANNED}' END FROM {_TURNS} WHERE doc_id % 7 IN (3, 4)""")
 def remote_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files written, and read back through the service."""
+    """Files written, and read back through the service, which takes four documents of each stream at a time."""
     root = f"{files.shared_folder(spark)}/parlance-{uuid.uuid4().hex}"
     wrote = sinks.write_documents(_files(spark, sf_dir), f"{root}/in")
     paths = [r.path for r in wrote.select("path").collect()]
-    return ocr.ocr_documents(spark, f"{root}/in", paths, Service(Notes(files.store_uri(spark, f"{root}/service"))), f"{root}/notes", pace=ocr.Pace(backoff=0.01, poll=0.01))
+    return ocr.ocr_documents(spark, f"{root}/in", paths, Service(Notes(files.store_uri(spark, f"{root}/service"))), f"{root}/notes", pace=ocr.Pace(backoff=0.01, poll=0.01, held=4))

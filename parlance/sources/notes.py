@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import posixpath
 import uuid
@@ -10,6 +11,11 @@ from dataclasses import dataclass
 from pyarrow import fs as pafs
 
 
+@functools.lru_cache(16)
+def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
+
+
 @dataclass
 class Notes:
     """Notes under a folder that pyarrow names by a URI."""
@@ -17,7 +23,7 @@ class Notes:
     uri: str
 
     def _at(self, key: str) -> tuple[pafs.FileSystem, str]:
-        store, at = pafs.FileSystem.from_uri(self.uri)
+        store, at = _opened(self.uri)
         return store, f"{at}/{key[:2]}/{key}.json"
 
     def get(self, key: str) -> object | None:
@@ -29,8 +35,12 @@ class Notes:
 
     def put(self, key: str, value: object) -> None:
         store, path = self._at(key)
-        store.create_dir(posixpath.dirname(path), recursive=True)
         draft = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}"  # hidden from readers until it is whole
-        with store.open_output_stream(draft) as f:
+        try:
+            out = store.open_output_stream(draft)
+        except FileNotFoundError:  # the first note of its folder
+            store.create_dir(posixpath.dirname(path), recursive=True)
+            out = store.open_output_stream(draft)
+        with out as f:
             f.write(json.dumps(value, ensure_ascii=False).encode())
         store.move(draft, path)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import itertools
 import json
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 from dataclasses import asdict, dataclass
 from typing import Protocol
 
@@ -42,7 +44,8 @@ class Client(Protocol):
 @dataclass
 class Pace:
     """Attempts to submit, seconds of back-off for each attempt so far, seconds between checks and after a busy one, and
-    how long a document may take. spacing is the least time between two calls of one stream."""
+    how long a document may take. spacing is the least time between two calls of one stream, held the most documents that one has on
+    the way: while some wait, others are called for."""
 
     attempts: int = 4
     backoff: float = 15.0
@@ -50,6 +53,7 @@ class Pace:
     busy: float = 15.0
     patience: float = 900.0
     spacing: float = 0.0
+    held: int = 1
 
 
 class Refused(Exception):
@@ -65,8 +69,14 @@ def use_remote_column(flag: Column, key: str | None) -> Column:
     return F.coalesce(flag, F.lit(use_remote(None, key)))
 
 
+#: markdown, pages if told, and why there is none.
+Result = tuple[str | None, int | None, str | None]
+#: What is done for a document between its waits: each yields the moment up to which it waits.
+Steps = Generator[float, None, Result]
+
+
 class Conversion:
-    """One stream of documents, one after another."""
+    """One stream of documents: one call after another, of one document or of those on the way."""
 
     def __init__(self, client: Client, notes: Notes, pace: Pace, now: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
         self.client, self.notes, self.pace, self.now, self.sleep = client, notes, pace, now, sleep
@@ -83,13 +93,13 @@ class Conversion:
         if (wait := moment - self.now()) > 0:
             self.sleep(wait)
 
-    def _submitted(self, key: str, name: str, content: bytes) -> dict:
+    def _submitted(self, key: str, name: str, content: bytes) -> Generator[float, None, dict]:
         """The note of a submission, made before or now. Refusals for haste are counted in it, over all tasks that tried."""
         note = self.notes.get(f"{key}-ticket") or {"tries": 0, "not_before": 0.0}
         while "url" not in note:
             if note["tries"] >= self.pace.attempts:
                 raise Refused("the service stayed busy")
-            self._until(note["not_before"])
+            yield note["not_before"]
             status, body = self._call(self.client.submit, name, content)
             tries = note["tries"] + 1
             if status == BUSY:
@@ -103,17 +113,17 @@ class Conversion:
             self.notes.put(f"{key}-ticket", note)
         return note
 
-    def _finished(self, note: dict) -> dict:
+    def _finished(self, note: dict) -> Generator[float, None, dict]:
         while self.now() < note["deadline"]:
             status, body = self._call(self.client.check, note["url"])
             if status == BUSY:
-                self.sleep(self.pace.busy)
+                yield self.now() + self.pace.busy
                 continue
             if status != OK:
                 raise Refused(f"check failed with {status}")
             if body.get("status") == "complete":
                 return body
-            self.sleep(self.pace.poll)
+            yield self.now() + self.pace.poll
         raise Refused("not complete in time")
 
     def _markdown(self, body: dict) -> str:
@@ -131,12 +141,13 @@ class Conversion:
             raise Refused("an empty result")
         return text
 
-    def convert(self, name: str, content: bytes) -> tuple[str | None, int | None, str | None]:
-        """markdown, pages if told, and why there is none. A refusal is an answer for this run, and is not noted: a later one asks anew."""
-        key = hashlib.sha256(content).hexdigest()
+    def _steps(self, key: str, name: str, content: bytes) -> Steps:
+        """A refusal is an answer for this run, and is not noted: a later one asks anew."""
         if (done := self.notes.get(f"{key}-result")) is None:
             try:
-                body = self._finished(self._submitted(key, name, content))
+                note = yield from self._submitted(key, name, content)
+                del content
+                body = yield from self._finished(note)
                 done = {"markdown": self._markdown(body), "pages": body.get("page_count") if isinstance(body.get("page_count"), int) else None}
             except Refused as e:
                 self.notes.put(f"{key}-ticket", {"tries": 0, "not_before": 0.0})
@@ -144,6 +155,49 @@ class Conversion:
             self.notes.put(f"{key}-result", done)
         return done["markdown"], done["pages"], None
 
+    def convert(self, name: str, content: bytes) -> Result:
+        """markdown, pages if told, and why there is none."""
+        return next(result for _, result in self.convert_all([(name, name, lambda: content)]))
+
+    def convert_all(self, documents: Iterable[tuple[object, str, Callable[[], bytes]]]) -> Iterator[tuple[object, Result]]:
+        """Each document's (mark, name, how to read it) mark and result, as they come. A new one is begun when none on the way may be called for by
+        then, so that calls that are spaced far apart go to the oldest. Of equal contents one is on the way at a time, as for whoever asks later."""
+        more, count = iter(documents), itertools.count()
+        waiting: list[tuple[float, int, str, object, Steps]] = []  # a heap
+        behind: dict[str, list[tuple[object, Steps]]] = {}  # by content, those after the one on the way
+        held = 0
+        while True:
+            free = max(self.now(), self.last + self.pace.spacing)
+            if more is not None and held < self.pace.held and not (waiting and waiting[0][0] <= free):
+                if (document := next(more, None)) is None:
+                    more = None
+                    continue
+                mark, name, read = document
+                content, held = read(), held + 1
+                key = hashlib.sha256(content).hexdigest()
+                steps = self._steps(key, name, content)
+                del document, read, content
+                if key in behind:
+                    behind[key].append((mark, steps))
+                    continue
+                behind[key] = []
+            elif waiting:
+                moment, _, key, mark, steps = heapq.heappop(waiting)
+                self._until(moment)
+            else:
+                return
+            while True:
+                try:
+                    heapq.heappush(waiting, (next(steps), next(count), key, mark, steps))
+                    break
+                except StopIteration as e:
+                    held -= 1
+                    yield mark, e.value
+                    if not behind[key]:
+                        del behind[key]
+                        break
+                    mark, steps = behind[key].pop(0)
+
 
 @dataclass
 class Stream(InputPartition):
@@ -162,13 +216,22 @@ class OcrReader(DataSourceReader):
         client = cloudpickle.loads(base64.b64decode(self.options["client"]))
         work = Conversion(client, Notes(self.options["notes"]), Pace(**json.loads(self.options["pace"])))
         store, at = pafs.FileSystem.from_uri(self.options["uri"])
-        for path in partition.paths:
-            if store.get_file_info(f"{at}/{path}").type != pafs.FileType.File:
-                yield path, None, None, "no file"
-                continue
+        gone = []
+
+        def read(path: str) -> bytes:
             with store.open_input_stream(f"{at}/{path}") as f:
-                content = f.read()
-            yield path, *work.convert(path.rpartition("/")[2], content)
+                return f.read()
+
+        def documents() -> Iterator[tuple[str, str, Callable[[], bytes]]]:
+            for path in partition.paths:
+                if store.get_file_info(f"{at}/{path}").type != pafs.FileType.File:
+                    gone.append(path)
+                    continue
+                yield path, path.rpartition("/")[2], lambda path=path: read(path)
+
+        for path, result in work.convert_all(documents()):
+            yield path, *result
+        yield from ((path, None, None, "no file") for path in gone)
 
 
 class Ocr(DataSource):
@@ -186,8 +249,8 @@ class Ocr(DataSource):
 def ocr_documents(spark: SparkSession, root: str, paths: Iterable[str], client: Client, notes: str, streams: int = 4, pace: Pace | None = None) -> DataFrame:
     """path, content (markdown), page_count and reason of PDF files under root; reason says why a document has no content.
 
-    `streams` partitions call the service, each one document at a time and no faster than the pace allows, so that streams over
-    spacing bounds the calls in a second. notes names a shared folder: a document is submitted once, whoever asks and how often
+    `streams` partitions call the service, each with one document at a time, or as many as the pace holds, and no faster than the pace
+    allows, so that streams over spacing bounds the calls in a second, and streams times held the documents on the way. notes names a shared folder: a document is submitted once, whoever asks and how often
     tasks run or the result is read; refused ones are asked for anew by the next reading. Names that lead out of root are refused."""
     spark.dataSource.register(Ocr)
     options = {

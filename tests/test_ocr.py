@@ -149,3 +149,38 @@ def test_equal_contents_in_two_streams(tmp_path):
             ocr.Conversion(Service(held), notes, ocr.Pace(), clock.now, lost).convert("4.pdf", content)
         text, _, why = ocr.Conversion(Service(held), notes, ocr.Pace(), clock.now, clock.sleep).convert("46.pdf", content)
         assert text == end and (why is None) == (end is not None)
+
+
+def test_documents_on_the_way(tmp_path):
+    """While one waits, others are called for; what each is asked stays the same."""
+    took = {}
+    for held in (1, 4):
+        folder = tmp_path / str(held)
+        folder.mkdir()
+        clock = Clock()
+        work = ocr.Conversion(Stub(str(folder)), Notes(f"file://{folder}/notes"), ocr.Pace(held=held), clock.now, clock.sleep)
+        open_, most = [], [0]
+
+        def documents():
+            for i in range(6):
+                open_.append(i)
+                most[0] = max(most[0], len(open_))
+                yield i, f"{i}.pdf", lambda i=i: b"same" if i > 3 else b"%d" % i
+
+        got = {}
+        for i, result in work.convert_all(documents()):
+            open_.remove(i)
+            got[i] = result
+        assert got == {i: (f"# u/{min(i, 4)}.pdf", 2, None) for i in range(6)} and most[0] == held
+        with open(f"{folder}/calls") as f:
+            said = f.read().split("\n")
+        assert sorted(x for x in said if x.startswith("submit")) == [f"submit {i}.pdf" for i in range(5)] and sum(x.startswith("try") for x in said) == 15
+        took[held] = clock.t - 1000
+    assert took[1] == 5 * 63 and took[4] <= 2 * 63
+
+
+def test_spaced_calls_go_to_the_oldest(tmp_path):
+    clock = Clock()
+    work = ocr.Conversion(Stub(str(tmp_path), busy=0), Notes(f"file://{tmp_path}/notes"), ocr.Pace(spacing=60.0, held=4), clock.now, clock.sleep)
+    ends = [(i, clock.t - 1000) for i, _ in work.convert_all((i, f"{i}.pdf", lambda i=i: b"%d" % i) for i in range(3))]
+    assert ends == [(0, 180.0), (1, 420.0), (2, 660.0)]
