@@ -106,3 +106,9 @@ def test_entries_come_in_bounded_batches(spark, monkeypatch):
     got = list(scan(iter([pa.record_batch({"doc_id": [7, 8, 9], "raw": [page, None, page]})])))
     assert max(b.num_rows for b in got) <= 4096
     assert [r for b in got for r in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)] == [(n, i, f"t-{i + 1}") for n in (7, 9) for i in range(6002)]
+
+
+def test_references_that_are_cut():
+    """Names of old need no semicolon, where a text was cut as well; shorter pieces of them are text."""
+    page = "<title>token = &quot</title><h1>token = &quot</h1><p>a &quo b &am</p><p>c &amp"
+    assert structured.walk_html(page) == [("t-1", 'token = "'), ("t-2", 'token = "'), ("t-3", "a &quo b &am"), ("t-4", "c &")]
